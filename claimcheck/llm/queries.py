@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimcheck.llm import bpe, packing, records, simhash, tokens
+from claimcheck.llm import bpe, packing, quality, records, secrets, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.assign(table(spark, folder, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_records(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     files = records.records_folder(spark)
@@ -37,6 +42,13 @@ def op7_records(spark: SparkSession, folder: str) -> DataFrame:
     return records.read_shards(index, files).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+    every = F.array_sort(F.concat("base", "linked"))
+    return found.select("doc_id", *counts, F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(every).alias("spans"))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = bpe.encode_documents(table(spark, folder, "documents").select("doc_id", "text"), path)
@@ -44,12 +56,21 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    ratios = quality.fit(docs, table(spark, folder, "labels"))
+    return quality.assess(docs, ratios).drop("text")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
+    "op6_sharding": op6_sharding,
     "op7_records": op7_records,
+    "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
+    "op10_quality": op10_quality,
 }
 
 #: DuckDB SQL of the operators that SQL can express.
