@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimcheck.llm import bpe, packing, quality, records, secrets, sharding, simhash, tokens
+from claimcheck.llm import ann, bpe, packing, quality, records, secrets, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fingerprint")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_ann(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
@@ -64,6 +68,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_ann": op2_ann,
     "op3_token_counts": op3_token_counts,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
