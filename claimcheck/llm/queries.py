@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimcheck.llm import ann, bpe, packing, quality, records, secrets, sharding, simhash, tokens
+from claimcheck.llm import ann, bpe, html, packing, quality, records, secrets, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
+def op4_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html.extract(pages, html.fit(pages)).drop("html")
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     pieces = packing.cut(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -70,6 +75,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_ann": op2_ann,
     "op3_token_counts": op3_token_counts,
+    "op4_html": op4_html,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_records": op7_records,
