@@ -2,7 +2,7 @@
 
 A password-like word, a user name or a host address proves nothing alone. Together they are a credential:
 weak candidates are reported only where a complementary part stands in the same scope (a paragraph) within
-``reach`` code points. The parts of a text are rows (start, end, role); the interval join looks, for each
+``reach`` code points. The parts of a text are intervals with a role, sorted; the interval join looks, for each
 part, at the nearest part of each role on either side, which decides whether any is within reach.
 """
 
@@ -15,10 +15,10 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.shared import free_name, saved
+from claimcheck.llm.shared import free_name
 
 #: The base patterns with the least length of what counts, in the order of their listing.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -39,8 +39,7 @@ REACH = 300
 #: Bits a character that a random-looking word has at least.
 LEAST_ENTROPY = 3.5
 
-PART = "kind int, start long, end long, scope long"
-PARTS = f"base array<struct<{PART.replace(' ', ': ').replace(',: ', ', ')}>>, weak array<struct<{PART.replace(' ', ': ').replace(',: ', ', ')}>>"
+SPANS = "array<struct<start: bigint, kind: int, end: bigint>>"
 
 
 def entropy(word: str) -> float:
@@ -76,62 +75,64 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     return sorted({x for x in found if free(x[0], x[2])})
 
 
-def _parts(text: Column) -> Column:
-    part = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("scope", pa.int64())]))
+def linked(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], breaks: list[int], reach: int = REACH) -> list[tuple[int, int, int]]:
+    """The weak spans with a complementary part in their scope, between the same ``breaks``, within ``reach``.
 
-    @F.arrow_udf(PARTS)
-    def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = []
-            for content in batch.to_pylist():
-                base = base_spans(content)
-                weak = weak_spans(content, base)
-                breaks = [m.start() for m in PARAGRAPH.finditer(content)] if weak else []
-                scoped = [[{"kind": k, "start": s, "end": e, "scope": bisect.bisect_right(breaks, s)} for s, k, e in found] for found in (base, weak)]
-                rows.append({"base": scoped[0], "weak": scoped[1]})
-            yield pa.array(rows, pa.struct([("base", part), ("weak", part)]))
-
-    return parts(F.coalesce(text, F.lit("")))
-
-
-def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """The weak rows of ``parts`` (row, kind, start, end, scope, weak) with a complementary part in reach.
-
-    A secret needs an identifier or an endpoint, and these need a secret. For each part, windows over its
-    scope give the latest end of each role before it and the earliest start after it: a part is in reach if
-    the nearest one is, so that no pairs are made and the work grows with the parts of a scope.
+    A secret needs an identifier or an endpoint, and these need a secret. A part is in reach if the nearest
+    one of its role is: by start after the span, by end before it. So each join is a search in two sorted
+    lists for each span, and no pairs are made.
     """
-    role = F.element_at(F.array(*[F.lit(ROLES[k]) for k in KINDS]), F.col("kind") + 1)
-    scope = Window.partitionBy("row", "scope").orderBy("start", "kind", "end")
-    before, after = scope.rowsBetween(Window.unboundedPreceding, -1), scope.rowsBetween(1, Window.unboundedFollowing)
-
-    def near(wanted: str) -> Column:
-        last, first = F.max(F.when(F.col("role") == wanted, F.col("end"))).over(before), F.min(F.when(F.col("role") == wanted, F.col("start"))).over(after)
-        return F.coalesce(F.col("start") - last <= reach, F.lit(False)) | F.coalesce(first - F.col("end") <= reach, F.lit(False))
-
-    near_of = {r: near(r) for r in ("identifier", "secret", "endpoint")}
-    found = parts.withColumn("role", role).select("*", *[c.alias(f"near_{r}") for r, c in near_of.items()])
-    complete = F.when(F.col("role") == "secret", F.col("near_identifier") | F.col("near_endpoint")).otherwise(F.col("near_secret"))
-    return found.where(F.col("weak") & complete).select("row", "kind", "start", "end")
-
-
-def scan(docs: DataFrame, text: str = "text", reach: int = REACH, kept: tuple[str, ...] = ("doc_id",), names: tuple[str, str] = ("base", "linked")) -> DataFrame:
-    """One row for each row of ``docs``: the columns ``kept``, and the arrays of base and of linked spans.
+    sides: dict[tuple[str, int], tuple[list[int], list[int]]] = {}
+    for start, kind, end in sorted(base + weak):
+        starts, ends = sides.setdefault((ROLES[KINDS[kind]], bisect.bisect_right(breaks, start)), ([], []))
+        starts.append(start)
+        ends.append(end)
+    for _, ends in sides.values():
+        ends.sort()
+
+    def near(role: str, scope: int, start: int, end: int) -> bool:
+        starts, ends = sides.get((role, scope), ([], []))
+        after, before = bisect.bisect_left(starts, end), bisect.bisect_right(ends, start) - 1
+        return (after < len(starts) and starts[after] - end <= reach) or (before >= 0 and start - ends[before] <= reach)
+
+    found = []
+    for start, kind, end in weak:
+        scope = bisect.bisect_right(breaks, start)
+        wanted = ("identifier", "endpoint") if ROLES[KINDS[kind]] == "secret" else ("secret",)
+        if any(near(role, scope, start, end) for role in wanted):
+            found.append((start, kind, end))
+    return found
+
+
+def spans_of(text: str, reach: int = REACH) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans and linked weak spans of a text, each as (start, kind, end)."""
+    base = base_spans(text)
+    weak = weak_spans(text, base)
+    if not weak or len(base) + len(weak) < 2:
+        return base, []
+    return base, linked(base, weak, [m.start() for m in PARAGRAPH.finditer(text)], reach)
+
+
+def scan(docs: DataFrame, text: str = "text", reach: int = REACH, names: tuple[str, str] = ("base", "linked")) -> DataFrame:
+    """``docs`` with the arrays of base and of linked spans under ``names`` (existing columns of these are replaced).
 
     Spans are struct<start, kind, end> in code points, end exclusive, by start and then by the order of
     KINDS. Null and empty texts have none; repeated rows and rows with null keys stay, each with its own
-    spans; whole texts are searched; columns that aren't ``kept`` don't matter.
+    spans; whole texts are searched. A text's parts never leave its row, so that nothing is shuffled.
     """
-    base, weak = names
-    rows = docs.select(*[F.col(c) for c in kept], _parts(docs[text]).alias("_parts")).select(*kept, "_parts.base", "_parts.weak")
-    row = free_name(rows, "row")
-    rows = saved(rows.withColumn(row, F.monotonically_increasing_id()), "parts")
-    some = rows.where(F.size("weak") > 0).select(F.col(row).alias("row"), F.explode(F.concat(F.transform("base", lambda x: F.struct(x.kind, x.start, x.end, x.scope, F.lit(False).alias("weak"))), F.transform("weak", lambda x: F.struct(x.kind, x.start, x.end, x.scope, F.lit(True).alias("weak"))))).alias("part"))
-    spans = linked(some.select("row", "part.*"), reach)
-    spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("_linked")).withColumnRenamed("row", row)  # at most one text's parts
-    ordered = F.transform("base", lambda x: F.struct(x.start, x.kind, x.end))
-    none = F.array().cast("array<struct<start: bigint, kind: int, end: bigint>>")
-    return rows.join(spans, row, "left").select(*kept, ordered.alias(base), F.coalesce("_linked", none).alias(weak))
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+
+    @F.arrow_udf(f"base {SPANS}, linked {SPANS}")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = [spans_of(t, reach) for t in batch.to_pylist()]
+            both = [pa.array([[dict(zip(("start", "kind", "end"), x)) for x in row[i]] for row in rows], spans) for i in range(2)]
+            yield pa.StructArray.from_arrays(both, names=["base", "linked"])
+
+    held = free_name(docs, "_spans")
+    kept = [docs[c] for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    rows = docs.select(*kept, found(F.coalesce(docs[text], F.lit(""))).alias(held))
+    return rows.select("*", *[F.col(held)[part].alias(name) for part, name in zip(("base", "linked"), names)]).drop(held)
 
 
 def as_text(spans: Column) -> Column:
