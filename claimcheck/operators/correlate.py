@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from claimcheck.config import DEFAULTS, Thresholds
 from claimcheck.functions.columns import numeric_columns, pairs, quoted, strength, without_nan
 from claimcheck.functions.distributions import t_p_value
-from claimcheck.operators.profile import ranked_values
+from claimcheck.operators.profile import bucket_borders, ranked_values
 
 
 def _all_pairs(df: DataFrame, of: list[tuple[str, str]], name: str) -> DataFrame:
@@ -43,9 +43,9 @@ def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """``df`` with each column replaced by its average rank among the column's values (missing stays missing)."""
-    ranked = ranked_values(df, columns)
+    borders, rows = bucket_borders(df, columns), df
     for c in columns:
-        ranks = ranked.where(F.col("column") == c).select(F.col("value").alias("_value"), (F.col("before") + (F.col("n") + 1) / 2.0).alias("_rank"))
+        ranks = ranked_values(rows, {c: borders[c]}).select(F.col("value").alias("_value"), (F.col("before") + (F.col("n") + 1) / 2.0).alias("_rank"))
         df = df.join(ranks, quoted(c).cast("double") == ranks["_value"], "left").drop("_value").withColumn(c, F.col("_rank")).drop("_rank")
     return df
 
@@ -58,6 +58,9 @@ def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     df = without_nan(df)
     columns = columns or numeric_columns(df)
+    empty = df.sparkSession.createDataFrame([], "var1 string, var2 string, n long, rho double")
+    if len(columns) < 2:
+        return empty
     df = df.select(*[quoted(c) for c in columns])
     missing = df.agg(*[F.count_if(quoted(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     full = [c for i, c in enumerate(columns) if not missing[i]]
@@ -66,7 +69,6 @@ def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         if not (a in full and b in full):
             rows = df.select(quoted(a), quoted(b)).where(quoted(a).isNotNull() & quoted(b).isNotNull())
             parts.append(_all_pairs(average_ranks(rows, [a, b]), [(a, b)], "rho"))
-    empty = df.sparkSession.createDataFrame([], "var1 string, var2 string, n long, rho double")
     return reduce(DataFrame.unionByName, parts) if parts else empty
 
 

@@ -17,49 +17,42 @@ QUARTILES = (0.25, 0.5, 0.75)
 BUCKETS = 256
 
 
-def ranked_values(df: DataFrame, columns: list[str], buckets: int = BUCKETS) -> DataFrame:
-    """(column, value, n, before): rows with each value, and rows with a smaller one.
-
-    Runs one job for the bucket borders, of which the driver holds ``buckets`` a column.
-    """
-    spark = df.sparkSession
-    if not columns:
-        return spark.createDataFrame([], "column string, value double, n long, before long")
+def bucket_borders(df: DataFrame, columns: list[str], buckets: int = BUCKETS) -> dict[str, list[float]]:
+    """Approximate quantiles of each column, by one job; the driver holds ``buckets`` numbers a column."""
     steps = [(i + 1) / buckets for i in range(buckets - 1)]
     finite = [F.when(~F.isnan(quoted(c).cast("double")), quoted(c).cast("double")) for c in columns]
-    found = df.agg(*[F.percentile_approx(x, steps, 10 * buckets).alias(f"b{i}") for i, x in enumerate(finite)]).first()
-    borders = [(c, sorted(set(found[i] or []))) for i, c in enumerate(columns)]
-    counts = long_numbers(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
-    counts = counts.join(F.broadcast(spark.createDataFrame(borders, "column string, borders array<double>")), "column")  # one row a column
+    found = df.agg(*[F.percentile_approx(x, steps, 10 * buckets).alias(f"b{i}") for i, x in enumerate(finite)]).first() if columns else ()
+    return {c: sorted(set(found[i] or [])) for i, c in enumerate(columns)}
+
+
+def ranked_values(df: DataFrame, borders: dict[str, list[float]]) -> DataFrame:
+    """(column, value, n, before, total): rows with each value, with a smaller one, and with any, for the columns of ``borders``."""
+    spark = df.sparkSession
+    if not borders:
+        return spark.createDataFrame([], "column string, value double, n long, before long, total long")
+    counts = long_numbers(df, list(borders)).groupBy("column", "value").agg(F.count("*").alias("n"))
+    counts = counts.join(F.broadcast(spark.createDataFrame(list(borders.items()), "column string, borders array<double>")), "column")  # one row a column
     counts = counts.withColumn("bucket", F.aggregate("borders", F.lit(0), lambda n, b: n + (b < F.col("value")).cast("int"))).drop("borders")
-    sums = counts.groupBy("column", "bucket").agg(F.sum("n").alias("rows"))
-    below = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("column", "bucket", F.coalesce(F.sum("rows").over(below), F.lit(0)).alias("lower"))
     smaller = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("within", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-    return counts.join(sums, ["column", "bucket"]).select("column", "value", "n", (F.col("lower") + F.col("within")).alias("before"))
+    sums = counts.groupBy("column", "bucket").agg(F.sum("n").alias("rows"))  # one row a bucket
+    whole = Window.partitionBy("column")
+    below = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("column", "bucket", F.coalesce(F.sum("rows").over(below), F.lit(0)).alias("lower"), F.sum("rows").over(whole).alias("total"))
+    return counts.join(sums, ["column", "bucket"]).select("column", "value", "n", (F.col("lower") + F.col("within")).alias("before"), "total")
 
 
 def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = QUARTILES) -> DataFrame:
     """(column, q0, q1, ...): exact quantiles with linear interpolation between neighbours."""
-    ranked = ranked_values(df, columns)
-    total = F.max(F.col("before") + F.col("n")).alias("total")
-    totals = ranked.groupBy("column").agg(total)
-    ranked = ranked.join(F.broadcast(totals), "column")  # one row a column
+    ranked = ranked_values(df, bucket_borders(df, columns))
 
     def at_rank(rank: Column) -> Column:
         return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("value")))
 
-    parts = []
-    for i, q in enumerate(at):
-        place = (F.col("total") - 1) * F.lit(q)
-        parts += [at_rank(F.floor(place)).alias(f"low{i}"), at_rank(F.ceil(place)).alias(f"high{i}")]
-    found = ranked.groupBy("column").agg(F.first("total").alias("total"), *parts)
-    values = []
-    for i, q in enumerate(at):
-        place = (F.col("total") - 1) * F.lit(q)
-        values.append((F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (place - F.floor(place))).alias(f"q{i}"))
-    return found.select("column", *values)
+    places = [(F.col("total") - 1) * F.lit(q) for q in at]
+    parts = [at_rank(end(place)).alias(f"{name}{i}") for i, place in enumerate(places) for name, end in (("low", F.floor), ("high", F.ceil))]
+    found = ranked.groupBy("column").agg(F.max("total").alias("total"), *parts)
+    return found.select("column", *[(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (place - F.floor(place))).alias(f"q{i}") for i, place in enumerate(places)])
 
 
 def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -31,6 +31,10 @@ def _close(x: Column, stat: Column, t: Thresholds) -> Column:
     return F.coalesce((stat != 0) & (F.abs(x - stat) / (F.abs(stat) + 0.001) < t.relative_error), F.lit(False))
 
 
+def _near(numbers: Column, stat: Column, t: Thresholds) -> Column:
+    return F.filter(numbers, lambda x: _close(x, stat, t))
+
+
 def _any(text: Column, words: list[str]) -> Column:
     found = text.contains(words[0])
     for w in words[1:]:
@@ -47,7 +51,7 @@ def metadata_reason(text: Column, numbers: Column, count: Column, t: Thresholds
 def descriptive_reason(text: Column, numbers: Column, name: Column, stats: dict[str, Column], t: Thresholds = DEFAULTS) -> Column:
     """Reason of a valid claim about one column's mean, range, spread or median; null if none holds."""
     low = F.lower(text)
-    near = {k: F.filter(numbers, lambda x, s=s: _close(x, s, t)) for k, s in stats.items()}
+    near = {k: _near(numbers, s, t) for k, s in stats.items()}
     has = {k: F.size(x) > 0 for k, x in near.items()}
     mean = _any(low, ["mean", "average", "centered around", "typical"]) & has["mean"]
     ranged = _any(low, ["range", "vary", "variability", "outlier", "minimum", "maximum"])
