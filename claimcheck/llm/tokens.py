@@ -1,9 +1,9 @@
 """Token counts and token ids of whole texts, encoded in Arrow functions.
 
 A text is cut before every space that a non-space follows. The tokenizers in use split their input
-before such a space anyway, so that encoding the pieces one by one gives the ids of the whole text;
-tests check this against the library on whole texts. Pieces repeat, so that each worker process keeps
-the ids of those seen lately, and only new ones go to the library, in one batch.
+before such a space anyway (or drop white space), so that encoding the pieces one by one gives the ids of
+the whole text; tests check this against the library on whole texts. Pieces repeat, so that each worker
+process keeps the ids of those seen lately, and only new ones go to the library, in one batch.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from claimcheck.llm.shared import by_bytes
 
-_UNSAFE = re.compile(r" (?=\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
 #: Pieces longer than this are rare words, numbers or text without spaces: not worth keeping.
 KEPT_CHARS = 48
@@ -29,43 +28,70 @@ KEPT_CHARS = 48
 
 def safe_pieces(text: str) -> list[str]:
     """``text`` cut before each space that a non-space follows; the pieces joined are the text."""
-    if _UNSAFE.search(text):
-        return _CUT.split(text)
-    head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]]
+    return _CUT.split(text)
 
 
 class PieceCache:
-    """Ids of pieces as little-endian unsigned 32-bit bytes.
+    """Ids of words as little-endian unsigned 32-bit bytes, and of texts by looking up their words.
 
-    Holds two generations of about ``limit`` pieces each: a full one becomes the old one, and what is
-    used again moves to the new one.
+    ``encode_many`` encodes texts. A word stands for a space and itself, or for itself alone with
+    ``drops_space``, where white space separates words and leaves no token. A full stop or comma after a
+    letter is always a word of its own, so that words are encoded without it. Holds two generations of
+    about ``limit`` words each: a full one becomes the old one, and what is used again moves to the new one.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: list[str], limit: int = 400_000):
-        self.encode_many, self.specials, self.limit = encode_many, specials, limit
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: list[str], drops_space: bool = False, limit: int = 300_000):
+        self.encode_many, self.specials, self.drops_space, self.limit = encode_many, specials, drops_space, limit
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        # White space before a special token ends a segment there, so such a text stays whole.
-        return [text] if any(s in text for s in self.specials) else safe_pieces(text)
+        self.pieces: dict[str, bytes] = {}  # texts as they are: first words, and words amid odd white space
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.limit:
             self.known, self.old = {}, self.known
-        rows, known, old = [self.pieces(t) for t in texts], self.known, self.old
-        fresh = list(set(chain.from_iterable(rows)).difference(known))
-        if old:
-            known.update((x, old[x]) for x in fresh if x in old)
-            fresh = [x for x in fresh if x not in old]
-        known.update(zip(fresh, self.encode_many(fresh)))
-        found = [b"".join(map(known.__getitem__, row)) for row in rows]
-        for piece in fresh:
-            if len(piece) > KEPT_CHARS:
-                del known[piece]
+        if len(self.pieces) > self.limit // 4:
+            self.pieces = {}
+        known, rows, heads, odd = self.known, [], [], {}
+        for i, text in enumerate(texts):
+            # White space before a special token ends a segment there, so such a text stays whole.
+            special = any(s in text for s in self.specials)
+            row = [] if special else text.split(" ")
+            if special:
+                odd[i] = [text]
+            heads.append("" if special or self.drops_space else row.pop(0))
+            rows.append(row)
+        fresh = set(chain.from_iterable(rows)).difference(known)
+        if not self.drops_space:
+            # Such words are never known: the space before them belongs to the white space that follows.
+            spaced = {w for w in fresh if not w or w[0].isspace()}
+            if spaced:
+                fresh -= spaced
+                odd |= {i: safe_pieces(texts[i]) for i, row in enumerate(rows) if not spaced.isdisjoint(row)}
+        self._learn_pieces({*heads, *chain.from_iterable(odd.values()), ".", ","})
+        self._learn_words(fresh)
+        pieces, word = self.pieces, known.__getitem__
+        found = [b"".join(pieces[x] for x in odd[i]) if i in odd else pieces[heads[i]] + b"".join(map(word, row)) for i, row in enumerate(rows)]
+        for x in fresh:
+            if len(x) > KEPT_CHARS:
+                del known[x]
         return found
 
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        new = list(pieces.difference(self.pieces))
+        self.pieces.update(zip(new, self.encode_many(new)))
+
+    def _learn_words(self, fresh: set[str]) -> None:
+        known, old = self.known, self.old
+        if old:
+            again = {w: old[w] for w in fresh if w in old}
+            known.update(again)
+            fresh = fresh.difference(again)
+        ended = {w for w in fresh if w[-1:] in (".", ",") and w[-2:-1].isalpha()}
+        bare = list({w[:-1] for w in ended}.difference(known) | (fresh - ended))
+        known.update(zip(bare, self.encode_many(bare if self.drops_space else [" " + w for w in bare])))
+        for w in ended:
+            known[w] = known[w[:-1]] + self.pieces[w[-1]]
+
 
 @functools.lru_cache(maxsize=4)
 def library_tokenizer(path: str):
@@ -83,10 +109,27 @@ def library_cache(path: str) -> PieceCache:
     tokenizer = library_tokenizer(path)
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
 
-    def encode_many(pieces: list[str]) -> list[bytes]:
+    specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+
+    def one_by_one(pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encode(pieces, add_special_tokens=False)]
 
-    return PieceCache(encode_many, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
+    def joined(pieces: list[str]) -> list[bytes]:
+        # A special token cuts the text before anything else happens to it, so that one call encodes many pieces.
+        whole, parts = [p for p in pieces if any(s in p for s in specials)], [p for p in pieces if not any(s in p for s in specials)]
+        found = dict(zip(whole, one_by_one(whole)))
+        for at in range(0, len(parts), 256):
+            ids = np.array(encode([mark.join(parts[at : at + 256])], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, start = ids.tobytes(), 0
+            ends = [4 * i for i in np.flatnonzero(ids == specials[mark]).tolist()]
+            for piece, end in zip(parts[at : at + 256], [*ends, len(raw)]):
+                found[piece] = raw[start:end]
+                start = end + 4
+        return [found[p] for p in pieces]
+
+    mark = next(iter(specials), None)
+    alone, spaced = (tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " \n a  "))
+    return PieceCache(joined if mark and tokenizer.normalizer is None else one_by_one, list(specials), drops_space=alone == spaced)
 
 
 @functools.lru_cache(maxsize=4)
