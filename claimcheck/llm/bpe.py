@@ -134,7 +134,7 @@ class Vocabulary:
         found = []
         for piece in pieces:
             ids: list[bytes] = []
-            for k, part in enumerate(self._by_special.split(piece) if self.specials else [piece]):
+            for k, part in enumerate(self._by_special.split(piece) if any(s in piece for s in self.specials) else [piece]):
                 if k % 2:
                     ids.append(np.array([self.specials[part]], dtype="<u4").tobytes())
                 else:
@@ -168,7 +168,13 @@ def vocabulary(path: str) -> Vocabulary:
 @functools.lru_cache(maxsize=2)
 def _cache(path: str) -> PieceCache:
     v = vocabulary(path)
-    return PieceCache(v.encode_pieces, list(v.specials))
+    return PieceCache(v.encode_pieces, list(v.specials), limit=150_000)
+
+
+def _runs(batch: pa.Array) -> Iterator[list]:
+    """The values of an Arrow array, a few at a time, so that few Python objects exist at once."""
+    for at in range(0, len(batch), 256):
+        yield from by_bytes(batch.slice(at, 256).to_pylist())
 
 
 def encode(text: Column, path: str) -> Column:
@@ -178,7 +184,7 @@ def encode(text: Column, path: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache = _cache(path)
         for batch in batches:
-            yield pa.array((x for run in by_bytes(batch.to_pylist()) for x in cache.encode(run)), pa.binary())
+            yield pa.chunked_array([pa.array(cache.encode(run), pa.binary()) for run in _runs(batch)], pa.binary()).combine_chunks()
 
     return ids(F.coalesce(text, F.lit("")))
 
@@ -190,7 +196,7 @@ def decode(ids: Column, path: str) -> Column:
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v = vocabulary(path)
         for batch in batches:
-            yield pa.array((v.decode(x) for x in batch.to_pylist()), pa.string())
+            yield pa.chunked_array([pa.array([v.decode(x) for x in run], pa.string()) for run in _runs(batch)], pa.string()).combine_chunks()
 
     return text(F.coalesce(ids, F.lit(b"")))
 
