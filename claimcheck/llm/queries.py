@@ -53,7 +53,11 @@ def op7_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
-    counts = [F.size(F.filter("base", lambda x, k=k: x.kind == k)).cast("long").alias(f"n_{secrets.KINDS[k]}") for k in range(3)]
+
+    def count(kind: int):
+        return F.size(F.filter("base", lambda x: x.kind == kind)).cast("long").alias(f"n_{secrets.KINDS[kind]}")
+
+    counts = [count(kind) for kind in range(3)]
     every = F.array_sort(F.concat("base", "linked"))
     return found.select("doc_id", *counts, F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(every).alias("spans"))
 
