@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: What counts as a number in a claim, as the reference reads it.
+#: Fixed value: what counts as a number in a claim; of whole numbers the sign is left out.
 NUMBER = r"[-+]?\d*\.\d+|\d+"
 _EDGES = r"^\s+|\s+$"
 
