@@ -27,11 +27,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id (and row hash).
 
-    Rows are told apart by doc_id and a hash of all columns; of rows equal in all columns one stays.
+    Rows are told apart by doc_id and a hash of all columns; of rows equal in all columns one stays. A null
+    doc_id is larger than all others.
     """
     row, mark = free_name(docs, "_row"), free_name(docs, "_mark")
     marked = docs.withColumn(mark, F.xxhash64(*docs.columns))
-    found = simhash.near_duplicates(marked.select(F.struct("doc_id", F.col(mark).alias("mark")).alias("row"), "text"), "row", words=WORDS, most=MOST, count=COUNT, compared=COMPARED)
+    found = simhash.near_duplicates(marked.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(mark).alias("mark")).alias("row"), "text"), "row", words=WORDS, most=MOST, count=COUNT, compared=COMPARED)
     chosen = found.where("row = component_id").select(F.coalesce("row.doc_id", F.lit(0)).alias("doc_id_"), F.col("row.mark").alias("mark_")).distinct()
     chosen = saved(chosen, "chosen")
     kept = marked.join(chosen, (F.coalesce(marked["doc_id"], F.lit(0)) == chosen["doc_id_"]) & (marked[mark] == chosen["mark_"]), "left_semi")
