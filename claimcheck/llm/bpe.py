@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.shared import by_bytes
+from claimcheck.llm.shared import only, texts_of
 from claimcheck.llm.tokens import PieceCache
 
 #: Fixed value: how the byte-level vocabulary cuts text into words (white space as Unicode defines it).
@@ -160,21 +160,12 @@ class Vocabulary:
         return self.blob[where].tobytes().decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def encoder(path: str) -> tuple[Vocabulary, PieceCache]:
+    def make() -> tuple[Vocabulary, PieceCache]:
+        v = Vocabulary(path)
+        return v, PieceCache(v.encode_pieces, list(v.specials), limit=150_000)
 
-
-@functools.lru_cache(maxsize=2)
-def _cache(path: str) -> PieceCache:
-    v = vocabulary(path)
-    return PieceCache(v.encode_pieces, list(v.specials), limit=150_000)
-
-
-def _runs(batch: pa.Array) -> Iterator[list]:
-    """The values of an Arrow array, a few at a time, so that few Python objects exist at once."""
-    for at in range(0, len(batch), 256):
-        yield from by_bytes(batch.slice(at, 256).to_pylist())
+    return only(f"merges of {path}", make)
 
 
 def encode(text: Column, path: str) -> Column:
@@ -182,9 +173,9 @@ def encode(text: Column, path: str) -> Column:
 
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache = _cache(path)
+        _, cache = encoder(path)
         for batch in batches:
-            yield pa.chunked_array([pa.array(cache.encode(run), pa.binary()) for run in _runs(batch)], pa.binary()).combine_chunks()
+            yield pa.chunked_array([pa.array(cache.encode(run), pa.binary()) for run in texts_of(batch)], pa.binary()).combine_chunks()
 
     return ids(F.coalesce(text, F.lit("")))
 
@@ -194,9 +185,9 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        v = vocabulary(path)
+        v, _ = encoder(path)
         for batch in batches:
-            yield pa.chunked_array([pa.array([v.decode(x) for x in run], pa.string()) for run in _runs(batch)], pa.string()).combine_chunks()
+            yield pa.chunked_array([pa.array([v.decode(x) for x in run], pa.string()) for run in texts_of(batch)], pa.string()).combine_chunks()
 
     return text(F.coalesce(ids, F.lit(b"")))
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimcheck.llm.shared import texts_of
+
 #: Element names by what they mean.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas".split())
@@ -203,7 +205,7 @@ def extracted(page: Column, weight: dict[str, float]) -> Column:
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array((main_text(p or "", weight) for p in batch.to_pylist()), pa.string())
+            yield pa.array((main_text(p or "", weight) for run in texts_of(batch) for p in run), pa.string())
 
     return text(page)
 

@@ -8,7 +8,6 @@ threshold are rejected, each on its own, so that the verdict doesn't depend on c
 
 from __future__ import annotations
 
-import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,6 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimcheck.llm.shared import only, texts_of
+
 #: Words of the base rules, tokens of the features, symbols.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -34,15 +35,14 @@ THRESHOLD = -0.5
 
 class _Hashes(dict):
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[token] = found = xxhash.xxh64_intdigest(token.encode(), 1)
         return found
 
 
-@functools.lru_cache(maxsize=1)
 def _hashes() -> _Hashes:
-    return _Hashes()
+    return only("hashes", _Hashes)
 
 
 def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
@@ -60,7 +60,8 @@ def feature_counts(docs: DataFrame, text: str, trusted: str, buckets: int = BUCK
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         corpus, good = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for batch in batches:
-            for content, is_good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            contents = (x for run in texts_of(batch.column(0)) for x in run)
+            for content, is_good in zip(contents, batch.column(1).to_pylist()):
                 found = np.bincount(features(content or "", buckets), minlength=buckets)
                 corpus += found
                 if is_good:
@@ -121,8 +122,7 @@ def _assessed(text: Column, ratios: np.ndarray) -> Column:
     def assess(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
-            for content in batch.to_pylist():
-                content = content or ""
+            for content in (x or "" for run in texts_of(batch) for x in run):
                 found = features(content, len(ratios))
                 rows.append(statistics(content) | {"score": float(ratios[found].mean()) if len(found) else 0.0})
             yield pa.array(rows, pa.struct([*((n, pa.int64()) for n in names), ("score", pa.float64())]))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from claimcheck.llm.shared import new_path, saved
+from claimcheck.llm.shared import new_path, saved, texts_of
 from claimcheck.llm.tokens import encoded
 
 #: Fixed value: the constant of the checksum mask.
@@ -90,9 +90,8 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int, doc_id:
         file = f"records-{shard:06d}-{uuid.uuid4().hex}.bin"
         out, at, ordinal = None, 0, 0
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             rows = []
-            for key, ids in zip(keys, encoded(texts, path)):
+            for key, ids in zip(batch.column(0).to_pylist(), (x for run in texts_of(batch.column(1)) for x in encoded(run, path))):
                 out = out or store.open_output_stream(f"{base}/{file}")
                 tokens = np.append(np.frombuffer(ids, dtype="<u4"), np.uint32(end_id))
                 record = frame(payload_of(key, tokens, width))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.shared import free_name
+from claimcheck.llm.shared import free_name, texts_of
 
 #: The base patterns with the least length of what counts, in the order of their listing.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, text: str = "text", reach: int = REACH, names: tuple[s
     @F.arrow_udf(f"base {SPANS}, linked {SPANS}")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = [spans_of(t, reach) for t in batch.to_pylist()]
+            rows = [spans_of(t, reach) for run in texts_of(batch) for t in run]
             both = [pa.array([[dict(zip(("start", "kind", "end"), x)) for x in row[i]] for row in rows], spans) for i in range(2)]
             yield pa.StructArray.from_arrays(both, names=["base", "linked"])
 
@@ -146,7 +146,7 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
     @F.arrow_udf("string")
     def replaced(texts: pa.Array, found: pa.Array) -> pa.Array:
-        return pa.array([_without(t, s, mark) for t, s in zip(texts.to_pylist(), found.to_pylist())], pa.string())
+        return pa.array((_without(t, s, mark) for t, s in zip((x for run in texts_of(texts) for x in run), found.to_pylist())), pa.string())
 
     return replaced(text, spans)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,15 +50,35 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+_held: dict[str, Any] = {}
+
+
+def only(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, held in the worker process until something of another name is asked for.
+
+    Workers outlive tasks: without this, the tables of one stage would stay in memory during the next.
+    """
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def texts_of(batch: Any) -> Iterator[list[str]]:
+    """The values of an Arrow array in short runs, so that few Python objects exist at once."""
+    for at in range(0, len(batch), 256):
+        yield from by_bytes(batch.slice(at, 256).to_pylist())
+
+
 def by_bytes(texts: list[str], limit: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of about ``limit`` characters each; a longer text stands alone."""
     run: list[str] = []
     size = 0
     for text in texts:
-        if run and size + len(text) > limit:
+        if run and size + len(text or "") > limit:
             yield run
             run, size = [], 0
         run.append(text)
-        size += len(text)
+        size += len(text or "")
     if run:
         yield run

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.shared import free_name, saved
+from claimcheck.llm.shared import saved, texts_of
 
 #: The generator polynomial of the Golay code, and the seed of the shingle hash.
 GENERATOR = 0b101011100011
@@ -88,7 +88,7 @@ def fingerprints(text: Column, words: int = 4, count: int = 1) -> Column:
     @F.arrow_udf("array<bigint>")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([fingerprint(t or "", words, count) for t in batch.to_pylist()], pa.list_(pa.int64()))
+            yield pa.array([fingerprint(t or "", words, count) for run in texts_of(batch) for t in run], pa.list_(pa.int64()))
 
     return prints(text)
 

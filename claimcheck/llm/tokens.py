@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.shared import by_bytes
+from claimcheck.llm.shared import by_bytes, only, texts_of
 
 _CUT = re.compile(r"(?= \S)")
 #: Pieces longer than this are rare words, numbers or text without spaces: not worth keeping.
@@ -40,7 +40,7 @@ class PieceCache:
     about ``limit`` words each: a full one becomes the old one, and what is used again moves to the new one.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: list[str], drops_space: bool = False, limit: int = 300_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: list[str], drops_space: bool = False, limit: int = 200_000):
         self.encode_many, self.specials, self.drops_space, self.limit = encode_many, specials, drops_space, limit
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -93,7 +93,6 @@ class PieceCache:
             known[w] = known[w[:-1]] + self.pieces[w[-1]]
 
 
-@functools.lru_cache(maxsize=4)
 def library_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
     from tokenizers import Tokenizer
@@ -104,8 +103,11 @@ def library_tokenizer(path: str):
     return tokenizer
 
 
-@functools.lru_cache(maxsize=4)
 def library_cache(path: str) -> PieceCache:
+    return only(f"words of {path}", lambda: _library_cache(path))
+
+
+def _library_cache(path: str) -> PieceCache:
     tokenizer = library_tokenizer(path)
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
 
@@ -132,7 +134,7 @@ def library_cache(path: str) -> PieceCache:
     return PieceCache(joined if mark and tokenizer.normalizer is None else one_by_one, list(specials), drops_space=alone == spaced)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def _sentencepiece(path: str):
     import sentencepiece
 
@@ -154,7 +156,7 @@ def token_ids(text: Column, path: str) -> Column:
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array(encoded(batch.to_pylist(), path), pa.binary())
+            yield pa.chunked_array([pa.array(encoded(run, path), pa.binary()) for run in texts_of(batch)], pa.binary()).combine_chunks()
 
     return ids(F.coalesce(text, F.lit("")))
 
@@ -165,7 +167,7 @@ def token_count(text: Column, path: str) -> Column:
     @F.arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array((len(x) // 4 for x in encoded(batch.to_pylist(), path)), pa.int64())
+            yield pa.array((len(x) // 4 for run in texts_of(batch) for x in encoded(run, path)), pa.int64())
 
     return count(F.coalesce(text, F.lit("")))
 
