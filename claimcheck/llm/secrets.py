@@ -143,20 +143,14 @@ def as_text(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with each of the spans (sorted, possibly overlapping) replaced by ``mark``."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
-    @F.arrow_udf("string")
-    def replaced(texts: pa.Array, found: pa.Array) -> pa.Array:
-        return pa.array((_without(t, s, mark) for t, s in zip((x for run in texts_of(texts) for x in run), found.to_pylist())), pa.string())
+    def rest(at: Column, size: Column) -> Column:
+        return F.substring(text, (at + 1).cast("int"), size.cast("int"))
 
-    return replaced(text, spans)
+    def step(done: Column, span: Column) -> Column:
+        new = F.struct(F.concat(done["out"], rest(done["at"], span["start"] - done["at"]), F.lit(mark)).alias("out"), span["end"].alias("at"))
+        inside = F.struct(done["out"].alias("out"), F.greatest(done["at"], span["end"]).alias("at"))
+        return F.when(span["start"] >= done["at"], new).otherwise(inside)
 
-
-def _without(text: str | None, spans: list[dict] | None, mark: str) -> str | None:
-    if text is None or not spans:
-        return text
-    out, at = [], 0
-    for span in spans:
-        if span["start"] >= at:
-            out += [text[at : span["start"]], mark]
-        at = max(at, span["end"])
-    return "".join([*out, text[at:]])
+    return F.aggregate(spans, start, step, lambda done: F.concat(done["out"], rest(done["at"], F.char_length(text))))
