@@ -40,7 +40,7 @@ class PieceCache:
     about ``limit`` words each: a full one becomes the old one, and what is used again moves to the new one.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: list[str], drops_space: bool = False, limit: int = 200_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: list[str], drops_space: bool = False, limit: int = 300_000):
         self.encode_many, self.specials, self.drops_space, self.limit = encode_many, specials, drops_space, limit
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -131,7 +131,7 @@ def _library_cache(path: str) -> PieceCache:
 
     mark = next(iter(specials), None)
     alone, spaced = (tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " \n a  "))
-    return PieceCache(joined if mark and tokenizer.normalizer is None else one_by_one, list(specials), drops_space=alone == spaced)
+    return PieceCache(joined if mark and tokenizer.normalizer is None else one_by_one, list(specials), alone == spaced)
 
 
 @functools.lru_cache(maxsize=1)
