@@ -1,0 +1,109 @@
+"""Near-duplicate documents by the exact Jaccard similarity of their shingle sets.
+
+MinHash bands only propose pairs: a pair of similarity s shares one of BANDS bands of ROWS minima with
+probability 1 - (1 - s**ROWS)**BANDS, 0.99995 at 0.8. Every proposed pair is decided on its two whole sets.
+
+A band that many texts share costs two rounds instead of all its pairs: each text is compared with the
+band's first one, and then only those pairs are left whose texts no chain of links connects yet.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from claimcheck.llm.shared import saved, texts_of
+from claimcheck.llm.simhash import SEED, components, shingle_hashes
+
+BANDS, ROWS = 25, 5
+
+_draw = np.random.default_rng(SEED)
+_SALTS, _FACTORS = (_draw.integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1))
+_MIX = _draw.integers(0, 1 << 64, (1, ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """The band keys of a set of shingle hashes; none of an empty set."""
+    if not len(hashes):
+        return np.empty(0, dtype=np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 1 << 10):
+        least = np.minimum(least, ((hashes[at : at + (1 << 10)] ^ _SALTS) * _FACTORS).min(axis=1))
+    x = ((least ^ (least >> np.uint64(29))).reshape(BANDS, ROWS) * _MIX).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketches(text: Column, words: int) -> Column:
+    """For each text (null: empty) the set of its shingle hashes, a digest of the set, its size and its bands."""
+
+    @F.arrow_udf("digest binary, size int, bands array<bigint>, hashes array<bigint>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or "", words)) for run in texts_of(batch) for t in run]
+            parts = [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
+            parts += [lists([bands(s) for s in sets]), lists(sets)]
+            yield pa.StructArray.from_arrays(parts, names=["digest", "size", "bands", "hashes"])
+
+    def lists(rows: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        values = np.concatenate(rows) if rows else np.empty(0, dtype=np.uint64)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+
+    return found(text)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (low, high) whose sets (node, hashes) have a Jaccard similarity of ``least`` or more."""
+    a, b = sets.toDF("low", "low_set"), sets.toDF("high", "high_set")
+    both = F.size("low_set") + F.size("high_set")
+    common = F.size(F.array_intersect("low_set", "high_set"))  # of both - common
+    near = common * (least.numerator + least.denominator) >= both * least.numerator
+    return pairs.join(a, "low").join(b, "high").where(near).select("low", "high")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, name: str = "component_id") -> DataFrame:
+    """One row for each row of ``docs``: its ``key`` and component.
+
+    The component is the smallest ``key`` (of any type that has an order) reachable by links, the row's own
+    included. Rows link if the Jaccard similarity of their sets of shingles of ``words`` words is ``least``
+    or more; texts of fewer words are one shingle.
+
+    Null texts, and those without words, have the empty set and link with each other only. Rows with equal
+    sets count once in the search. A null ``key`` takes part but names a component only where all its keys
+    are null. Repeated rows stay, other columns don't matter, and an empty table gives an empty one.
+    """
+    share = Fraction(least).limit_denominator(1000)
+    own = docs.select(F.col(key).alias("key"), sketches(docs[text], words).alias("sketch"))
+    own = saved(own.select("key", "sketch.*").withColumn("row", F.monotonically_increasing_id()), "sketches")
+    group = own.groupBy("digest").agg(F.min("key").alias("least"), F.min("row").alias("node"))
+    group = saved(group, "groups")
+    firsts = saved(own.join(group.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "size", F.explode("bands").alias("band")), "bands")
+    shared = firsts.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = saved(firsts.join(shared, "band"), "shared")
+    candidates = rows.select(F.col("node").alias("row")).distinct()
+    sets = saved(own.select("row", "hashes").join(candidates, "row", "left_semi").toDF("node", "hashes"), "sets")
+
+    pairs = saved(rows.where("node > first").select(F.col("first").alias("low"), F.col("node").alias("high")).distinct(), "pairs")
+    edges = saved(verified(pairs, sets, share), "edges")
+    rows = rows.where("node > first").join(components(edges), "node", "left")
+    rows = saved(rows.select("band", "node", "size", F.coalesce("component", "node").alias("component")), "shared")
+    held = saved(rows.select("band", "component").distinct(), "held")
+    apart = held.toDF("band", "one").join(held.toDF("band", "other"), "band").where("one < other")
+    left = rows.toDF("band", "a", "a_size", "one")
+    right = rows.toDF("band", "b", "b_size", "other")
+    pairs = apart.join(left, ["band", "one"]).join(right, ["band", "other"])
+    sized = F.least("a_size", "b_size") * share.denominator >= F.greatest("a_size", "b_size") * share.numerator
+    pairs = saved(pairs.where(sized).select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "pairs")
+    edges = edges.union(saved(verified(pairs, sets, share), "edges"))
+
+    linked = saved(group.join(components(edges), "node", "left").withColumn("component", F.coalesce("component", "node")), "linked")
+    smallest = saved(linked.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
+    labelled = saved(linked.join(smallest, "component").select("digest", "smallest"), "labelled")
+    return own.select("key", "digest").join(labelled, "digest").select(F.col("key").alias(key), F.col("smallest").alias(name))
