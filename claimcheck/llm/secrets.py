@@ -1,9 +1,10 @@
 """Secrets in texts: plain patterns, and weak candidates confirmed by their complementary parts.
 
 A password-like word, a user name or a host address proves nothing alone. Together they are a credential:
-weak candidates are reported only where a complementary part stands in the same scope (a paragraph) within
-``reach`` code points. The parts of a text are intervals with a role, sorted; the interval join looks, for each
-part, at the nearest part of each role on either side, which decides whether any is within reach.
+weak candidates are reported only where a complementary part stands in the same scope (a paragraph, the
+whole text if it has no blank line), at any distance, within the candidate or around it (``together``). A
+window of ``reach`` code points is an option: the parts of a text are intervals with a role, sorted, and the
+interval join looks, for each part, at the nearest apart from it on either side (``linked``).
 """
 
 from __future__ import annotations
@@ -104,20 +105,33 @@ def linked(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], b
     return found
 
 
-def spans_of(text: str, reach: int = REACH) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans and linked weak spans of a text, each as (start, kind, end)."""
+def together(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], breaks: list[int]) -> list[tuple[int, int, int]]:
+    """The weak spans with a complementary part in their scope, between the same ``breaks``, wherever it is."""
+    held = {(bisect.bisect_right(breaks, start), ROLES[KINDS[kind]]) for start, kind, _ in base + weak}
+    found = []
+    for start, kind, end in weak:
+        scope = bisect.bisect_right(breaks, start)
+        wanted = ("identifier", "endpoint") if ROLES[KINDS[kind]] == "secret" else ("secret",)
+        if any((scope, role) in held for role in wanted):
+            found.append((start, kind, end))
+    return found
+
+
+def spans_of(text: str, reach: int | None = REACH) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Base spans and linked weak spans of a text, each as (start, kind, end); without ``reach`` the scope alone decides."""
     base = base_spans(text)
     weak = weak_spans(text, base)
     if not weak or len(base) + len(weak) < 2:
         return base, []
-    return base, linked(base, weak, [m.start() for m in PARAGRAPH.finditer(text)], reach)
+    breaks = [m.start() for m in PARAGRAPH.finditer(text)]
+    return base, together(base, weak, breaks) if reach is None else linked(base, weak, breaks, reach)
 
 
-def scan(docs: DataFrame, text: str = "text", reach: int = REACH, names: tuple[str, str] = ("base", "linked")) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", reach: int | None = None, names: tuple[str, str] = ("base", "linked")) -> DataFrame:
     """``docs`` with the arrays of base and of linked spans under ``names`` (existing columns of these are replaced).
 
     Spans are struct<start, kind, end> in code points, end exclusive, by start and then by the order of
-    KINDS. Null and empty texts have none; repeated rows and rows with null keys stay, each with its own
+    KINDS. Weak parts are linked by their scope alone, unless ``reach`` is given. Null and empty texts have none; repeated rows and rows with null keys stay, each with its own
     spans; whole texts are searched. A text's parts never leave its row, so that nothing is shuffled.
     """
     spans = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
