@@ -73,13 +73,14 @@ def tokens(page: str) -> list[Token]:
 
     Unclosed elements end with the element around them; end tags without a start are tags like others.
     Raw elements (scripts, styles) hold no words. Boilerplate elements are those named so, those whose
-    class, id or role says so, and a header outside the content elements.
+    class, id or role says so, and a header outside the content elements. What holds the page's first content
+    element is none, if only its class, id or role says so or if it is a form.
     """
     content = next((n for n in CONTENT if re.search(rf"<{n}[\s>]", page, re.IGNORECASE)), "")
     found: list[Token] = []
     open_: list[tuple[str, bool, bool]] = []  # name, in boilerplate, in content
     block, at, size = 0, 0, len(page)
-    low = None
+    low, reached = None, False
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -121,6 +122,9 @@ def tokens(page: str) -> list[Token]:
                         break
                 poor, inside = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
             if name not in VOID and not m[3].endswith("/"):
+                if name == content and not reached and not any(n in BOILERPLATE and n != "form" for n, _, _ in open_):
+                    reached, poor = True, False
+                    open_ = [(n, False, held) for n, _, held in open_]
                 inside = inside or name == content
                 poor = poor or name in BOILERPLATE or (name == "header" and not inside) or (name not in ("html", "body", *CONTENT) and _marked(m[3]))
                 open_.append((name, poor, inside))
