@@ -80,6 +80,7 @@ def tokens(page: str) -> list[Token]:
     found: list[Token] = []
     open_: list[tuple[str, bool, bool]] = []  # name, in boilerplate, in content
     block, at, size = 0, 0, len(page)
+    worded = -1  # the last block with words
     low, reached = None, False
     while at < size:
         m = _TOKEN.match(page, at)
@@ -93,8 +94,9 @@ def tokens(page: str) -> list[Token]:
                     linked = any(n == "a" for n, _, _ in open_[-4:])
                     kind = "poor word" if poor else "outer word" if content and not inside else "linked word" if linked else "word"
                     found.append(Token(kind, text, block, inside))
-                elif found and found[-1].text:
-                    found[-1].text += " "
+                    worded = block
+                elif worded == block:
+                    found.append(Token("word", " ", block, inside))  # of no words, so that it scores nothing
             continue
         name = name.lower()
         if name in BLOCKS:
@@ -110,8 +112,8 @@ def tokens(page: str) -> list[Token]:
                 end = low.find(f"</{name}", at)
                 at = size if end < 0 else max(at, low.find(">", end) + 1 or size)
         else:
-            if name == "br" and found and found[-1].text:
-                found[-1].text += " "
+            if name == "br" and worded == block:
+                found.append(Token("word", " ", block, inside))
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and open_:
                 # such an element ends the one of its name before it, unless another block began meanwhile
                 for depth in range(len(open_) - 1, -1, -1):

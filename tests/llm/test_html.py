@@ -14,3 +14,11 @@ def test_what_holds_the_content_is_no_boilerplate(wrapper):
     assert html.main_text(page, WEIGHT) == TEXT
     teaser = "<aside><article>a teaser</article></aside>"
     assert html.main_text(f"<body>{teaser}<{wrapper}>{ARTICLE}</{name}></body>", WEIGHT) == TEXT
+
+
+@pytest.mark.parametrize(("part", "text"), [
+    ("<b>foo</b> <i>bar</i>", "foo bar"), ("<a>x</a> <a>y</a>", "x y"), ("<b>foo</b><br>bar", "foo bar"), ("<b>foo</b>\n<br/> <i>bar</i>", "foo bar"),
+    ("<b>foo</b><i>bar</i>", "foobar"), ("<i> foo</i> <b></b> <!-- x --> <b>bar </b> ", "foo bar"),
+])
+def test_space_between_inline_elements(part, text):
+    assert html.main_text(f"<article><p>many words before it</p> <p>{part}</p> <p>many words after it</p></article>", WEIGHT) == f"many words before it\n{text}\nmany words after it"
