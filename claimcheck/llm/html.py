@@ -47,7 +47,8 @@ PRIOR = 20.0
 #: A kind's weight without evidence, and the bounds of a word's and a tag's weight.
 WORD_BOUNDS, TAG_BOUNDS = (0.5, 4.0), (-1.0, -0.05)
 LINKED_BOUNDS, OUTER_BOUNDS = (-2.0, 1.0), (-4.0, -1.0)
-#: Boilerplate never gets into the text, so that it may stand inside the region, at a small cost.
+#: Boilerplate never gets into the text, so that it may stand inside the region, at a small cost; inside a
+#: content element it costs nothing.
 POOR_BOUNDS = (-0.5, -0.1)
 BOUNDS = {"word": WORD_BOUNDS, "linked word": LINKED_BOUNDS, "outer word": OUTER_BOUNDS, "poor word": POOR_BOUNDS, "poor tag": POOR_BOUNDS}
 
@@ -196,7 +197,7 @@ def main_text(page: str, weight: dict[str, float]) -> str:
     """The text of a page's content region, one line a block."""
     row = tokens(page)
     default = weight["tag"]
-    start, end = region([weight.get(t.kind, default) * _count(t) for t in row])
+    start, end = region([0.0 if t.inside and t.kind in ("poor word", "poor tag") else weight.get(t.kind, default) * _count(t) for t in row])
     blocks: dict[int, list[str]] = {}
     for token in row[start:end]:
         if token.text and token.kind != "poor word":

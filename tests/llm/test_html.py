@@ -22,3 +22,12 @@ def test_what_holds_the_content_is_no_boilerplate(wrapper):
 ])
 def test_space_between_inline_elements(part, text):
     assert html.main_text(f"<article><p>many words before it</p> <p>{part}</p> <p>many words after it</p></article>", WEIGHT) == f"many words before it\n{text}\nmany words after it"
+
+
+def test_boilerplate_in_the_content_cuts_nothing_off():
+    weight = WEIGHT | {"poor word": -0.5, "poor tag": -0.5, "word": 4.0}
+    nav = "<nav>" + "".join(f"<a href=x>link {i} of</a> more" for i in range(10)) + "</nav>"
+    advert = '<div class="advert">' + "buy this " * 100 + "</div>"
+    text = "a long text " * 20
+    page = f"<body><p>outer</p><article><h1>Our team</h1>{nav}<p>{text}</p>{advert}<p>The end.</p></article>{nav}</body>"
+    assert html.main_text(page, weight) == f"Our team\n{text.strip()}\nThe end."
