@@ -150,7 +150,7 @@ def wanted_ratio(graph: Graph, sample: np.ndarray, top: int, recall: float = REC
 
 def fit(vectors: DataFrame, top: int = 5, rows: int = SAMPLE_ROWS) -> tuple[Graph, float]:
     """Centroid graph and list ratio from a sample of ``rows`` rows of (id, vector) at most."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(rows).select("vector").toPandas()["vector"]
+    sample = vectors.orderBy(F.xxhash64("id"), "id", "vector").limit(rows).select("vector").toPandas()["vector"]
     points = unit(matrix(sample))
     graph = Graph.of(balanced_centroids(points, max(1, len(points) // CLUSTER_ROWS)))
     return graph, wanted_ratio(graph, points, top)
@@ -162,7 +162,8 @@ def nearest(table: DataFrame, top: int = 5, every: int = 50, key: str = "vec_id"
     Nearness is the cosine in double precision of the original vectors; ties go to the smaller key. A query
     doesn't find its own key. Vectors that are null, empty, zero, of another length than the most rows' or
     that hold a null or non-finite component take no part, and neither do rows with a null key; rows that
-    repeat a key and its vector count once. Fewer candidates than ``top`` give fewer rows, an empty table
+    repeat a key and its vector count once. A key with several vectors is as near as its nearest one, and as
+    a query asks with each. Fewer candidates than ``top`` give fewer rows, an empty table
     gives none. Extra columns don't matter.
     """
     spark = table.sparkSession
@@ -194,17 +195,27 @@ def nearest(table: DataFrame, top: int = 5, every: int = 50, key: str = "vec_id"
     probes = vectors.where(F.col("id") % every == 0).mapInArrow(probed, listed)
     probes = probes.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
+    def distinct(frame: pd.DataFrame) -> pd.DataFrame:
+        """Without the rows that repeat a key and its vector."""
+        if frame["id"].is_unique:
+            return frame
+        return frame[~pd.DataFrame({"id": frame["id"], "vector": [np.asarray(v).tobytes() for v in frame["vector"]]}, index=frame.index).duplicated()]
+
     def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(queries) and len(rows):
-            rows = rows.drop_duplicates("id").sort_values("id", kind="stable")
+            rows = distinct(rows).sort_values("id", kind="stable")
             ids, points = rows["id"].to_numpy(), scaled(matrix(rows["vector"]))
             size = np.sqrt((points * points).sum(axis=1))
-            queries = queries.drop_duplicates("id")
+            begins = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            ids = ids[begins]
+            queries = distinct(queries)
             for at in range(0, len(queries), 256):
                 some = queries.iloc[at : at + 256]
                 asked, own = scaled(matrix(some["vector"])), some["id"].to_numpy()
                 scores = (asked @ points.T) / np.sqrt((asked * asked).sum(axis=1))[:, None] / size
+                if len(begins) < len(points):
+                    scores = np.maximum.reduceat(scores, begins, axis=1)  # the best of a key's vectors
                 scores[own[:, None] == ids] = -np.inf
                 order = np.argsort(-scores, axis=1, kind="stable")[:, :top]  # ids ascend, so ties go to the smaller
                 best = np.take_along_axis(scores, order, axis=1)
