@@ -21,15 +21,17 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from claimcheck.llm.shared import new_path, saved, texts_of
-from claimcheck.llm.tokens import encoded
+from claimcheck.llm.tokens import encoded, vocabulary_size
 
 #: Fixed value: the constant of the checksum mask.
 MASK = 0xA282EAD8
+#: Bytes of text that a file holds on average, at most.
+FILE_BYTES = 256 << 20
 INDEX = "shard int, file string, ordinal long, doc_id long, offset long, length long, n_tokens long, width int"
 
 
@@ -62,6 +64,8 @@ def read_frame(stream) -> bytes | None:
 
 
 def payload_of(doc_id: int, ids: np.ndarray, width: int) -> bytes:
+    if len(ids) and int(ids.max()) >> 8 * width:
+        raise ValueError(f"id {int(ids.max())} doesn't fit into {width} bytes")
     return struct.pack("<q", doc_id) + ids.astype(f"<u{width}").tobytes()
 
 
@@ -70,18 +74,22 @@ def from_payload(payload: bytes, width: int) -> tuple[int, bytes]:
     return struct.unpack_from("<q", payload)[0], np.frombuffer(payload, dtype=f"<u{width}", offset=8).astype("<u4").tobytes()
 
 
-def write_records(docs: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", vocabulary: int = 1 << 16) -> DataFrame:
+def write_records(docs: DataFrame, folder: str, path: str, end_id: int, doc_id: str = "doc_id", text: str = "text", vocabulary: int | None = None) -> DataFrame:
     """Write the documents' ids in ascending order of ``doc_id`` and return the index, one row a record.
 
     Null texts are empty and hold ``end_id`` alone; rows with equal ids follow each other by text, repeated
     rows are records of their own; rows whose ``doc_id`` is null come first and are stored as the smallest
     long. Other columns don't matter. An empty table gives an empty index and no file.
 
-    Shards are ranges of ``doc_id``, as many as there are shuffle partitions, so that each task writes one
-    file in one pass and holds about 1 MB of texts.
+    Ids take two bytes if ``vocabulary`` (by default the vocabulary's size) and ``end_id`` allow it, else
+    four; an id that doesn't fit is an error, never cut.
+
+    Shards are ranges of ``doc_id``, as many as there are shuffle partitions or more, so that a file holds
+    ``FILE_BYTES`` of text on average at most. Each task writes one file in one pass and holds about 1 MB of
+    texts. Rows of one ``doc_id`` are dealt by their text and place in the input, so that they may fill many shards.
     """
     spark = docs.sparkSession
-    width = 2 if vocabulary <= 1 << 16 else 4
+    width = 2 if max(vocabulary or vocabulary_size(path), end_id + 1) <= 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -107,8 +115,11 @@ def write_records(docs: DataFrame, folder: str, path: str, end_id: int, doc_id:
 
     least = F.lit(-(1 << 63)).cast("long")
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), least).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, INDEX)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    order = ("doc_id", "dealt", "text", "place")
+    rows = rows.withColumns({"dealt": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    index = rows.repartitionByRange(shards, "doc_id", "dealt", "place").sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(write, INDEX)
     return saved(index, "record-index")
 
 
@@ -159,18 +170,24 @@ def read_at(index: DataFrame, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
-        name, file = "", None
         for batch in batches:
-            found = []
-            for row in batch.select(["file", "offset", "width"]).to_pylist():
-                if row["file"] != name:
-                    name, file = row["file"], store.open_input_file(f"{base}/{row['file']}")
-                file.seek(row["offset"])
-                found.append(from_payload(read_frame(file), row["width"])[1])
+            rows = batch.select(["file", "offset", "width"]).to_pylist()
+            found: list[bytes] = [b""] * len(rows)
+            by_file: dict[str, list[int]] = {}
+            for i, row in enumerate(rows):
+                by_file.setdefault(row["file"], []).append(i)
+            for name, places in by_file.items():
+                with store.open_input_file(f"{base}/{name}") as file:
+                    for i in sorted(places, key=lambda i: rows[i]["offset"]):
+                        file.seek(rows[i]["offset"])
+                        found[i] = from_payload(read_frame(file), rows[i]["width"])[1]
             yield batch.append_column("ids", pa.array(found, pa.binary()))
 
     return index.mapInArrow(read, StructType([*schema.fields, StructField("ids", BinaryType())]))
 
 
-def records_folder(spark) -> str:
-    return new_path(spark, "records")
+def records_folder(spark: SparkSession) -> str:
+    """A new folder as a full URI: executors must not take a path without a scheme for their own disk's."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(new_path(spark, "records"))
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
