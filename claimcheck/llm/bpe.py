@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import functools
 import json
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -20,17 +22,80 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimcheck.llm.shared import only, texts_of
-from claimcheck.llm.tokens import PieceCache
+from claimcheck.llm.tokens import byte_letters
 
 #: Fixed value: how the byte-level vocabulary cuts text into words (white space as Unicode defines it).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that stands for each byte in vocabulary files of this kind."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+_CUT = re.compile(r"(?= \S)")
+#: Pieces longer than this are rare words, numbers or text without spaces: not worth keeping.
+KEPT_CHARS = 48
+
+
+def safe_pieces(text: str) -> list[str]:
+    """``text`` cut before each space that a non-space follows; the pieces joined are the text."""
+    return _CUT.split(text)
+
+
+class PieceCache:
+    """Ids of words as little-endian unsigned 32-bit bytes, and of texts by looking up their words.
+
+    ``encode_many`` encodes texts. A word stands for a space and itself. A full stop or comma after a
+    letter is always a word of its own, so that words are encoded without it. Holds two generations of
+    about ``limit`` words each: a full one becomes the old one, and what is used again moves to the new one.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: list[str], limit: int = 150_000):
+        self.encode_many, self.specials, self.limit = encode_many, specials, limit
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # texts as they are: first words, and words amid odd white space
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.limit:
+            self.known, self.old = {}, self.known
+        if len(self.pieces) > self.limit // 4:
+            self.pieces = {}
+        known, rows, heads, odd = self.known, [], [], {}
+        for i, text in enumerate(texts):
+            # White space before a special token ends a segment there, so such a text stays whole.
+            special = any(s in text for s in self.specials)
+            row = [] if special else text.split(" ")
+            if special:
+                odd[i] = [text]
+            heads.append("" if special else row.pop(0))
+            rows.append(row)
+        fresh = set(chain.from_iterable(rows)).difference(known)
+        # Such words are never known: the space before them belongs to the white space that follows.
+        spaced = {w for w in fresh if not w or w[0].isspace()}
+        if spaced:
+            fresh -= spaced
+            odd |= {i: safe_pieces(texts[i]) for i, row in enumerate(rows) if not spaced.isdisjoint(row)}
+        self._learn_pieces({*heads, *chain.from_iterable(odd.values()), ".", ","})
+        self._learn_words(fresh)
+        pieces, word = self.pieces, known.__getitem__
+        found = [b"".join(pieces[x] for x in odd[i]) if i in odd else pieces[heads[i]] + b"".join(map(word, row)) for i, row in enumerate(rows)]
+        for x in fresh:
+            if len(x) > KEPT_CHARS:
+                del known[x]
+        return found
+
+    def _learn_pieces(self, pieces: set[str]) -> None:
+        new = list(pieces.difference(self.pieces))
+        self.pieces.update(zip(new, self.encode_many(new)))
+
+    def _learn_words(self, fresh: set[str]) -> None:
+        known, old = self.known, self.old
+        if old:
+            again = {w: old[w] for w in fresh if w in old}
+            known.update(again)
+            fresh = fresh.difference(again)
+        ended = {w for w in fresh if w[-1:] in (".", ",") and w[-2:-1].isalpha()}
+        bare = list({w[:-1] for w in ended}.difference(known) | (fresh - ended))
+        known.update(zip(bare, self.encode_many([" " + w for w in bare])))
+        for w in ended:
+            known[w] = known[w[:-1]] + self.pieces[w[-1]]
 
 
 class Vocabulary:
@@ -163,7 +228,7 @@ class Vocabulary:
 def encoder(path: str) -> tuple[Vocabulary, PieceCache]:
     def make() -> tuple[Vocabulary, PieceCache]:
         v = Vocabulary(path)
-        return v, PieceCache(v.encode_pieces, list(v.specials), limit=150_000)
+        return v, PieceCache(v.encode_pieces, list(v.specials))
 
     return only(f"merges of {path}", make)
 

@@ -1,96 +1,48 @@
 """Token counts and token ids of whole texts, encoded in Arrow functions.
 
-A text is cut before every space that a non-space follows. The tokenizers in use split their input
-before such a space anyway (or drop white space), so that encoding the pieces one by one gives the ids of
-the whole text; tests check this against the library on whole texts. Pieces repeat, so that each worker
-process keeps the ids of those seen lately, and only new ones go to the library, in one batch.
+Vocabulary files of two kinds are encoded by rank: those of byte-level words with a space before them, and
+those of lower-case words with an end mark. The rank encoder merges the neighbours whose joint bytes rank
+first; the library behind the files merges listed pairs. The two agree if no token has a second split into
+tokens that the listed pairs would leave apart, which is looked up for every token when a file is loaded
+(``same_as_merges``); other files, and characters that need Unicode's normal forms, go to the library.
+
+Texts are encoded whole. Long ones are cut before a space that a letter or digit follows, where both kinds
+end a word anyway, so that encoding the parts gives the ids of the whole.
 """
 
 from __future__ import annotations
 
-import functools
+import json
 import os
 import re
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimcheck.llm.shared import by_bytes, only, texts_of
 
-_CUT = re.compile(r"(?= \S)")
-#: Pieces longer than this are rare words, numbers or text without spaces: not worth keeping.
-KEPT_CHARS = 48
+#: How the two kinds of vocabulary cut a text into words.
+SPACED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ENDED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters that normal forms don't change and that every Unicode version in use classes alike: Latin,
+#: basic Cyrillic, punctuation, currency, common ideographs and syllables. Not the end mark.
+PLAIN = "\x01-ɏА-я‐-‧‰-⁞₠-₿、-〃〈-】一-龥가-힣"
+_ODD = re.compile(f"[^{PLAIN}]")
+_CUT = re.compile(r"(?= [A-Za-z0-9])")
+END = "\x00"
+#: Characters of a part of a long text.
+PART = 1 << 16
 
 
-def safe_pieces(text: str) -> list[str]:
-    """``text`` cut before each space that a non-space follows; the pieces joined are the text."""
-    return _CUT.split(text)
-
-
-class PieceCache:
-    """Ids of words as little-endian unsigned 32-bit bytes, and of texts by looking up their words.
-
-    ``encode_many`` encodes texts. A word stands for a space and itself, or for itself alone with
-    ``drops_space``, where white space separates words and leaves no token. A full stop or comma after a
-    letter is always a word of its own, so that words are encoded without it. Holds two generations of
-    about ``limit`` words each: a full one becomes the old one, and what is used again moves to the new one.
-    """
-
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], specials: list[str], drops_space: bool = False, limit: int = 300_000):
-        self.encode_many, self.specials, self.drops_space, self.limit = encode_many, specials, drops_space, limit
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}  # texts as they are: first words, and words amid odd white space
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known, self.old = {}, self.known
-        if len(self.pieces) > self.limit // 4:
-            self.pieces = {}
-        known, rows, heads, odd = self.known, [], [], {}
-        for i, text in enumerate(texts):
-            # White space before a special token ends a segment there, so such a text stays whole.
-            special = any(s in text for s in self.specials)
-            row = [] if special else text.split(" ")
-            if special:
-                odd[i] = [text]
-            heads.append("" if special or self.drops_space else row.pop(0))
-            rows.append(row)
-        fresh = set(chain.from_iterable(rows)).difference(known)
-        if not self.drops_space:
-            # Such words are never known: the space before them belongs to the white space that follows.
-            spaced = {w for w in fresh if not w or w[0].isspace()}
-            if spaced:
-                fresh -= spaced
-                odd |= {i: safe_pieces(texts[i]) for i, row in enumerate(rows) if not spaced.isdisjoint(row)}
-        self._learn_pieces({*heads, *chain.from_iterable(odd.values()), ".", ","})
-        self._learn_words(fresh)
-        pieces, word = self.pieces, known.__getitem__
-        found = [b"".join(pieces[x] for x in odd[i]) if i in odd else pieces[heads[i]] + b"".join(map(word, row)) for i, row in enumerate(rows)]
-        for x in fresh:
-            if len(x) > KEPT_CHARS:
-                del known[x]
-        return found
-
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.pieces))
-        self.pieces.update(zip(new, self.encode_many(new)))
-
-    def _learn_words(self, fresh: set[str]) -> None:
-        known, old = self.known, self.old
-        if old:
-            again = {w: old[w] for w in fresh if w in old}
-            known.update(again)
-            fresh = fresh.difference(again)
-        ended = {w for w in fresh if w[-1:] in (".", ",") and w[-2:-1].isalpha()}
-        bare = list({w[:-1] for w in ended}.difference(known) | (fresh - ended))
-        known.update(zip(bare, self.encode_many(bare if self.drops_space else [" " + w for w in bare])))
-        for w in ended:
-            known[w] = known[w[:-1]] + self.pieces[w[-1]]
+def byte_letters() -> dict[str, int]:
+    """The printable letter that stands for each byte in vocabulary files of this kind."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 def library_tokenizer(path: str):
@@ -103,51 +55,147 @@ def library_tokenizer(path: str):
     return tokenizer
 
 
-def library_cache(path: str) -> PieceCache:
-    return only(f"words of {path}", lambda: _library_cache(path))
+def safe_parts(text: str, size: int = PART) -> Iterator[str]:
+    """``text`` in parts of about ``size`` characters, each cut before a space that a letter or digit follows."""
+    start = 0
+    while len(text) - start > size and (cut := _CUT.search(text, start + size)):
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
 
 
-def _library_cache(path: str) -> PieceCache:
-    tokenizer = library_tokenizer(path)
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+def same_as_merges(ranks: dict[bytes, int], merges: dict[tuple[bytes, bytes], int]) -> bool:
+    """Whether merging by the rank of the joint bytes gives what merging the listed pairs gives, for any text.
 
-    specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+    If the two part, it is at some pair of neighbours whose joint bytes are a token, but not by this pair:
+    then the listed pairs, applied to these bytes alone, end with the pair as well.
+    """
+    halves = {a + b: (a, b) for a, b in merges}
+
+    def apart(a: bytes, b: bytes) -> bool:
+        # Undo merges on either side of the border, latest first; one across the border must not come before them.
+        undone = len(merges) + 1
+        while merges.get((a, b), undone) >= undone:
+            left, right = (merges.get(halves.get(x), -1) for x in (a, b))
+            if left < 0 and right < 0:
+                return True
+            if left > right:
+                a, undone = halves[a][1], left
+            else:
+                b, undone = halves[b][0], right + 1  # at equal rank the left one is merged first
+        return False
+
+    for token, own in halves.items():
+        for at in range(1, len(token)):
+            pair = token[:at], token[at:]
+            if pair != own and pair[0] in ranks and pair[1] in ranks and apart(*pair):
+                return False
+    return True
+
+
+class RankEncoder:
+    """Ids of texts by a vocabulary file of one of the two kinds; ``of`` gives None for files of another kind."""
+
+    def __init__(self, path: str, spec: dict, ended: bool):
+        import tiktoken
+
+        letters, suffix, self.ended = byte_letters(), spec["model"]["end_of_word_suffix"] or "", ended
+
+        def raw(name: str) -> bytes:
+            if suffix and name.endswith(suffix):
+                return bytes(letters[c] for c in name.removesuffix(suffix)) + END.encode()
+            return bytes(letters[c] for c in name)
+
+        # An end mark belongs to the character before it, so that it is merged before all else.
+        singles = [bytes([b]) for b in range(256)]
+        pairs = [(x, END.encode()) for x in singles if ended] + [tuple(map(raw, m.split(" ") if isinstance(m, str) else m)) for m in spec["model"]["merges"]]
+        ranks = {x: i for i, x in enumerate(dict.fromkeys([*singles, *(a + b for a, b in pairs)]))}
+        ids = {raw(name): i for name, i in spec["model"]["vocab"].items()}
+        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        marks = {} if ended else {s: len(ranks) + i for i, s in enumerate(self.specials)}
+        self.table = np.array([*(ids.get(x, 0) for x in ranks), *(self.specials[s] for s in marks)], dtype="<u4")
+        self.sound = ids.keys() <= ranks.keys() and same_as_merges(ranks, {p: i for i, p in enumerate(pairs)})
+        self.core = tiktoken.Encoding(path, pat_str=f"[^{END}]+{END}" if ended else SPACED_WORDS, mergeable_ranks=ranks, special_tokens=marks)._core_bpe
+        self.marks, self.words, self.path = set(marks), regex.compile(ENDED_WORDS), path
+        self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
+        self._library = None
+
+    @classmethod
+    def of(cls, path: str) -> RankEncoder | None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, cut, normal = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+        odd = any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")) or model["type"] != "BPE"
+        odd = odd or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"][:1].isalnum() for t in spec["added_tokens"])
+        spaced = not normal and not model["end_of_word_suffix"] and cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"]
+        steps = cut.get("pretokenizers", [])
+        ended = (
+            bool(model["end_of_word_suffix"]) and [n["type"] for n in (normal or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in steps] == ["Split", "ByteLevel"]
+            and steps[0]["pattern"] == {"Regex": ENDED_WORDS} and steps[0]["invert"] and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]
+        )
+        found = cls(path, spec, ended) if (spaced or ended) and not odd else None
+        return found if found and found.sound else None
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self._part, safe_parts(text))) if len(text) > PART else self._part(text)
+
+    def _ranked(self, text: str, marks: set[str]) -> bytes:
+        return self.table[np.frombuffer(self.core.encode_to_tiktoken_buffer(text, marks), dtype="<u4")].tobytes()
+
+    def _part(self, text: str) -> bytes:
+        if not self.ended:
+            return self._ranked(text, self.marks)
+        if not text.isascii() or END in text or "<" in text:
+            if self.special.search(text):
+                return self._by_library(text)
+            if _ODD.search(text):
+                return b"".join(self._by_library(x) if _ODD.search(x) else self._ended(x) for x in safe_parts(text, 500))
+        return self._ended(text)
+
+    def _ended(self, text: str) -> bytes:
+        found = self.words.findall(text.lower())
+        return self._ranked(END.join([*found, ""]), set()) if found else b""
+
+    def _by_library(self, text: str) -> bytes:
+        self._library = self._library or library_tokenizer(self.path)
+        return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+class LibraryEncoder:
+    """Ids of texts by the library of the vocabulary file."""
+
+    def __init__(self, path: str):
+        if path.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            self._ids = lambda text: model.encode(text)
+        else:
+            tokenizer = library_tokenizer(path)
+            self._ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
-    def one_by_one(pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encode(pieces, add_special_tokens=False)]
+    def encode(self, text: str) -> bytes:
+        return np.array(self._ids(text), dtype="<u4").tobytes()
 
-    def joined(pieces: list[str]) -> list[bytes]:
-        # A special token cuts the text before anything else happens to it, so that one call encodes many pieces.
-        whole, parts = [p for p in pieces if any(s in p for s in specials)], [p for p in pieces if not any(s in p for s in specials)]
-        found = dict(zip(whole, one_by_one(whole)))
-        for at in range(0, len(parts), 256):
-            ids = np.array(encode([mark.join(parts[at : at + 256])], add_special_tokens=False)[0].ids, dtype="<u4")
-            raw, start = ids.tobytes(), 0
-            ends = [4 * i for i in np.flatnonzero(ids == specials[mark]).tolist()]
-            for piece, end in zip(parts[at : at + 256], [*ends, len(raw)]):
-                found[piece] = raw[start:end]
-                start = end + 4
-        return [found[p] for p in pieces]
 
-    mark = next(iter(specials), None)
-    alone, spaced = (tokenizer.encode(x, add_special_tokens=False).ids for x in ("a", " \n a  "))
-    return PieceCache(joined if mark and tokenizer.normalizer is None else one_by_one, list(specials), alone == spaced)
+def encoder(path: str) -> RankEncoder | LibraryEncoder:
+    return only(f"encoder of {path}", lambda: (None if path.endswith(".model") else RankEncoder.of(path)) or LibraryEncoder(path))
 
 
-@functools.lru_cache(maxsize=1)
-def _sentencepiece(path: str):
-    import sentencepiece
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id of a vocabulary file."""
+    if path.endswith(".model"):
+        import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+        return sentencepiece.SentencePieceProcessor(model_file=path).vocab_size()
+    return max(library_tokenizer(path).get_vocab(with_added_tokens=True).values()) + 1
 
 
 def encoded(texts: list[str], path: str) -> Iterator[bytes]:
     """Ids of each text as the library of the vocabulary file gives them, without added tokens."""
+    encode = encoder(path).encode
     for run in by_bytes(texts):
-        if path.endswith(".model"):
-            yield from (np.array(ids, dtype="<u4").tobytes() for ids in _sentencepiece(path).encode(run, num_threads=1))
-        else:
-            yield from library_cache(path).encode(run)
+        yield from map(encode, run)
 
 
 def token_ids(text: Column, path: str) -> Column:

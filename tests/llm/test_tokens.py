@@ -44,8 +44,41 @@ def test_ids_are_the_librarys(path):
         assert np.frombuffer(ids, "<u4").tolist() == ids_of(text, path), repr(text)
 
 
+def test_plain_characters_are_the_librarys():
+    assert all(isinstance(tokens.encoder(path), tokens.RankEncoder) for path in (BYTE, WORD))
+    plain = [c for c in map(chr, range(1, 0xE000 - 0x800)) if not tokens._ODD.match(c)]
+    sample = [f"a{c}1{c}{c}!{c} {c}b {c}" for c in plain]
+    for path in (BYTE, WORD):
+        wanted = library(path).encode_batch_fast(sample, add_special_tokens=False)
+        assert all(np.frombuffer(ids, "<u4").tolist() == want.ids for ids, want in zip(tokens.encoded(sample, path), wanted))
+
+
+def test_rank_and_merge_encoders_part_where_a_token_has_two_splits():
+    ranks = {x: i for i, x in enumerate([b"a", b"b", b"c", b"bc", b"aa", b"aab", b"aabc"])}
+    listed = {(b"b", b"c"): 0, (b"a", b"a"): 1, (b"aa", b"b"): 2, (b"aab", b"c"): 3}
+    assert not tokens.same_as_merges(ranks, listed)  # a a b c: aa, bc is left by the list, but aabc is a token
+    assert tokens.same_as_merges(ranks, {(b"b", b"c"): 0, (b"a", b"a"): 1, (b"aa", b"b"): 2, (b"aa", b"bc"): 3})
+
+
+def test_long_texts_are_cut_where_words_end():
+    text = "".join(generated(4000, 11)) + " word. tail" * 9000 + "x" * 200_000 + " end"
+    parts = list(tokens.safe_parts(text, 1000))
+    assert "".join(parts) == text and len(parts) > 50
+    for path in (BYTE, WORD):
+        assert np.frombuffer(tokens.encoder(path).encode(text), "<u4").tolist() == ids_of(text, path)
+
+
+def test_counts_query(spark):
+    rows = queries.op3_token_counts(spark, "/root/testdata/sf0.001").collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(docs)
+    for r in rows:
+        n = len(ids_of(docs[r.doc_id]))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 512)
+
+
 def test_cache_keeps_ids_across_generations():
-    small = tokens.PieceCache(lambda xs: [x.encode() for x in xs], [], limit=5)
+    small = bpe.PieceCache(lambda xs: [x.encode() for x in xs], [], limit=5)
     sample = [f"w{i % 13}. a{i % 7} {'z' * (i % 60)}, b" for i in range(200)]
     assert [x.decode() for text in sample for x in small.encode([text])] == sample
 
@@ -211,3 +244,30 @@ def test_queries_against_brute_force(spark):
     packed = queries.op5_packing(spark, folder).collect()
     total = sum(len(ids_of(t)) + 1 for t in given.values())
     assert sum(r.length for r in packed) == total and len({r.sequence_id for r in packed}) <= -(-total // 1024) + 3
+
+
+def test_record_ids_that_do_not_fit_are_an_error_and_wide_ones_take_four_bytes(spark, tmp_path):
+    with pytest.raises(ValueError):
+        records.payload_of(1, np.array([70_000], "<u4"), 2)
+    assert np.frombuffer(records.from_payload(records.payload_of(1, np.array([70_000], "<u4"), 4), 4)[1], "<u4").tolist() == [70_000]
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    folder = f"file://{tmp_path}/wide"
+    index = records.write_records(docs, folder, WORD, end_id=70_000)
+    assert {r.width for r in index.collect()} == {4}
+    found = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in records.read_shards(index, folder).collect()}
+    assert found == {1: [*ids_of("a b", WORD), 70_000], 2: [*ids_of("c", WORD), 70_000]}
+
+
+def test_records_folder_is_a_full_uri_without_a_scheme_in_the_setting(spark):
+    assert "://" not in spark.conf.get("spark.checkpoint.dir")
+    assert records.records_folder(spark).startswith("file:///")
+
+
+def test_records_of_one_id_fill_many_shards(spark, tmp_path):
+    docs = spark.range(900).selectExpr("if(id % 3 = 0, null, id) doc_id", "if(id % 2 = 0, 'same', concat('t', id)) text")
+    folder = f"file://{tmp_path}/hot"
+    index = records.write_records(docs, folder, WORD, end_id=1)
+    sizes = [r["count"] for r in index.groupBy("shard").count().collect()]
+    assert sum(sizes) == 900 and max(sizes) < 400
+    rows = records.read_shards(index, folder).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows) and len(rows) == 900
