@@ -1,10 +1,13 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a row of tokens: words, which count by the kind of place they stand in, and tags. Each kind of
-token has a weight, fitted on labelled pages: the log of how much likelier the kind is inside the content
-than outside. Words of running text score positive; tags, links and words outside a page's
-content element or in boilerplate elements negative. One linear scan finds the contiguous run of tokens with the largest sum, which is the content
-region. The blocks that lie in it, without those in boilerplate elements, are the text.
+A page is a row of tokens: words and tags. Words have the weight of their kind, the log of the odds that
+such a word stands inside the content, fitted on labelled pages. The kind is the block that the word stands
+in (paragraph, heading, list, ...), whether that is a long one, and whether the word is linked; labels come
+from the element that a page names as its content, which is no feature. Where an element around a word
+looks like boilerplate by its name or by a word of its class, id or role, the weight of this evidence, fitted
+as well, stands for that of the kind. Tags score negative. One linear scan finds the contiguous run of tokens
+with the largest sum, the content region. Its blocks are the text, but for those whose words their evidence
+makes negative, such as an advert amid an article.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,15 +27,18 @@ from claimcheck.llm.shared import texts_of
 
 #: Element names by what they mean.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas".split())
-BOILERPLATE = frozenset("head nav footer aside form button select textarea dialog menu".split())
-CONTENT = ("article", "main")  # the first one that a page has holds its content
+RAW = frozenset("head script style noscript template iframe svg math object canvas select textarea".split())
+BOILERPLATE = frozenset("nav footer aside form button dialog menu".split())
+CONTENT = ("article", "main")
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-#: Words of class, id and role that mark boilerplate: menus, notices, adverts, comments and the like.
+PLACES = {"p": "paragraph", "blockquote": "quote", "pre": "quote", "figcaption": "quote"} | dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), "heading") | dict.fromkeys("li dt dd".split(), "list") | dict.fromkeys("td th".split(), "cell")
+#: Words of class, id and role that may mark boilerplate (menus, notices, adverts, comments and the like), and
+#: words beside them that say how a page is laid out.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice "
     "alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond reply replies related recommended widget toolbar pagination pager skip contentinfo complementary search".split()
 )
+LAYOUT = frozenset("has is no not with without and open opened closed enabled disabled on off".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -42,15 +48,32 @@ _SPACE = re.compile(r"\s+")
 
 #: Rows of the labelled pages, at most: those with the smallest hash.
 LABELLED_ROWS = 2_000
-#: What every kind counts for on either side before any page is seen, in tokens.
+#: Words of a block that make it long.
+LONG = 25
+#: How likely words of a kind are content before any page is seen, and the words that this counts for.
+PRIOR_SHARES = {"paragraph": 0.8, "quote": 0.8, "heading": 0.7, "list": 0.7, "cell": 0.6, "other short": 0.35, "other long": 0.7, "evidence": 0.05}
+PRIOR_SHARES |= {"linked paragraph": 0.55, "linked quote": 0.55, "linked heading": 0.5, "linked list": 0.15, "linked cell": 0.3, "linked other": 0.15}
 PRIOR = 20.0
-#: A kind's weight without evidence, and the bounds of a word's and a tag's weight.
-WORD_BOUNDS, TAG_BOUNDS = (0.5, 4.0), (-1.0, -0.05)
-LINKED_BOUNDS, OUTER_BOUNDS = (-2.0, 1.0), (-4.0, -1.0)
-#: Boilerplate never gets into the text, so that it may stand inside the region, at a small cost; inside a
-#: content element it costs nothing.
-POOR_BOUNDS = (-0.5, -0.1)
-BOUNDS = {"word": WORD_BOUNDS, "linked word": LINKED_BOUNDS, "outer word": OUTER_BOUNDS, "poor word": POOR_BOUNDS, "poor tag": POOR_BOUNDS}
+#: Bounds of the weights of a word, of a word with evidence, and of a tag.
+WORD_BOUNDS, EVIDENCE_BOUNDS, TAG_BOUNDS = (-4.0, 4.0), (-8.0, 4.0), (-1.0, -0.05)
+#: A tag's weight without evidence, that of a tag at which a content element begins or ends, and what a block
+#: costs at most that its evidence keeps out of the text anyway.
+TAG, BORDER, LEFT_OUT = -0.2, -5.0, 0.5
+
+
+@dataclass
+class Element:
+    """An open element, with what speaks for boilerplate."""
+
+    name: str
+    linked: bool
+    place: str
+    inside: bool  # a labelled content element
+    around: tuple[Element, ...] = ()  # elements with evidence that hold this one, and this one
+    evidence: tuple[str, ...] = ()
+    words: int = 0
+    holds: bool = False  # the first heading of the first order
+    holds_content: bool = False
 
 
 @dataclass
@@ -58,94 +81,127 @@ class Token:
     kind: str
     text: str  # of words; a tag has none
     block: int
-    inside: bool  # a labelled content element
+    inside: bool
+    around: tuple[Element, ...] = field(default=())
+    words: int = 0
 
 
-def _marked(attributes: str) -> bool:
+def evidence_of(name: str, attributes: str, within: tuple[str, ...]) -> tuple[str, ...]:
+    """Kinds of evidence that an element is boilerplate."""
+    if name in ("html", "body", *CONTENT):
+        return ()
+    found = {f"in {name}"} if name in BOILERPLATE or (name == "header" and not {*CONTENT, "section"} & {*within}) else set()
     for _, *values in _ATTRIBUTE.findall(attributes):
         for value in values:
-            if value and not MARKS.isdisjoint(_NAME.findall(value.lower())):
-                return True
-    return bool(_HIDDEN.search(attributes))
+            for word in value.lower().split():
+                parts = _NAME.findall(word)
+                if not LAYOUT & {*parts}:
+                    found |= {f"mark {part}" for part in parts if part in MARKS}
+    if _HIDDEN.search(attributes):
+        found.add("hidden")
+    return tuple(sorted(found))
 
 
 def tokens(page: str) -> list[Token]:
     """A page's runs of words and its tags, in order.
 
     Unclosed elements end with the element around them; end tags without a start are tags like others.
-    Raw elements (scripts, styles) hold no words. Boilerplate elements are those named so, those whose
-    class, id or role says so, and a header outside the content elements. What holds the page's first content
-    element is none, if only its class, id or role says so or if it is a form.
+    Raw elements (scripts, styles, the head) hold no words. An element with evidence of boilerplate that
+    holds the page's first content element, most words with the first heading, or four fifths of all words
+    is a wrapper of the page and loses it.
     """
-    content = next((n for n in CONTENT if re.search(rf"<{n}[\s>]", page, re.IGNORECASE)), "")
     found: list[Token] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, in boilerplate, in content
-    block, at, size = 0, 0, len(page)
-    worded = -1  # the last block with words
-    low, reached = None, False
+    open_: list[Element] = []
+    block, at, size, total = 0, 0, len(page), 0
+    worded, lengths = -1, Counter()  # the last block with words; words of each block
+    low, headed, reached = None, False, False
+    top = Element("", False, "other", False)
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
         name = m[2]
-        poor, inside = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
+        here = open_[-1] if open_ else top
         if name is None:
             if page[m.start()] != "<" or m.end() - m.start() == 1:
                 text = m[0]
-                if text.strip():
-                    linked = any(n == "a" for n, _, _ in open_[-4:])
-                    kind = "poor word" if poor else "outer word" if content and not inside else "linked word" if linked else "word"
-                    found.append(Token(kind, text, block, inside))
+                count = len(text.split())
+                if count:
+                    found.append(Token(("linked " if here.linked else "") + here.place, text, block, here.inside, here.around, count))
                     worded = block
+                    total += count
+                    lengths[block] += count
+                    for element in here.around:
+                        element.words += count
                 elif worded == block:
-                    found.append(Token("word", " ", block, inside))  # of no words, so that it scores nothing
+                    found.append(Token(here.place, " ", block, here.inside, here.around))  # of no words, so that it scores nothing
             continue
         name = name.lower()
         if name in BLOCKS:
             block += 1
+        inside = here.inside
         if m[1]:
             for depth in range(len(open_) - 1, -1, -1):
-                if open_[depth][0] == name:
+                if open_[depth].name == name:
                     del open_[depth:]
                     break
         elif name in RAW:
             if not m[3].endswith("/"):
                 low = page.lower() if low is None else low
-                end = low.find(f"</{name}", at)
-                at = size if end < 0 else max(at, low.find(">", end) + 1 or size)
+                ends = [e for e in (low.find(f"</{name}", at), low.find("<body", at) if name == "head" else -1) if e >= 0]
+                at = size if not ends else min(ends) if low.startswith("<body", min(ends)) else max(at, low.find(">", min(ends)) + 1 or size)
         else:
             if name == "br" and worded == block:
-                found.append(Token("word", " ", block, inside))
+                found.append(Token(here.place, " ", block, here.inside, here.around))
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and open_:
                 # such an element ends the one of its name before it, unless another block began meanwhile
                 for depth in range(len(open_) - 1, -1, -1):
-                    if open_[depth][0] == name:
+                    if open_[depth].name == name:
                         del open_[depth:]
                         break
-                    if open_[depth][0] in BLOCKS:
+                    if open_[depth].name in BLOCKS:
                         break
-                poor, inside = (open_[-1][1], open_[-1][2]) if open_ else (False, False)
+                here = open_[-1] if open_ else top
             if name not in VOID and not m[3].endswith("/"):
-                if name == content and not reached and not any(n in BOILERPLATE and n != "form" for n, _, _ in open_):
-                    reached, poor = True, False
-                    open_ = [(n, False, held) for n, _, held in open_]
-                inside = inside or name == content
-                poor = poor or name in BOILERPLATE or (name == "header" and not inside) or (name not in ("html", "body", *CONTENT) and _marked(m[3]))
-                open_.append((name, poor, inside))
-        found.append(Token("poor tag" if poor else f"tag {name}", "", block, inside or name == content))
+                within = tuple(e.name for e in open_)
+                inside = here.inside or name in CONTENT
+                if name == "h1" and not headed:
+                    headed = True
+                    for element in here.around:
+                        element.holds = True
+                if name in CONTENT and not reached and not {"nav", "aside", "footer"} & {*within}:
+                    reached = True
+                    for element in here.around:
+                        element.holds_content = True
+                place = PLACES.get(name, "other") if name in BLOCKS else here.place
+                new = Element(name, here.linked or name == "a", place, inside, here.around, evidence_of(name, m[3], within))
+                if new.evidence:
+                    new.around = (*here.around, new)
+                open_.append(new)
+                here = new
+        found.append(Token(f"tag {name}", "", block, inside, here.around))
+    for token in found:
+        if token.words and token.kind == "other":
+            token.kind = "other long" if lengths[token.block] >= LONG else "other short"
+        token.around = tuple(e for e in token.around if not (e.holds_content or 2 * e.words > total and e.holds or 5 * e.words > 4 * total))
     return found
 
 
-def _count(token: Token) -> int:
-    return len(token.text.split()) if token.text else 1
-
-
 def kind_counts(page: str) -> list[tuple[str, int, int]]:
-    """(kind, tokens inside content, tokens outside) of a labelled page; none where it has not one content element."""
+    """(kind, words or tags inside content, outside) of a labelled page; none where it has not one content element.
+
+    Words count for the kind of their place, and for each kind of evidence around them; tags count where
+    there is no evidence.
+    """
     if len(re.findall(r"<(?:article|main)[\s>]", page, re.IGNORECASE)) != 1:
         return []
     inside, outside = Counter(), Counter()
     for token in tokens(page):
-        (inside if token.inside else outside)[token.kind] += _count(token)
+        side, against = (inside if token.inside else outside), {kind for e in token.around for kind in e.evidence}
+        if token.text:
+            for kind in {token.kind, *against}:
+                side[kind] += token.words
+        elif not against:
+            side[token.kind] += 1
     return [(k, inside[k], outside[k]) for k in sorted(inside | outside)]
 
 
@@ -166,18 +222,22 @@ def fit(pages: DataFrame, key: str = "page_id", page: str = "html", rows: int =
     labelled = pages.join(F.broadcast(sample), key, "left_semi").select(page)  # `rows` keys at most
     counts = labelled.mapInArrow(count, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     # Tag names are the page's own, so only those that HTML knows are kept apart.
-    known = [f"tag {n}" for n in sorted(BLOCKS | VOID | BOILERPLATE)] + ["tag a", "tag b", "tag i", "tag em", "tag strong", "tag span", *BOUNDS]
-    return weights([tuple(r) for r in counts.where(F.col("kind").isin(known)).collect()])
+    known = [f"tag {n}" for n in sorted((BLOCKS | VOID | BOILERPLATE | {"a", "b", "i", "em", "strong", "span"}) - {*CONTENT})]
+    return weights([tuple(r) for r in counts.where(~F.col("kind").startswith("tag ") | F.col("kind").isin(known)).collect()])
 
 
 def weights(counts: list[tuple[str, int, int]]) -> dict[str, float]:
-    """Log of the likelihood inside over that outside, within the bounds of the kind."""
-    total_in, total_out = sum(c[1] for c in counts) + PRIOR, sum(c[2] for c in counts) + PRIOR
-    found = {"word": 1.0, "linked word": -0.5, "outer word": -2.0, "poor word": -0.2, "poor tag": -0.1, "tag": -0.2}
-    for kind, inside, outside in counts:
-        weight = math.log((inside + 1) / total_in) - math.log((outside + 1) / total_out)
-        low, high = BOUNDS.get(kind, TAG_BOUNDS)
-        found[kind] = min(high, max(low, weight))
+    """Log of the odds of the inside for each kind, within its bounds; kinds that no page has get that of the prior."""
+    seen = {kind: (inside, outside) for kind, inside, outside in counts}
+    evidence = [f"in {n}" for n in sorted(BOILERPLATE | {"header"})] + [f"mark {w}" for w in sorted(MARKS)] + ["hidden"]
+    priors = {k: (v, WORD_BOUNDS) for k, v in PRIOR_SHARES.items() if k != "evidence"} | {k: (PRIOR_SHARES["evidence"], EVIDENCE_BOUNDS) for k in evidence}
+    found = {"tag": TAG} | {f"tag {n}": BORDER for n in CONTENT}
+    for kind, (share, (low, high)) in priors.items():
+        inside, outside = seen.get(kind, (0, 0))
+        found[kind] = min(high, max(low, math.log((inside + PRIOR * share) / (outside + PRIOR * (1 - share)))))
+    for kind, (inside, outside) in seen.items():
+        if kind.startswith("tag ") and kind not in found:
+            found[kind] = min(TAG_BOUNDS[1], max(TAG_BOUNDS[0], math.log((inside + PRIOR / 2) / (outside + PRIOR / 2))))
     return found
 
 
@@ -193,14 +253,33 @@ def region(scores: list[float]) -> tuple[int, int]:
     return best_at
 
 
+def scored(row: list[Token], weight: dict[str, float]) -> tuple[list[float], list[bool]]:
+    """The score of each token, and whether its evidence keeps it out of the text."""
+    scores, left_out, paid = [], [], {}
+    for token in row:
+        against = min((weight[kind] for e in token.around for kind in e.evidence), default=None)
+        out = against is not None and against < 0
+        left_out.append(out)
+        if not token.text:
+            scores.append(0.0 if out else weight.get(token.kind, TAG))
+        elif out:
+            before = paid.get(token.block, 0.0)
+            paid[token.block] = max(-LEFT_OUT, before + against * token.words)
+            scores.append(paid[token.block] - before)
+        else:
+            scores.append((weight.get(token.kind, 0.0) if against is None else against) * token.words)
+    return scores, left_out
+
+
 def main_text(page: str, weight: dict[str, float]) -> str:
-    """The text of a page's content region, one line a block."""
+    """The text of the blocks that a page's content region reaches, one line a block."""
     row = tokens(page)
-    default = weight["tag"]
-    start, end = region([0.0 if t.inside and t.kind in ("poor word", "poor tag") else weight.get(t.kind, default) * _count(t) for t in row])
+    scores, left_out = scored(row, weight)
+    start, end = region(scores)
+    reached = {token.block for token in row[start:end] if token.words}  # blocks that the region cuts are whole
     blocks: dict[int, list[str]] = {}
-    for token in row[start:end]:
-        if token.text and token.kind != "poor word":
+    for token, out in zip(row, left_out):
+        if token.text and token.block in reached and not out:
             blocks.setdefault(token.block, []).append(token.text)
     lines = (_SPACE.sub(" ", entities.unescape("".join(parts))).strip() for parts in blocks.values())
     return "\n".join(line for line in lines if line)
