@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Vectors are normalised, so that the nearest by distance are the nearest by cosine. Centroids are fitted on
-a bounded sample by splitting it again and again into clusters of even size. Every vector of the table is
-listed under its nearest centroid, and under further ones that are nearly as near and lie in other
-directions, so that a vector near a border is found from both sides. Centroids are searched by a graph of
-their neighbours, held in memory. A query reads the lists whose centroids are within a ratio of its
-distance to the nearest one; the ratio is measured on the sample so as to reach a wanted recall.
-
-Lists may be of any size: each is dealt out over blocks, so that a vector that a third of all rows share
-makes many blocks rather than a long task.
+Vectors are normalised, so that the nearest by distance are the nearest by cosine. Centroids, as many as a
+list length asks for, are fitted on a bounded sample by splitting it again and again into clusters of even
+size. Every vector of the table is listed under its nearest centroid, and near a border under further ones
+that are nearly as near and lie in other directions, so that it is found from both sides. Centroids are
+searched by a graph of their neighbours, held in memory. A query reads the lists whose centroids are within
+a ratio of its distance to the nearest one; both ratios are measured on the sample.
+
+Equal vectors are one point with its smallest keys, so that a vector that a third of all rows share is
+listed once, and searched once however many queries ask for it. A long list, or one of many queries, is
+dealt over a grid of blocks of both.
 """
 
 from __future__ import annotations
@@ -24,15 +25,15 @@ from pyspark.sql import functions as F
 
 from claimcheck.llm.shared import saved
 
-#: Rows of the sample that centroids and the ratio are fitted on, at most: those with the smallest hash.
-SAMPLE_ROWS = 20_000
-#: Rows that a cluster of the sample has on average, and centroids at most.
-CLUSTER_ROWS = 100
-#: A vector's further lists: their distance to the nearest one's at most, and how many lists it is in at most.
-CLOSURE, REPLICAS = 1.08, 4
-#: Recall wanted on the sample, and rows of a block on average.
-RECALL, BLOCK_ROWS = 0.99, 2_000
-GRAPH_DEGREE, BEAM = 16, 64
+#: Points of a list before replication, on average, and lists at most: their graph is held by every worker.
+LIST_ROWS, MOST_LISTS = 50, 8_192
+#: Rows of the sample that centroids and ratios are fitted on: so many, or so many a list, by hash.
+SAMPLE_ROWS, SAMPLE_PER_LIST = 20_000, 20
+#: Lists that a vector is in at most, and the bound of the ratio within which further ones are taken.
+REPLICAS, MOST_CLOSURE = 4, 1.3
+#: Recall wanted on the sample; points and queries of a block on average.
+RECALL, BLOCK_ROWS, BLOCK_QUERIES = 0.96, 4_000, 2_000
+GRAPH_DEGREE, BEAM, LISTING_BEAM = 16, 64, 24
 #: Lists that a query reads at least.
 LEAST_LISTS = 4
 
@@ -59,7 +60,7 @@ def matrix(column) -> np.ndarray:
 
 
 def balanced_centroids(sample: np.ndarray, clusters: int, seed: int = 5) -> np.ndarray:
-    """Centres of ``clusters`` groups of even size: each split cuts at the median between two centres."""
+    """Directions of the centres of ``clusters`` groups of even size: each split cuts at the median between two centres."""
     draw = np.random.default_rng(seed)
     waiting, done = [(np.arange(len(sample)), clusters)], []
     while waiting:
@@ -76,7 +77,10 @@ def balanced_centroids(sample: np.ndarray, clusters: int, seed: int = 5) -> np.n
             order = np.argsort(nearer, kind="stable")
             centres = np.stack([sample[rows[order[:cut]]].mean(axis=0), sample[rows[order[cut:]]].mean(axis=0)])
         waiting += [(rows[order[:cut]], left), (rows[order[cut:]], parts - left)]
-    return np.unique(np.round(np.stack(done), 12), axis=0)
+    found = np.stack(done)
+    size = np.linalg.norm(found, axis=1, keepdims=True)
+    # Lists are compared by angle: short centres, those of wide clusters, would be near to each other and to nothing else.
+    return np.unique(np.round(np.divide(found, size, out=sample[: len(found)].copy(), where=size > 1e-9), 12), axis=0)
 
 
 @dataclass
@@ -85,13 +89,15 @@ class Graph:
 
     centres: np.ndarray
     near: np.ndarray
+    closure: float = 1.0  # further lists of a vector: their distance to the nearest one's at most
 
     @classmethod
     def of(cls, centres: np.ndarray, degree: int = GRAPH_DEGREE) -> Graph:
         count = len(centres)
         near = np.empty((count, min(degree, max(count - 1, 1)) + 1), dtype=np.int64)
         for i in range(count):
-            order = np.argsort(((centres - centres[i]) ** 2).sum(axis=1), kind="stable")
+            distance = -2 * (centres @ centres[i]) + (centres * centres).sum(axis=1)
+            order = np.argsort(distance, kind="stable")
             order = order[order != i][: near.shape[1] - 1] if count > 1 else order
             near[i] = [*order, *[i] * (near.shape[1] - 1 - len(order)), (i + 1) % count]
         return cls(centres, near)
@@ -101,58 +107,87 @@ class Graph:
 
         They are ``least`` at least, as far as there are so many.
 
-        A walk from the first centroid expands the nearest centroid not expanded yet, until it has expanded
-        ``beam`` and all that are within the ratio: what is left to expand is farther then.
+        A walk, of many vectors at a time, from the nearest of a few centroids expands the nearest centroid not
+        expanded yet, until it has expanded ``beam`` and all that are within the ratio: what is left to expand
+        is farther then.
         """
-        found = []
-        for vector in vectors:
-            distance = np.full(len(self.centres), np.inf)
-            distance[0] = ((self.centres[0] - vector) ** 2).sum()
+        found, count = [], len(self.centres)
+        squares = (self.centres * self.centres).sum(axis=1)
+        entries = np.unique(np.linspace(0, count - 1, min(count, 32)).astype(np.int64))
+        for start in range(0, len(vectors), 256):
+            some = vectors[start : start + 256]
+            each, own = np.arange(len(some)), (some * some).sum(axis=1)
+            distance = np.full((len(some), count), np.inf)
+            distance[:, entries] = np.maximum(own[:, None] + squares[entries] - 2 * some @ self.centres[entries].T, 0)
             waiting = distance.copy()  # infinite where unknown or expanded
-            for step in range(len(self.centres)):
-                at = int(waiting.argmin())
-                if not np.isfinite(waiting[at]) or step >= beam and waiting[at] > ratio**2 * distance.min():
+            nearest = distance.min(axis=1)
+            for step in range(count):
+                at = waiting.argmin(axis=1)
+                value = waiting[each, at]
+                going = np.flatnonzero(np.isfinite(value) & ((step < beam) | (value <= ratio**2 * nearest)))
+                if not len(going):
                     break
-                waiting[at] = np.inf
-                new = np.unique(self.near[at][np.isinf(distance[self.near[at]])])
-                distance[new] = waiting[new] = ((self.centres[new] - vector) ** 2).sum(axis=1)
-            order = np.argsort(distance, kind="stable")
-            order = order[np.isfinite(distance[order])]
-            within = order[: max(least, np.searchsorted(distance[order], ratio**2 * distance.min(), side="right"))]
-            found.append((within, np.sqrt(distance[within])))
+                waiting[each, at] = np.inf
+                others = self.near[at[going]]
+                far = np.maximum(own[going, None] + squares[others] - 2 * np.einsum("ijk,ik->ij", self.centres[others], some[going]), 0)
+                new = np.isinf(distance[going[:, None], others])
+                row, column = going[np.nonzero(new)[0]], others[new]
+                distance[row, column] = waiting[row, column] = far[new]
+                np.minimum.at(nearest, row, far[new])
+            for i in each:
+                known = np.flatnonzero(np.isfinite(distance[i]))
+                order = known[np.argsort(distance[i, known], kind="stable")]
+                within = order[: max(least, np.searchsorted(distance[i, order], ratio**2 * distance[i, order[0]], side="right"))]
+                found.append((within, np.sqrt(distance[i, within])))
         return found
 
     def lists_of(self, vectors: np.ndarray) -> list[list[int]]:
-        """The lists that hold each vector: its nearest, and others that no chosen one is nearer to than the vector."""
+        """The lists that hold each vector: its nearest, and others within the closure that no chosen one is nearer to than the vector."""
         chosen = []
-        for found, distances in self.search(vectors, CLOSURE, beam=8):
+        for found, distances in self.search(vectors, self.closure, beam=LISTING_BEAM):
             own = [int(found[0])]
             for centre, distance in zip(found[1:].tolist(), distances[1:].tolist()):
                 if len(own) == REPLICAS:
                     break
-                if all(((self.centres[centre] - self.centres[c]) ** 2).sum() > distance**2 for c in own):
+                if (((self.centres[own] - self.centres[centre]) ** 2).sum(axis=1) > distance**2).all():
                     own.append(centre)
             chosen.append(own)
         return chosen
 
 
+def wanted_closure(graph: Graph, sample: np.ndarray, vectors: int = 2_000) -> float:
+    """The ratio within which half of the sample's vectors have as many lists as ``REPLICAS``, and ``MOST_CLOSURE`` at most."""
+    some = sample[:: max(1, len(sample) // vectors)]
+    ratios = [d[min(REPLICAS, len(d)) - 1] / max(d[0], 1e-12) for _, d in graph.search(some, 1.0, beam=LISTING_BEAM, least=REPLICAS)]
+    return min(MOST_CLOSURE, float(np.median(ratios)) * 1.001)
+
+
 def wanted_ratio(graph: Graph, sample: np.ndarray, top: int, recall: float = RECALL, queries: int = 300) -> float:
     """The least ratio at which the lists read hold ``recall`` of the sample's true neighbours."""
-    lists = graph.lists_of(sample)
-    needed = []
-    for q in range(0, len(sample), max(1, len(sample) // queries)):
-        scores = sample @ sample[q]
-        scores[q] = -np.inf
+    asked = np.arange(0, len(sample), max(1, len(sample) // queries))
+    scores = sample[asked] @ sample.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-scores, axis=1)[:, : min(top, len(sample) - 1)]
+    rows, place = np.unique(best, return_inverse=True)
+    lists, needed = graph.lists_of(sample[rows]), []
+    for q, others in zip(asked, place.reshape(best.shape)):
         distance = np.sqrt(((graph.centres - sample[q]) ** 2).sum(axis=1))
-        needed += [min(distance[c] for c in lists[i]) / max(distance.min(), 1e-12) for i in np.argsort(-scores)[: min(top, len(sample) - 1)]]
+        needed += [distance[lists[i]].min() / max(distance.min(), 1e-12) for i in others]
     return float(np.quantile(needed, recall, method="higher")) * 1.001 if needed else 1.0
 
 
-def fit(vectors: DataFrame, top: int = 5, rows: int = SAMPLE_ROWS) -> tuple[Graph, float]:
-    """Centroid graph and list ratio from a sample of ``rows`` rows of (id, vector) at most."""
-    sample = vectors.orderBy(F.xxhash64("id"), "id", "vector").limit(rows).select("vector").toPandas()["vector"]
-    points = unit(matrix(sample))
-    graph = Graph.of(balanced_centroids(points, max(1, len(points) // CLUSTER_ROWS)))
+def fit(vectors: DataFrame, count: int, top: int = 5) -> tuple[Graph, float]:
+    """Centroid graph and list ratio from a sample of the ``count`` rows (vector), chosen by hash.
+
+    The sample has about ``SAMPLE_ROWS`` rows, or ``SAMPLE_PER_LIST`` for each of ``MOST_LISTS`` lists at most.
+    """
+    lists = max(1, min(MOST_LISTS, count // LIST_ROWS))
+    rows, scale = max(SAMPLE_ROWS, SAMPLE_PER_LIST * lists), 1 << 30
+    sample = vectors if count <= rows else vectors.where(F.pmod(F.xxhash64("vector"), F.lit(scale)) < rows * scale // count)
+    points = unit(matrix(sample.select("vector").toPandas()["vector"]))
+    points = points[np.lexsort(points.T)]  # in an order of their own
+    graph = Graph.of(balanced_centroids(points, lists))
+    graph.closure = wanted_closure(graph, points)
     return graph, wanted_ratio(graph, points, top)
 
 
@@ -160,70 +195,88 @@ def nearest(table: DataFrame, top: int = 5, every: int = 50, key: str = "vec_id"
     """(query_id, rank, vec_id, score): the ``top`` nearest rows found for each row whose key ``every`` divides.
 
     Nearness is the cosine in double precision of the original vectors; ties go to the smaller key. A query
-    doesn't find its own key. Vectors that are null, empty, zero, of another length than the most rows' or
-    that hold a null or non-finite component take no part, and neither do rows with a null key; rows that
-    repeat a key and its vector count once. A key with several vectors is as near as its nearest one, and as
-    a query asks with each. Fewer candidates than ``top`` give fewer rows, an empty table
-    gives none. Extra columns don't matter.
+    doesn't find its own key. Vectors that are null, empty, zero or hold a null or non-finite component take
+    no part, and neither do rows with a null key. Vectors of different lengths have no cosine: each length is
+    searched for itself. Rows that repeat a key and its vector count once. A key with several vectors is as
+    near as its nearest one, and as a query asks with each. Fewer candidates than ``top`` give fewer rows, an
+    empty table gives none. Extra columns don't matter.
     """
     spark = table.sparkSession
     vectors = table.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).where(F.col("id").isNotNull() & usable(F.col("vector")))
-    lengths = vectors.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if lengths is None:
-        return spark.createDataFrame([], schema)
-    vectors = vectors.where(F.size("vector") == lengths.n)
-    graph, ratio = fit(vectors, top)
-
-    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = graph.lists_of(unit(matrix(batch.column(1).to_numpy(zero_copy_only=False))))
-            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), *[c.take(pa.array(row)) for c in batch.columns]], names=["list", "id", "vector"])
-
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [found for found, _ in graph.search(unit(matrix(batch.column(1).to_numpy(zero_copy_only=False))), ratio, least=LEAST_LISTS)]
-            row = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), *[c.take(pa.array(row)) for c in batch.columns]], names=["list", "id", "vector"])
-
-    listed = "list int, id long, vector array<double>"
-    postings = saved(vectors.mapInArrow(posted, listed), "postings")
-    blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    blocks = F.broadcast(saved(blocks, "blocks"))  # one row a centroid: SAMPLE_ROWS / CLUSTER_ROWS at most
-    postings = postings.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).drop("blocks")
-    probes = vectors.where(F.col("id") % every == 0).mapInArrow(probed, listed)
-    probes = probes.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-
-    def distinct(frame: pd.DataFrame) -> pd.DataFrame:
-        """Without the rows that repeat a key and its vector."""
-        if frame["id"].is_unique:
-            return frame
-        return frame[~pd.DataFrame({"id": frame["id"], "vector": [np.asarray(v).tobytes() for v in frame["vector"]]}, index=frame.index).duplicated()]
+    # Of a point's keys, more than `top` + 1 can't be needed: the smallest ones are the nearest, but for the query's own.
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
+    points = vectors.distinct().withColumn("place", place).where(F.col("place") <= top + 1)
+    points = points.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("node", F.monotonically_increasing_id())
+    points = saved(points, "points")
+    asked = vectors.where(F.col("id") % every == 0).distinct()
+    asked = saved(asked.join(points, "vector").select(F.col("id").alias("query_id"), F.col("node").alias("asked")), "asked")
+    found = None
+    for row in points.groupBy(F.size("vector").alias("n")).count().collect():  # one row for each length of a vector
+        some = _found(points.where(F.size("vector") == row.n), row["count"], asked, top)
+        found = some if found is None else found.union(some)
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = asked.join(found, "asked").withColumn("vec_id", F.explode("ids")).where("vec_id <> query_id")
+    rows = rows.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def lists_read(points: DataFrame, asked: DataFrame, graph: Graph, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """Postings and probes: ``list`` and the columns node, vector of ``points``, of all and of the asked ones."""
+
+    def listed(lists_of):
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    lists = lists_of(unit(matrix(batch.column(1).to_numpy(zero_copy_only=False))))
+                    row = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), *[c.take(pa.array(row)) for c in batch.columns]], names=["list", "node", "vector"])
+
+        return deal
+
+    schema = "list int, node long, vector array<double>"
+    rows = points.select("node", "vector")
+    postings = rows.mapInArrow(listed(graph.lists_of), schema)
+    asking = rows.join(asked.select(F.col("asked").alias("node")).distinct(), "node", "left_semi")
+    probes = asking.mapInArrow(listed(lambda v: [found for found, _ in graph.search(v, ratio, least=LEAST_LISTS)]), schema)
+    return postings, probes
+
+
+def _found(points: DataFrame, count: int, asked: DataFrame, top: int) -> DataFrame:
+    """(asked, ids, score): for each asked node the nearest points found, more than ``top`` of them."""
+    graph, ratio = fit(points.select("vector"), count, top)
+    postings, probes = lists_read(points, asked, graph, ratio)
+    postings, probes = saved(postings, "postings"), saved(probes, "probes")
+
+    def blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
+        return rows.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+
+    # one row a list, `MOST_LISTS` at most
+    grid = F.broadcast(saved(blocks(postings, BLOCK_ROWS, "rows").join(blocks(probes, BLOCK_QUERIES, "columns"), "list"), "grid"))
+    own = lambda side: F.pmod(F.xxhash64("node"), F.col(side)).cast("int")
+    every = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+    postings = postings.join(grid, "list").withColumn("row", own("rows")).withColumn("column", every("columns")).drop("rows", "columns")
+    probes = probes.join(grid, "list").withColumn("column", own("columns")).withColumn("row", every("rows")).drop("rows", "columns")
+    most = 2 * top + 2  # distinct vectors, one of which may be the query's own
 
     def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(queries) and len(rows):
-            rows = distinct(rows).sort_values("id", kind="stable")
-            ids, points = rows["id"].to_numpy(), scaled(matrix(rows["vector"]))
-            size = np.sqrt((points * points).sum(axis=1))
-            begins = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            ids = ids[begins]
-            queries = distinct(queries)
+            nodes, given = rows["node"].to_numpy(), scaled(matrix(rows["vector"]))
+            size = np.sqrt(np.einsum("ij,ij->i", given, given))
             for at in range(0, len(queries), 256):
                 some = queries.iloc[at : at + 256]
-                asked, own = scaled(matrix(some["vector"])), some["id"].to_numpy()
-                scores = (asked @ points.T) / np.sqrt((asked * asked).sum(axis=1))[:, None] / size
-                if len(begins) < len(points):
-                    scores = np.maximum.reduceat(scores, begins, axis=1)  # the best of a key's vectors
-                scores[own[:, None] == ids] = -np.inf
-                order = np.argsort(-scores, axis=1, kind="stable")[:, :top]  # ids ascend, so ties go to the smaller
-                best = np.take_along_axis(scores, order, axis=1)
-                row, _ = np.nonzero(np.isfinite(best))
-                parts.append(pd.DataFrame({"query_id": own[row], "vec_id": ids[order[np.isfinite(best)]], "score": best[np.isfinite(best)]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    found = probes.groupBy("list", "block").cogroup(postings.groupBy("list", "block")).applyInPandas(compare, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                vectors = scaled(matrix(some["vector"]))
+                length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+                best = np.argpartition(-(vectors @ given.T) / size, min(most, len(nodes)) - 1, axis=1)[:, :most]
+                row, best = np.repeat(np.arange(len(some)), best.shape[1]), best.ravel()
+                score = np.einsum("ij,ij->i", vectors[row], given[best]) / (length[row] * size[best])  # a pair's own, whatever stands beside it
+                parts.append(pd.DataFrame({"asked": some["node"].to_numpy()[row], "node": nodes[best], "score": score}))
+        return pd.concat(parts) if parts else pd.DataFrame({"asked": [], "node": [], "score": []})
+
+    found = probes.groupBy("list", "row", "column").cogroup(postings.groupBy("list", "row", "column")).applyInPandas(compare, "asked long, node long, score double")
+    found = found.groupBy("asked", "node").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "node"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= most).select("asked", "node", "score")
+    return found.join(points.select("node", "ids"), "node").select("asked", "ids", "score")

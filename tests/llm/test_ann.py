@@ -42,6 +42,7 @@ def test_odd_vectors(spark):
 
 def test_one_vector_that_a_third_of_the_rows_share(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 7)
     draw = np.random.default_rng(3)
     rows = [(i, [1.0, 2.0, 3.0, 4.0] if i % 3 == 0 else draw.normal(size=4).tolist()) for i in range(1500)]
     found = {}
@@ -60,3 +61,24 @@ def test_balanced_centroids_and_graph():
         true = np.sqrt(((centres - p) ** 2).sum(axis=1))
         assert distances[0] == pytest.approx(true.min()) and set(found) == set(np.flatnonzero(true <= 1.3 * true.min()))
     assert all(1 <= len(x) <= ann.REPLICAS for x in graph.lists_of(points[:50]))
+
+
+@pytest.mark.parametrize("kind", ["spread", "clustered"])
+def test_replication_and_pruning_at_20_000_vectors(spark, kind):
+    """Vectors are in several lists, queries read under a quarter of them and find 0.9 of all rows' nearest."""
+    draw = np.random.default_rng(4)
+    points = draw.normal(size=(20_000, 32))
+    if kind == "clustered":
+        points = points / 2 + draw.normal(size=(200, 32))[draw.integers(0, 200, 20_000)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "vec_id long, embedding array<double>").repartition(8)
+    vectors = df.select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector")).cache()
+    graph, ratio = ann.fit(vectors.select("vector"), len(points))
+    asked = vectors.where("node % 50 = 0").select(F.col("node").alias("asked"))
+    postings, probes = ann.lists_read(vectors, asked, graph, ratio)
+    assert len(graph.centres) == 400
+    assert postings.count() / len(points) > (1.2 if kind == "spread" else 1.05) and probes.count() / 400 < 0.25 * len(graph.centres)
+    assert postings.select("node").distinct().count() == len(points)
+    want, got = exact([(i, x) for i, x in enumerate(points)], 50, 5), {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
