@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +29,16 @@ from claimcheck.llm.shared import by_bytes, only, texts_of
 SPACED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ENDED_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that normal forms don't change and that every Unicode version in use classes alike: Latin,
-#: basic Cyrillic, punctuation, currency, common ideographs and syllables. Not the end mark.
-PLAIN = "\x01-ɏА-я‐-‧‰-⁞₠-₿、-〃〈-】一-龥가-힣"
+#: basic Cyrillic, punctuation, currency, common ideographs and syllables. Not the end mark, and not the
+#: separators that Python alone takes for white space.
+PLAIN = "\x01-\x1b\x20-ɏА-я‐-‧‰-⁞₠-₿、-〃〈-】一-龥가-힣"
 _ODD = re.compile(f"[^{PLAIN}]")
 _CUT = re.compile(r"(?= [A-Za-z0-9])")
-END = "\x00"
+END, BETWEEN = "\x00", "\x1f"  # neither is plain
 #: Characters of a part of a long text.
 PART = 1 << 16
+#: Words whose ids a worker keeps, and characters of a word that is worth keeping.
+KEPT, KEPT_CHARS = 300_000, 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -119,6 +122,8 @@ class RankEncoder:
         self.marks, self.words, self.path = set(marks), regex.compile(ENDED_WORDS), path
         self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
         self._library = None
+        self._kept: dict[str, bytes] = {}
+        self._between = ranks.get((BETWEEN + END).encode(), -1)
 
     @classmethod
     def of(cls, path: str) -> RankEncoder | None:
@@ -145,16 +150,27 @@ class RankEncoder:
     def _part(self, text: str) -> bytes:
         if not self.ended:
             return self._ranked(text, self.marks)
-        if not text.isascii() or END in text or "<" in text:
-            if self.special.search(text):
-                return self._by_library(text)
-            if _ODD.search(text):
-                return b"".join(self._by_library(x) if _ODD.search(x) else self._ended(x) for x in safe_parts(text, 500))
+        if "<" in text and self.special.search(text):
+            return self._by_library(text)
+        if _ODD.search(text):
+            return b"".join(self._by_library(x) if _ODD.search(x) else self._ended(x) for x in safe_parts(text, 500))
         return self._ended(text)
 
     def _ended(self, text: str) -> bytes:
-        found = self.words.findall(text.lower())
-        return self._ranked(END.join([*found, ""]), set()) if found else b""
+        """Ids of a text by its words, which end at white space and can so be kept; unknown ones are encoded in one call."""
+        known, words = self._kept, text.lower().split()
+        if new := list(set(words).difference(known)):
+            runs = self.words.findall(f" {BETWEEN} ".join(new))
+            ranks = np.frombuffer(self.core.encode_to_tiktoken_buffer(END.join([*runs, ""]), set()), dtype="<u4")
+            raw, ends = self.table[ranks].tobytes(), [4 * i for i in np.flatnonzero(ranks == self._between).tolist()]
+            known.update(zip(new, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)]))))
+        found = b"".join(map(known.__getitem__, words))
+        if len(known) > KEPT:
+            known.clear()
+        for word in new:
+            if len(word) > KEPT_CHARS:
+                known.pop(word, None)
+        return found
 
     def _by_library(self, text: str) -> bytes:
         self._library = self._library or library_tokenizer(self.path)
