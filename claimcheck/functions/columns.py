@@ -11,6 +11,15 @@ from pyspark.sql.types import BooleanType, DoubleType, FloatType, NumericType, S
 from claimcheck.config import DEFAULTS, Thresholds
 
 
+#: Fixed value: white space as Unicode and Python's strip have it; Java's ``\\s`` is ASCII only.
+WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def stripped(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def quoted(name: str) -> Column:
     """The column of that very name, dots and blanks included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimcheck.functions.columns import stripped
+
 #: Fixed value: what counts as a number in a claim; of whole numbers the sign is left out.
 NUMBER = r"[-+]?\d*\.\d+|\d+"
-_EDGES = r"^\s+|\s+$"
 
 
 def text_lines(texts: DataFrame, source: str = "source_id", text: str = "text") -> DataFrame:
     """(source, ordinal, line): the lines of each text, stripped; blank ones are left out but counted."""
     lines = texts.where(F.col(text).isNotNull()).select(F.col(source), F.posexplode(F.split(F.col(text), "\n")).alias("ordinal", "line"))
-    return lines.withColumn("line", F.regexp_replace("line", _EDGES, "")).where("line != ''")
+    return lines.withColumn("line", stripped(F.col("line"))).where("line != ''")
 
 
 def claims_parse(texts: DataFrame, source: str = "source_id", text: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimcheck.functions.columns import categorical_columns, numeric_columns, quoted, without_nan
+from claimcheck.functions.columns import categorical_columns, numeric_columns, quoted, stripped, without_nan
 from claimcheck.operators.profile import impute_constants, value_counts
 
 
@@ -51,7 +51,7 @@ def impute_mean(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def normalize_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Texts without white space at their ends, in lower case."""
     columns = columns or categorical_columns(df, booleans=False)
-    return _replaced(df, df.columns, {c: F.lower(F.regexp_replace(quoted(c).cast("string"), r"^\s+|\s+$", "")) for c in columns})
+    return _replaced(df, df.columns, {c: F.lower(stripped(quoted(c).cast("string"))) for c in columns})
 
 
 def scale(df: DataFrame, mode: str = "standard", columns: list[str] | None = None) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,34 +40,39 @@ def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with each column replaced by its average rank among the column's values (missing stays missing)."""
-    borders, rows = bucket_borders(df, columns), df
-    for c in columns:
-        ranks = ranked_values(rows, {c: borders[c]}).select(F.col("value").alias("_value"), (F.col("before") + (F.col("n") + 1) / 2.0).alias("_rank"))
-        df = df.join(ranks, quoted(c).cast("double") == ranks["_value"], "left").drop("_value").withColumn(c, F.col("_rank")).drop("_rank")
-    return df
+    """The ``columns`` of ``df`` as average ranks among each column's values (missing stays missing), rows in any order.
+
+    All columns are ranked at once: values and ranks meet in long form, and rows are put together again.
+    """
+    ranks = ranked_values(df, bucket_borders(df, columns)).select("column", "value", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("value")) for c in columns])
+    rows = df.select(F.monotonically_increasing_id().alias("row"), cells.alias("cells"))  # an id of the row, so before it is dealt out
+    long = rows.select("row", F.inline("cells")).where(F.col("value").isNotNull())
+    return long.join(ranks, ["column", "value"]).groupBy("row").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns]).drop("row")
 
 
 def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(var1, var2, n, rho): Pearson on average ranks among the rows that have both values.
 
-    Columns without missing values share their ranks over all their pairs; other pairs are ranked on the
-    rows that are complete for them.
+    Columns without missing values share their ranks over all their pairs; in other pairs each side is
+    ranked over the rows that are complete for the pair.
     """
     df = without_nan(df)
     columns = columns or numeric_columns(df)
-    empty = df.sparkSession.createDataFrame([], "var1 string, var2 string, n long, rho double")
     if len(columns) < 2:
-        return empty
-    df = df.select(*[quoted(c) for c in columns])
+        return df.sparkSession.createDataFrame([], "var1 string, var2 string, n long, rho double")
     missing = df.agg(*[F.count_if(quoted(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    full = [c for i, c in enumerate(columns) if not missing[i]]
-    parts = [_all_pairs(average_ranks(df.select(*[quoted(c) for c in full]), full), pairs(full), "rho")] if len(full) > 1 else []
+    full = {c for i, c in enumerate(columns) if not missing[i]}
+    sides, of = {}, {}
     for a, b in pairs(columns):
-        if not (a in full and b in full):
-            rows = df.select(quoted(a), quoted(b)).where(quoted(a).isNotNull() & quoted(b).isNotNull())
-            parts.append(_all_pairs(average_ranks(rows, [a, b]), [(a, b)], "rho"))
-    return reduce(DataFrame.unionByName, parts) if parts else empty
+        own = [(c, "" if {a, b} <= full else f"{a} {b}") for c in (a, b)]
+        for c, pair in own:
+            sides.setdefault((c, pair), (f"s{len(sides)}", quoted(c) if not pair else F.when(quoted(a).isNotNull() & quoted(b).isNotNull(), quoted(c))))
+        of[sides[own[0]][0], sides[own[1]][0]] = (a, b)
+    ranks = average_ranks(df.select(*[value.cast("double").alias(name) for name, value in sides.values()]), [name for name, _ in sides.values()])
+    named = df.sparkSession.createDataFrame([(*ranked, *pair) for ranked, pair in of.items()], "one string, other string, a string, b string")
+    found = _all_pairs(ranks, list(of), "rho").join(F.broadcast(named), (F.col("var1") == F.col("one")) & (F.col("var2") == F.col("other")))  # one row a pair
+    return found.select(F.col("a").alias("var1"), F.col("b").alias("var2"), "n", "rho")
 
 
 def _p(r: Column, n: Column) -> Column:

@@ -36,25 +36,30 @@ def group_moments(df: DataFrame, numbers: list[str] | None = None, categories: l
     return long.where(F.col("level").isNotNull() & (F.col("n") > 0)).select("var1", "var2", "level", "n", "mean", "variance")
 
 
+#: Levels of which ``details`` has the means; those of categories with more are in the moments.
+SHOWN_LEVELS = 1_000
+
+
 def group_tests(moments: DataFrame) -> DataFrame:
     """(var1, var2, test, n_groups, n, stat, dof1, dof2, p_value, highest, lowest, details) of each pair.
 
     Levels with two rows or more are tested: Welch's t-test of two (in the order of the levels), analysis of
     variance of more. If nothing varies within the groups, means that differ give an infinite statistic and
-    p-value zero, and equal means give none. ``details`` has the means of all levels.
+    p-value zero, and equal means give none. ``details`` has the means of all levels, and is null where they
+    are over ``SHOWN_LEVELS``: a column of names must not end in one row; ``moments`` has them all.
     """
     usable = F.col("n") >= 2
     n, mean, variance = F.when(usable, F.col("n")), F.when(usable, F.col("mean")), F.when(usable, F.col("variance"))
+    overall = moments.groupBy("var1", "var2").agg((F.sum(n * mean) / F.sum(n)).alias("grand"), F.count("*").alias("levels"))
+    moments = moments.join(overall, ["var1", "var2"])
     first, last = (f(F.when(usable, F.struct("level", "n", "mean", "variance"))) for f in (F.min, F.max))
     sums = moments.groupBy("var1", "var2").agg(
-        F.count(n).alias("n_groups"), F.sum(n).alias("n"), F.sum(n * mean).alias("total"), F.sum((n - 1) * variance).alias("within"),
-        F.collect_list(F.when(usable, F.struct("n", "mean"))).alias("groups"), first.alias("a"), last.alias("b"),
+        F.count(n).alias("n_groups"), F.sum(n).alias("n"), F.sum((n - 1) * variance).alias("within"), F.sum(n * (mean - F.col("grand")) * (mean - F.col("grand"))).alias("between"),
+        first.alias("a"), last.alias("b"), F.max("levels").alias("levels"),
         F.min_by("level", F.struct(-F.col("mean"), F.col("level"))).alias("highest"), F.min_by("level", F.struct("mean", "level")).alias("lowest"),
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("level", "mean")))).alias("details"),
+        F.sort_array(F.collect_list(F.when(F.col("levels") <= SHOWN_LEVELS, F.struct("level", "mean")))).alias("shown"),
     ).where("n_groups >= 2")
-    grand = F.col("total") / F.col("n")
-    between = F.aggregate("groups", F.lit(0.0), lambda acc, g: acc + g["n"] * (g["mean"] - F.col("grand")) * (g["mean"] - F.col("grand")))
-    sums = sums.withColumn("grand", grand).withColumn("between", between)
+    sums = sums.withColumn("details", F.when(F.col("levels") <= SHOWN_LEVELS, F.map_from_entries("shown")))
     va, vb = F.col("a.variance") / F.col("a.n"), F.col("b.variance") / F.col("b.n")
     error, gap = va + vb, F.col("a.mean") - F.col("b.mean")
     infinite = F.lit(float("inf"))

@@ -1,12 +1,16 @@
 """Summaries of tables as tables: statistics, value counts, missing values, histograms, outliers.
 
-Exact quantiles come from value counts: distinct values are counted in Spark, and a value's rank is the
-rows of the buckets below it and of the smaller values in its own. Bucket borders are a few hundred
-approximate quantiles, so that no column is ever sorted or held in one task.
+Exact quantiles take a narrow range around each one from approximate quantiles, and rank the values in that
+range alone. Ranks of all values come from value counts: a value's rank is the rows of the buckets below it
+and of the smaller values in its own. Bucket borders are a few hundred approximate quantiles, so that no
+column is ever sorted or held in one task.
 """
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +19,19 @@ from claimcheck.functions.columns import categorical_columns, long_numbers, long
 QUARTILES = (0.25, 0.5, 0.75)
 #: Buckets that the values of a column are ranked in.
 BUCKETS = 256
+#: Accuracy of the approximate quantiles around an exact one, and the rows up to which all values are ranked.
+ACCURACY, FEW_ROWS = 10_000, 100_000
+
+
+def _number(column: str) -> Column:
+    value = quoted(column).cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def bucket_borders(df: DataFrame, columns: list[str], buckets: int = BUCKETS) -> dict[str, list[float]]:
     """Approximate quantiles of each column, by one job; the driver holds ``buckets`` numbers a column."""
     steps = [(i + 1) / buckets for i in range(buckets - 1)]
-    finite = [F.when(~F.isnan(quoted(c).cast("double")), quoted(c).cast("double")) for c in columns]
-    found = df.agg(*[F.percentile_approx(x, steps, 10 * buckets).alias(f"b{i}") for i, x in enumerate(finite)]).first() if columns else ()
+    found = df.agg(*[F.percentile_approx(_number(c), steps, 10 * buckets).alias(f"b{i}") for i, c in enumerate(columns)]).first() if columns else ()
     return {c: sorted(set(found[i] or [])) for i, c in enumerate(columns)}
 
 
@@ -30,9 +40,13 @@ def ranked_values(df: DataFrame, borders: dict[str, list[float]]) -> DataFrame:
     spark = df.sparkSession
     if not borders:
         return spark.createDataFrame([], "column string, value double, n long, before long, total long")
-    counts = long_numbers(df, list(borders)).groupBy("column", "value").agg(F.count("*").alias("n"))
-    counts = counts.join(F.broadcast(spark.createDataFrame(list(borders.items()), "column string, borders array<double>")), "column")  # one row a column
-    counts = counts.withColumn("bucket", F.aggregate("borders", F.lit(0), lambda n, b: n + (b < F.col("value")).cast("int"))).drop("borders")
+    names = range(len(borders))
+    wide = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(borders)])
+    infinite = float("inf")
+    splits = [[-infinite, *([b for b in found if abs(b) < infinite] or [0.0]), infinite] for found in borders.values()]
+    wide = Bucketizer(inputCols=[f"v{i}" for i in names], outputCols=[f"b{i}" for i in names], splitsArray=splits, handleInvalid="keep").transform(wide)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b{i}").alias("bucket"), F.col(f"v{i}").alias("value")) for i, c in enumerate(borders)])
+    counts = wide.select(F.inline(cells)).where(F.col("value").isNotNull()).groupBy("column", "bucket", "value").agg(F.count("*").alias("n"))
     smaller = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("within", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
     sums = counts.groupBy("column", "bucket").agg(F.sum("n").alias("rows"))  # one row a bucket
@@ -42,24 +56,60 @@ def ranked_values(df: DataFrame, borders: dict[str, list[float]]) -> DataFrame:
     return counts.join(sums, ["column", "bucket"]).select("column", "value", "n", (F.col("lower") + F.col("within")).alias("before"), "total")
 
 
-def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = QUARTILES) -> DataFrame:
-    """(column, q0, q1, ...): exact quantiles with linear interpolation between neighbours."""
-    ranked = ranked_values(df, bucket_borders(df, columns))
-
-    def at_rank(rank: Column) -> Column:
-        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("value")))
-
-    places = [(F.col("total") - 1) * F.lit(q) for q in at]
-    parts = [at_rank(end(place)).alias(f"{name}{i}") for i, place in enumerate(places) for name, end in (("low", F.floor), ("high", F.ceil))]
-    found = ranked.groupBy("column").agg(F.max("total").alias("total"), *parts)
-    return found.select("column", *[(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (place - F.floor(place))).alias(f"q{i}") for i, place in enumerate(places)])
+def approximate_quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = QUARTILES, accuracy: int = ACCURACY) -> DataFrame:
+    """(column, q0, q1, ...) in one pass: values whose rank is off by one in ``accuracy`` of the rows at most, not interpolated."""
+    found = df.agg(*[F.percentile_approx(_number(c), list(at), accuracy).alias(f"q{i}") for i, c in enumerate(columns)])
+    cells = [F.struct(F.lit(c).alias("column"), *[F.col(f"q{i}")[k].alias(f"q{k}") for k in range(len(at))]) for i, c in enumerate(columns)]
+    return found.select(F.inline(F.array(*cells))).where("q0 IS NOT NULL")
 
 
-def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, count, mean, std, min, p25, p50, p75, max) of the numeric columns; NaN counts as missing."""
+def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = QUARTILES) -> DataFrame:
+    """(column, q0, q1, ...): exact quantiles with linear interpolation between neighbours.
+
+    Runs up to three jobs at once and returns their few numbers for each column as a table. Values between
+    the two approximate quantiles around each quantile, about one in 2,500, are ranked by their counts.
+    """
+    spark, reach = df.sparkSession, 2 / ACCURACY
+    schema = "column string, " + ", ".join(f"q{i} double" for i in range(len(at)))
+    if not columns:
+        return spark.createDataFrame([], schema)
+    steps = [min(1.0, max(0.0, q + side)) for q in at for side in (-reach, reach)]
+    found = df.agg(*[x for i, c in enumerate(columns) for x in (F.count(_number(c)).alias(f"n{i}"), F.percentile_approx(_number(c), steps, ACCURACY).alias(f"a{i}"))]).first()
+    totals = {c: found[f"n{i}"] for i, c in enumerate(columns) if found[f"n{i}"]}
+    # For each column and quantile: its range of values, and the rows below it. Few rows are ranked whole.
+    ranges = {(c, k): (found[f"a{i}"][2 * k], found[f"a{i}"][2 * k + 1]) if found[f"n{i}"] > FEW_ROWS else (None, None) for i, c in enumerate(columns) if c in totals for k in range(len(at))}
+    narrow = [key for key, (low, _) in ranges.items() if low is not None]
+    rows = df.agg(*[F.count_if(_number(c) < ranges[c, k][0]).alias(f"r{i}") for i, (c, k) in enumerate(narrow)]).first() if narrow else ()
+    below = dict.fromkeys(ranges, 0) | dict(zip(narrow, rows))
+    wanted, cells = [], []
+    for number, ((c, k), (low, high)) in enumerate(ranges.items()):
+        place = (totals[c] - 1) * at[k] - below[c, k]
+        wanted.append((number, math.floor(place), math.ceil(place)))
+        value = _number(c) if low is None else F.when(_number(c).between(low, high), _number(c))
+        cells.append(F.struct(F.lit(number).alias("number"), value.alias("value")))
+    values = {}
+    if cells:
+        counts = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()).groupBy("number", "value").agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("number").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        near = counts.withColumn("before", before).join(F.broadcast(spark.createDataFrame(wanted, "number int, low long, high long")), "number")
+        held = lambda rank: (F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("before") + F.col("n"))
+        values = {r.number: (r.a, r.b) for r in near.groupBy("number").agg(F.max(F.when(held("low"), F.col("value"))).alias("a"), F.max(F.when(held("high"), F.col("value"))).alias("b")).collect()}
+    result = {c: [] for c in totals}
+    for number, (c, k) in enumerate(ranges):
+        low, high = values[number]
+        place = (totals[c] - 1) * at[k]
+        result[c].append(low + (high - low) * (place - math.floor(place)))
+    return spark.createDataFrame([(c, *q) for c, q in result.items()], schema)
+
+
+def profile_numeric(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:
+    """(column, count, mean, std, min, p25, p50, p75, max) of the numeric columns; NaN counts as missing.
+
+    With ``approximate`` the quartiles are ``approximate_quantiles``, in one pass.
+    """
     columns = numeric_columns(df) if columns is None else columns
     basic = long_numbers(df, columns).groupBy("column").agg(F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    quart = quantiles(df, columns).toDF("column", "p25", "p50", "p75")
+    quart = (approximate_quantiles if approximate else quantiles)(df, columns).toDF("column", "p25", "p50", "p75")
     return basic.join(quart, "column").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -86,6 +136,11 @@ def missing_values(df: DataFrame) -> DataFrame:
     return counts.select(F.inline(F.array(*cells)))
 
 
+def first_rows(df: DataFrame, order: list[str] | None = None, rows: int = 3) -> DataFrame:
+    """The first ``rows`` rows by the columns ``order``, or as they are read: what a summary of a table shows."""
+    return (df.orderBy(*[quoted(c) for c in order]) if order else df).limit(rows)
+
+
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """(bin, low, high, n): rows in ``bins`` ranges of even width; the last one includes the largest value."""
     value = quoted(column).cast("double")

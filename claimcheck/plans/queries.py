@@ -120,6 +120,11 @@ def _(spark, folder):
     return profile.missing_values(orders(spark, folder))
 
 
+@query("first_rows", "SELECT o_orderkey, status, priority FROM " + ORDERS_SQL + " ORDER BY o_orderkey LIMIT 3")
+def _(spark, folder):
+    return profile.first_rows(orders(spark, folder).select("o_orderkey", "status", "priority"), ["o_orderkey"])
+
+
 @query("histogram", "SELECT CAST(b AS INTEGER) AS bin, round(lo + w * b, 6) AS low, round(lo + w * (b + 1), 6) AS high, count(*) AS n FROM (SELECT least(floor((p_retailprice - lo) / w), 19) AS b, lo, w FROM part, (SELECT min(p_retailprice) AS lo, (max(p_retailprice) - min(p_retailprice)) / 20 AS w FROM part)) GROUP BY b, lo, w")
 def _(spark, folder):
     return rounded(profile.histogram(read(spark, folder, "part"), "p_retailprice"))
@@ -270,6 +275,12 @@ def _(spark, folder):
     return rounded(groups.group_findings(facts(spark, folder), NUMBERS, CATEGORIES).drop("details"), 5)
 
 
+@query("group_details", f"SELECT m.var1, m.var2, m.level, round(m.mean, 4) AS mean FROM ({oracle.moments(FACTS_SQL, NUMBERS, CATEGORIES)}) m JOIN ({oracle.group_tests(FACTS_SQL, NUMBERS, CATEGORIES)}) t ON m.var1 = t.var1 AND m.var2 = t.var2 WHERE t.p_value < 0.05")
+def _(spark, folder):
+    found = groups.group_findings(facts(spark, folder), NUMBERS, CATEGORIES)
+    return rounded(found.select("var1", "var2", F.explode("details").alias("level", "mean")), 4)
+
+
 @query("contingency", oracle.contingency(ORDERS_SQL, ["status", "priority"]))
 def _(spark, folder):
     return associate.contingency(orders(spark, folder), ["status", "priority"])
@@ -504,16 +515,21 @@ def _(spark, folder):
 RUN = ("orders", "given", "2026-01-01 00:00:00")
 
 
-@query("report_json", f"SELECT 'detail' AS section, source_id, ordinal, status, reason, NULL AS total FROM {VERDICTS_SQL} UNION ALL SELECT 'summary', NULL, NULL, NULL, NULL, total_claims FROM ({metrics_sql()})")
+_SHOWN = "status = 'HALLUCINATION_DIRECTION' OR reason = 'Relationship confirmed by statistics'"
+_DETAIL = f"'detail' AS section, source_id, ordinal, original_text, direction, strength, status, reason, CASE WHEN {_SHOWN} THEN t1 END AS truth_var1, CASE WHEN {_SHOWN} THEN t2 END AS truth_var2, CASE WHEN {_SHOWN} THEN t_direction END AS truth_direction, NULL AS dataset, NULL AS total, NULL AS valid, NULL AS rate, NULL AS score"
+
+
+@query("report_json", f"SELECT {_DETAIL} FROM {VERDICTS_SQL} UNION ALL SELECT 'summary', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '{RUN[0]}', total_claims, valid_claims, hallucination_rate, insight_validity_score FROM ({metrics_sql()})")
 def _(spark, folder):
     found = verdict_rows(spark, folder)
     rows = report.report_json(found, metrics.verdict_metrics(found), *RUN)
-    field = lambda path: F.get_json_object("body", path)
-    return rows.select("section", "source_id", "ordinal", field("$.status").alias("status"), field("$.reason").alias("reason"), field("$.metrics.total_claims").cast("long").alias("total"))
+    paths = {"original_text": "claim.original_text", "direction": "claim.direction", "strength": "claim.strength", "status": "status", "reason": "reason", "truth_var1": "ground_truth.var1", "truth_var2": "ground_truth.var2", "truth_direction": "ground_truth.direction", "dataset": "metadata.dataset"}
+    numbers = {"total": ("metrics.total_claims", "long"), "valid": ("metrics.valid_claims", "long"), "rate": ("metrics.hallucination_rate", "double"), "score": ("metrics.insight_validity_score", "double")}
+    texts_of_body = [F.get_json_object("body", f"$.{path}").alias(name) for name, path in paths.items()]
+    return rows.select("section", "source_id", "ordinal", *texts_of_body, *[F.get_json_object("body", f"$.{path}").cast(kind).alias(name) for name, (path, kind) in numbers.items()])
 
 
 _ICON = "CASE WHEN status = 'VALID' THEN '✅' WHEN status LIKE '%HALLUCINATION%' THEN '❌' ELSE '⚠️' END"
-_SHOWN = "status = 'HALLUCINATION_DIRECTION' OR reason = 'Relationship confirmed by statistics'"
 _BLOCK = f"list_filter(['', concat('### ', CAST(row_number() OVER (PARTITION BY source_id ORDER BY ordinal) AS VARCHAR), '. ', {_ICON}, ' ', status), concat('**Claim:** \"', original_text, '\"'), concat('**Reason:** ', reason), CASE WHEN {_SHOWN} THEN concat('**Ground Truth:** ', t1, ' vs ', t2, ' (', t_strength, ' ', t_direction, ')') END], lambda x: x IS NOT NULL)"
 _TOP = f"['# Hallucination Analysis Report', '**Dataset:** {RUN[0]}', '**Model:** {RUN[1]}', '**Date:** {RUN[2]}', '', '## Executive Summary', concat('- **Total Claims:** ', total_claims), concat('- **Valid Claims:** ', valid_claims), concat('- **Hallucinations:** ', hallucinations), concat('- **Hallucination Rate:** ', printf('%.2f', hallucination_rate * 100), '%'), concat('- **Insight Validity Score:** ', printf('%.2f', insight_validity_score * 100), '%'), '', '## Detailed Validation']"
 

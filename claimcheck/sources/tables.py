@@ -5,21 +5,39 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StructType
 
 READERS = ("csv", "json", "parquet")
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV file with a header and inferred types; read as Latin-1 if it isn't UTF-8."""
-    reader = spark.read.options(header=True, inferSchema=True, nullValue="", multiLine=True, escape='"')
-    df = reader.csv(path, encoding=encoding)
-    texts = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
-    bad = [F.col("`" + c.replace("`", "``") + "`").contains("�") for c in texts]
-    named = any("�" in c for c in df.columns)
-    if encoding == "UTF-8" and (named or bad and not df.where(F.array_contains(F.array(*[F.coalesce(b, F.lit(False)) for b in bad]), True)).isEmpty()):
-        return reader.csv(path, encoding="ISO-8859-1")
-    return df
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multi_line: bool | None = None, schema: StructType | str | None = None) -> DataFrame:
+    """A CSV file with a header; read as UTF-8, or as Latin-1 if it isn't UTF-8.
+
+    Without ``schema`` types are inferred, by a pass of their own. One more pass finds out the encoding, and
+    whether a quoted value goes over several lines, unless both are given: only such files (``multi_line``)
+    are read whole by one task each, all others are split.
+    """
+    if encoding is None or multi_line is None:
+        line = F.col("value")
+        quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+        odd, cut = spark.read.text(path).agg(F.bool_or(~F.is_valid_utf8(line)), F.bool_or(quotes % 2 == 1)).first()
+        encoding = encoding or ("ISO-8859-1" if odd else "UTF-8")
+        multi_line = bool(cut) if multi_line is None else multi_line
+    reader = spark.read.options(header=True, nullValue="", multiLine=multi_line, escape='"', encoding=encoding)
+    return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+
+
+def read_json(spark: SparkSession, path: str, multi_line: bool | None = None, schema: StructType | str | None = None) -> DataFrame:
+    """JSON lines, split like any text; or one array or object a file (``multi_line``), read by one task each.
+
+    Unless it is given, ``multi_line`` follows from the first line with text: a whole object stands on it or not.
+    """
+    if multi_line is None:
+        first = spark.read.text(path).where(F.trim("value") != "").first()
+        text = first.value.strip() if first else ""
+        multi_line = bool(text) and (text.startswith("[") or not text.endswith("}"))
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(path, multiLine=multi_line)
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
@@ -33,7 +51,7 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     try:
         if kind == "csv":
             return read_csv(spark, path)
-        return spark.read.json(path, multiLine=True) if kind == "json" else spark.read.parquet(path)
+        return read_json(spark, path) if kind == "json" else spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(path) from error

@@ -105,3 +105,23 @@ def test_plan_reads_the_table_once(spark, tmp_path, people):
     assert plan.count("FileScan") == 1
     plan = correlate.pearson(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "kind" not in plan.split("ReadSchema")[1]
+
+
+def test_quantiles_of_many_rows_look_at_a_narrow_range(spark, monkeypatch):
+    monkeypatch.setattr(profile, "FEW_ROWS", 1_000)
+    df = spark.range(60_000).selectExpr("double(pmod(xxhash64(id), 100000)) a", "if(id % 3 = 0, 5.0D, double(id % 7)) b", "if(id % 2 = 0, null, double(id)) c", "if(id % 5 = 0, double('nan'), double(-id)) d")
+    rows = df.toPandas()
+    found = {r.column: (r.q0, r.q1, r.q2, r.q3) for r in profile.quantiles(df, list("abcd"), (0.0, 0.25, 0.5, 1.0)).collect()}
+    for c in "abcd":
+        assert found[c] == pytest.approx(tuple(rows[c].dropna().quantile([0.0, 0.25, 0.5, 1.0])))
+    near = {r.column: r.q0 for r in profile.approximate_quantiles(df, ["a", "c"], (0.5,)).collect()}
+    assert near["a"] == pytest.approx(rows["a"].median(), abs=50) and near["c"] == pytest.approx(rows["c"].dropna().median(), abs=20)
+    assert profile.quantiles(df.where("false"), ["a"]).isEmpty() and profile.profile_numeric(df, ["a"], approximate=True).count() == 1
+
+
+def test_details_of_many_levels_stay_in_the_moments(spark, monkeypatch):
+    monkeypatch.setattr(groups, "SHOWN_LEVELS", 10)
+    moments = groups.group_moments(spark.range(200).selectExpr("double(id * id % 17) v", "string(id % 40) many", "string(id % 5) few"))
+    found = {r.var2: r for r in groups.group_tests(moments).collect()}
+    assert found["many"].details is None and found["many"].n_groups == 40 and len(found["few"].details) == 5
+    assert moments.where("var2 = 'many'").count() == 40

@@ -69,6 +69,36 @@ def test_sources(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 3
 
 
+def test_files_are_split_unless_a_value_goes_over_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,name\n1,"two\nlines"\n2,"a ""quoted"" word"\n')
+    assert sorted(r.name for r in tables.load_table(spark, str(tmp_path / "a.csv")).collect()) == ['a "quoted" word', "two\nlines"]
+    (tmp_path / "b.csv").write_text("x,name\n" + "".join(f"{i},n{i}\n" for i in range(5000)))
+    wide = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        assert tables.load_table(spark, str(tmp_path / "b.csv")).rdd.getNumPartitions() > 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", wide)
+    given = tables.read_csv(spark, str(tmp_path / "b.csv"), encoding="UTF-8", multi_line=False, schema="x string, name string")
+    assert given.dtypes == [("x", "string"), ("name", "string")] and given.count() == 5000
+    (tmp_path / "lines.json").write_text('{"x": 1}\n{"x": 2}\n{"x": 3}\n')
+    (tmp_path / "one.json").write_text('{\n "x": 1\n}\n')
+    assert tables.load_table(spark, str(tmp_path / "lines.json")).count() == 3
+    assert [r.x for r in tables.load_table(spark, str(tmp_path / "one.json")).collect()] == [1]
+    assert tables.read_json(spark, str(tmp_path / "lines.json"), schema="x double").dtypes == [("x", "double")]
+
+
+def test_white_space_is_unicodes(spark):
+    texts = ["\u00a0 A\u2003", "\x85b\x1c", "\u3000c d\u2028\t", "  "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert sorted(r.t for r in clean.normalize_text(df).collect()) == sorted(t.strip().lower() for t in texts)
+
+
+def test_first_rows(spark):
+    df = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b"), (4, "d")], "n long, `a.b` string")
+    assert [r.n for r in profile.first_rows(df, ["a.b"], 2).collect()] == [1, 2] and profile.first_rows(df).count() == 3
+
+
 def test_models(spark, tmp_path):
     rows = [(i, float(i % 10), "ab"[i % 2], float(i % 10) * 2, "hi" if i % 10 > 4 else "lo") for i in range(200)]
     df = model.train_test_split(spark.createDataFrame(rows, "id long, x double, t string, y double, z string"), "id")
@@ -104,3 +134,18 @@ def test_stream(spark, tmp_path):
     assert sorted((r.source_id, r.ordinal, r.status) for r in spark.table("found").collect()) == [(1, 0, "VALID"), (2, 0, "HALLUCINATION_DIRECTION"), (2, 1, "UNVERIFIED")]
     timed = spark.sql("SELECT timestamp '2026-01-01 00:03:00' AS at, 'VALID' AS status UNION ALL SELECT timestamp '2026-01-01 00:14:00', 'UNVERIFIED'")
     assert [r.total_claims for r in windowed_metrics(timed, "at").orderBy("window").collect()] == [1, 1]
+
+
+def test_windows_of_a_stream_close_at_the_watermark(spark, tmp_path):
+    schema = "at timestamp, status string"
+    (tmp_path / "in").mkdir()
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    run = windowed_metrics(rows, "at").writeStream.format("memory").queryName("windows").outputMode("append").start()
+    try:
+        for i, lines in enumerate([["00:01", "00:04"], ["02:00"], ["00:02", "02:30"], ["04:00"]]):
+            (tmp_path / "in" / f"{i}.json").write_text("".join('{"at": "2026-01-01T%s:00", "status": "VALID"}\n' % x for x in lines))
+            run.processAllAvailable()
+        closed = {r.window.start.strftime("%H:%M"): r.total_claims for r in spark.table("windows").collect()}
+    finally:
+        run.stop()
+    assert closed["00:00"] == 2  # the late row came after the watermark
