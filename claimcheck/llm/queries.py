@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimcheck.llm import ann, bpe, html, packing, quality, records, secrets, sharding, simhash, tokens
+from claimcheck.llm import ann, bpe, html, oracle, packing, quality, records, secrets, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,6 +75,16 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(docs, ratios).drop("text")
 
 
+def secrets_base(spark: SparkSession, folder: str) -> DataFrame:
+    """What SQL can check of op8's result."""
+    return op8_secrets(spark, folder).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def quality_base(spark: SparkSession, folder: str) -> DataFrame:
+    """What SQL can check of op10's result."""
+    return op10_quality(spark, folder).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_ann": op2_ann,
@@ -86,7 +96,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "secrets_base": secrets_base,
+    "quality_base": quality_base,
 }
 
 #: DuckDB SQL of the operators that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_sharding": oracle.sharding(24), "secrets_base": oracle.SECRETS_BASE, "quality_base": oracle.QUALITY_BASE}
