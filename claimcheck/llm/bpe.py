@@ -33,6 +33,10 @@ _CUT = re.compile(r"(?= \S)")
 KEPT_CHARS = 48
 
 
+#: Pairs of tokens whose compatibility a worker keeps.
+PAIRS = 300_000
+
+
 def safe_pieces(text: str) -> list[str]:
     """``text`` cut before each space that a non-space follows; the pieces joined are the text."""
     return _CUT.split(text)
@@ -122,7 +126,7 @@ class Vocabulary:
         for r, raw in enumerate(self.raw):
             self.finder.add_word(raw.decode("latin-1"), (r, len(raw)))
         self.finder.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}  # pairs met so far, up to a bound
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.packed = [np.array([i], dtype="<u4").tobytes() for i in self.ids]
         # decoding: all token bytes in a row, and where each id's bytes begin and end
@@ -139,7 +143,8 @@ class Vocabulary:
         merges on either side, latest first, and look for a merge of the two parts at the border that is
         earlier than all that were undone.
         """
-        found = self.compatible.get((left, right))
+        pair = left << 32 | right
+        found = self.compatible.get(pair)
         if found is None:
             a, b, before = left, right, 1 << 60
             found = True
@@ -162,9 +167,9 @@ class Vocabulary:
                     a, before = tail, a
                 else:
                     break
-            if len(self.compatible) > 2_000_000:
+            if len(self.compatible) >= PAIRS:
                 self.compatible.clear()
-            self.compatible[left, right] = found
+            self.compatible[pair] = found
         return found
 
     def encode_word(self, word: bytes) -> list[int]:
