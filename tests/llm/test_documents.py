@@ -116,6 +116,35 @@ def test_sharding(spark):
     assert len(few) == 3 and {r.slot for r in few} == {0}
 
 
+def test_sharding_of_many_rows_without_a_key(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MANY", 100)
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) doc_id", "'s' source", "if(id % 3 = 0, 'same', concat('t', id)) text")
+    rows = sharding.assign(df, 6).collect()
+    assert len(rows) == 3000 and Counter(r.shard for r in rows) == {i: 500 for i in range(6)}
+    held = Counter(r.shard for r in rows if r.doc_id is None)  # shuffled among the others
+    assert sum(held.values()) == 1000 and min(held.values()) > 120
+    assert all(sorted(r.slot for r in rows if r.shard == i) == list(range(500)) for i in range(6))
+
+
+def test_sharding_query_against_brute_force(spark):
+    """The order of the whole table made again by sorting all rows: hash rank in the source, then fraction."""
+    given = spark.read.parquet(f"{FOLDER}/documents.parquet").collect()
+    total, by = len(given), {}
+    for r in given:
+        crc = zlib.crc32((r.text or "").encode())
+        mixed = int(hashlib.md5(f"17:{r.doc_id}:{crc}".encode()).hexdigest()[:15], 16)
+        by.setdefault(f"={r.source}", []).append((mixed, r.doc_id, crc, len((r.text or "").encode()) + 8))
+    order = []
+    for source, rows in by.items():
+        order += [((2 * i + 1) / (2 * len(rows)), source, *row) for i, row in enumerate(sorted(rows))]
+    want = {}
+    for position, (_, _, _, doc_id, crc, size) in enumerate(sorted(order)):
+        shard = position * 24 // total
+        want[doc_id] = (size, crc, "rows", shard, position - -(-shard * total // 24), None)
+    got = {r.doc_id: (r["size"], r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in queries.op6_sharding(spark, FOLDER).collect()}
+    assert got == want
+
+
 def test_sharding_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, "s", "t")] * 50 + [(None, "s", "t")] * 50, "doc_id long, source string, text string")
     found = sharding.assign(df, 4).collect()
