@@ -42,6 +42,37 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of a computation of several steps, deleted when it ends (``with``) or when ``clear`` is called.
+
+    What outlives the computation is written by ``saved``; such tables stay until the folder is emptied,
+    because a result that hasn't been asked for yet may read them.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def saved(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self, last: int = 0) -> None:
+        """Delete all tables but the ``last`` ones."""
+        going, self.paths = self.paths[: len(self.paths) - last], self.paths[len(self.paths) - last :]
+        for path in going:
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a variation of it that no column of ``df`` has (column names ignore case)."""
     taken = {c.lower() for c in df.columns}

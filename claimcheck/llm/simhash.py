@@ -11,7 +11,8 @@ between them). A key is a pair of segments with one codeword index of each.
 * Exact search (``links``): the 64 bits are cut into segments of 22, 21 and 21 bits. Of four differing
   bits, some two segments hold two at most, so that the pair shares a key in one of the three tables; no
   pair within four bits is missed.
-* Wide search (``near_duplicates``): each word has a table of its own, of two 23-bit segments.
+* Search for similar sets (``similar``): each word has a table of its own, of two 23-bit segments, and there
+  are as many words as a wanted recall asks for. Candidates are decided on their whole sets of shingles.
 
 Rows with one key meet by a sort on the key. Pairs are verified there, and a key with many rows yields the
 edges of a spanning forest of its verified links, not the links: their components are the same.
@@ -20,7 +21,9 @@ edges of a spanning forest of its verified links, not the links: their component
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.llm.shared import saved, texts_of
+from claimcheck.llm.shared import Scratch, saved, texts_of
 
 #: The generator polynomial of the Golay code, and the seed of the shingle hash.
 GENERATOR = 0b101011100011
@@ -67,9 +70,8 @@ def _derived(hashes: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str, words: int = 4, count: int = 1) -> list[int]:
-    """``count`` signed 64-bit words of a text's fingerprint (no word: all zero)."""
-    hashes = shingle_hashes(text, words)
+def fingerprint(hashes: np.ndarray, count: int = 1) -> list[int]:
+    """``count`` signed 64-bit words of the fingerprint of shingle hashes (none: all zero)."""
     if not len(hashes):
         return [0] * count
     found = []
@@ -82,13 +84,13 @@ def fingerprint(text: str, words: int = 4, count: int = 1) -> list[int]:
     return found
 
 
-def fingerprints(text: Column, words: int = 4, count: int = 1) -> Column:
-    """Array of ``count`` longs for each text (null: empty)."""
+def fingerprints(text: Column, words: int = 4) -> Column:
+    """The fingerprint of each text (null: empty), an array of one long."""
 
     @F.arrow_udf("array<bigint>")
     def prints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([fingerprint(t or "", words, count) for run in texts_of(batch) for t in run], pa.list_(pa.int64()))
+            yield pa.array([fingerprint(shingle_hashes(t or "", words)) for run in texts_of(batch) for t in run], pa.list_(pa.int64()))
 
     return prints(text)
 
@@ -186,47 +188,51 @@ def _edges_of_runs(nodes: np.ndarray, keyed: np.ndarray, prints: np.ndarray, mos
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def links(prints: DataFrame, most: int, tables, compared: int) -> DataFrame:
+def whole_runs(batches: Iterator[pa.RecordBatch], key: Callable[[np.ndarray], np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """The columns of sorted batches, dealt anew so that the rows of a key (of the first column) stay together.
+
+    Batches of one key that goes on are set aside and joined once, when it ends.
+    """
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy() for c in batch.columns]
+        keyed = key(now[0])
+        last = int(np.searchsorted(keyed, keyed[-1]))  # the last key may go on in the next batch
+        if held and (last or keyed[0] != key(held[-1][0][-1:])[0]):
+            yield [np.concatenate(x) for x in zip(*held, [c[:last] for c in now])]
+            held = []
+        elif last:
+            yield [c[:last] for c in now]
+        held.append([c[last:] for c in now])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def links(prints: DataFrame, most: int) -> DataFrame:
     """(low, high): edges among the rows (node long, words array<long>) of ``prints``, whose nodes are unique.
 
-    Two nodes are connected by edges if a chain of links connects them: pairs that share a key and differ in
-    ``most`` bits or fewer of the first ``compared`` words.
+    Two nodes are connected by edges if a chain of links connects them: pairs of one-word fingerprints that
+    differ in ``most`` bits (4 at most) or fewer.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                node = batch.column(0).to_numpy()
                 words = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                row, key = keys(words, tables)
-                columns = [pa.array(key), pa.array(node[row])] + [pa.array(words[row, k]) for k in range(compared)]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                row, key = keys(words, exact_tables)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(batch.column(0).to_numpy()[row]), pa.array(words[row, 0])], names=["key", "node", "word"])
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def found(columns: list[np.ndarray]) -> pa.RecordBatch:
-            words = np.stack(columns[2:], axis=1).view(np.uint64)  # of signed numbers, numpy counts the bits of the absolute value
-            low, high = _edges_of_runs(columns[1], columns[0], words, most)
-            return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["low", "high"])
+        for key, node, word in whole_runs(batches, lambda x: x):
+            # of signed numbers, numpy counts the bits of the absolute value
+            low, high = _edges_of_runs(node, key, word[:, None].view(np.uint64), most)
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["low", "high"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [c.to_numpy() for c in batch.columns]
-            held = [np.concatenate(x) for x in zip(held, now)] if held else now
-            whole = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
-            if whole:
-                yield found([c[:whole] for c in held])
-                held = [c[whole:] for c in held]
-        if held:
-            yield found(held)
-
-    names = ["key", "node", *(f"w{k}" for k in range(compared))]
-    spread_schema = ", ".join(f"{n} long" for n in names)
     shards = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = prints.select("node", "words").mapInArrow(spread, spread_schema)
+    keyed = prints.select("node", "words").mapInArrow(spread, "key long, node long, word long")
     return keyed.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(sweep, "low long, high long").distinct()
 
 
@@ -236,47 +242,343 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until nothing changes; each step writes its edges to the
     shared folder. The number of steps grows with the logarithm of the number of nodes.
     """
-    now = saved(edges.select("low", "high").where("low < high"), "edges")
-    state = None
-    while True:
-        # Both sides of each join are tables at rest, so that Spark can split the partition of a node with many edges.
-        both = now.union(now.select("high", "low")).toDF("node", "other")
-        least = saved(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("least")), "least")
-        large = both.join(least, "node").where("other > node").select(F.col("least").alias("low"), F.col("other").alias("high")).distinct()
-        large = saved(large, "edges")
-        least = saved(large.groupBy("high").agg(F.min("low").alias("least")), "least")
-        small = large.join(least, "high")
-        small = small.select("least", "high").union(small.where("low > least").select("least", "low")).toDF("low", "high").distinct()
-        now = saved(small, "edges")
-        seen = now.agg(F.count("*"), F.sum(F.hash("low", "high")), F.bit_xor(F.xxhash64("low", "high"))).first()
-        if seen == state:
-            break
-        state = seen
-    return now.select(F.col("high").alias("node"), F.col("low").alias("component")).union(now.select("low", "low").distinct())
-
-
-def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, most: int = 4, count: int = 1, compared: int = 1, names: tuple[str, str] = ("fingerprint", "component_id")
-) -> DataFrame:
-    """One row for each row of ``docs``: its ``key``, fingerprint (array of longs) and component.
+
+    def told(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.hash("low", "high")), F.bit_xor(F.xxhash64("low", "high"))).first()
+
+    with Scratch(edges.sparkSession) as scratch:
+        now = scratch.saved(edges.select("low", "high").where("low < high").distinct(), "edges")
+        state, before = told(now), None
+        while state != before and state[0]:
+            # Both sides of each join are tables at rest, so that Spark can split the partition of a node with many edges.
+            both = now.union(now.select("high", "low")).toDF("node", "other")
+            least = scratch.saved(both.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("least")), "least")
+            large = both.join(least, "node").where("other > node").select(F.col("least").alias("low"), F.col("other").alias("high")).distinct()
+            large = scratch.saved(large, "edges")
+            least = scratch.saved(large.groupBy("high").agg(F.min("low").alias("least")), "least")
+            small = large.join(least, "high")
+            small = small.select("least", "high").union(small.where("low > least").select("least", "low")).toDF("low", "high").distinct()
+            now = scratch.saved(small, "edges")
+            scratch.clear(last=1)
+            state, before = told(now), state
+        return saved(now.select(F.col("high").alias("node"), F.col("low").alias("component")).union(now.select("low", "low").distinct()), "components")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, most: int = 4, names: tuple[str, str] = ("fingerprint", "component_id")) -> DataFrame:
+    """One row for each row of ``docs``: its ``key``, fingerprint (array of one long) and component.
 
     The component is the smallest ``key`` (of any type that has an order) reachable by links, the row's own
-    included. With ``count`` 1, rows link if their fingerprints differ in ``most`` (4 at most) bits or fewer,
-    and none is missed. With more words, rows link if they differ in ``most`` bits or fewer of the first
-    ``compared`` words and share a Golay key in one of ``count`` tables.
+    included. Rows link if their fingerprints differ in ``most`` (4 at most) bits or fewer; none is missed.
 
     Null and empty texts have fingerprint zero and link like others. Rows with equal fingerprints always
     link and count once in the search, so that a large group of copies costs no more than one of them.
     A null ``key`` takes part but names a component only where all its keys are null. Repeated rows stay,
     other columns don't matter, and an empty table gives an empty one.
     """
-    if count == 1 and most > 4:
-        raise ValueError("one word finds links of 4 bits at most; use more words for wider ones")
+    if most > 4:
+        raise ValueError("the tables find links of 4 bits at most")
     fp, component = names
-    own = saved(docs.select(F.col(key).alias("key"), fingerprints(docs[text], words, count).alias("words")), "fingerprints")
-    group = saved(own.groupBy("words").agg(F.min("key").alias("least")).withColumn("node", F.monotonically_increasing_id()), "groups")
-    found = saved(components(links(group, most, exact_tables if count == 1 else wide_tables, compared)), "linked")
-    linked = saved(group.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "groups")
-    smallest = saved(linked.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
-    labelled = saved(linked.join(smallest, "component").select("words", "smallest"), "labelled")
-    return own.join(labelled, "words").select(F.col("key").alias(key), F.col("words").alias(fp), F.col("smallest").alias(component))
+    own = saved(docs.select(F.col(key).alias("key"), fingerprints(docs[text], words).alias("words")), "fingerprints")
+    with Scratch(docs.sparkSession) as scratch:
+        group = scratch.saved(own.groupBy("words").agg(F.min("key").alias("least")).withColumn("node", F.monotonically_increasing_id()), "groups")
+        smallest = labels(group, links(group, most)).select("words", "smallest")
+    return own.join(smallest, "words").select(F.col("key").alias(key), F.col("words").alias(fp), F.col("smallest").alias(component))
+
+
+def labels(group: DataFrame, edges: DataFrame) -> DataFrame:
+    """``group`` (node, least, ...) with ``smallest``, the smallest ``least`` of the nodes that edges connect."""
+    with Scratch(group.sparkSession) as scratch:
+        found = components(edges)
+        linked = scratch.saved(group.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "groups")
+        smallest = scratch.saved(linked.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
+        return saved(linked.join(smallest, "component").drop("component"), "labelled")
+
+
+# --- similar sets ---------------------------------------------------------------------------------
+
+#: How often two 23-bit words that differ in 0 to 8 bits share a codeword within distance 4.
+SHARED = (1.0, 1.0, 1.0, 0.593, 0.59, 0.186, 0.191, 0.034, 0.033)
+#: Wanted share of the pairs at the least similarity.
+RECALL = 0.99
+#: Bits of another word that travel with a key; rows of a key that are compared all at once, and pairs that it proposes all.
+CARRIED, FEW = 34, 32
+#: Sets of so few shingles have twice the tables (with few votes a bit changes more often), and sets of so few
+#: are decided without a look at their whole fingerprints.
+SMALL, SHORT = 24, 64
+
+
+def differing(least: float) -> float:
+    """The share of bits that differ, on average, between fingerprints of sets of similarity ``least`` (equally large ones)."""
+    return math.acos(2 * least / (1 + least)) / math.pi
+
+
+def tables_wanted(least: float, recall: float = RECALL) -> int:
+    """Tables of two segments in one of which a pair of similarity ``least`` shares a key with probability ``recall``."""
+    p = differing(least)
+    segment = sum(math.comb(23, d) * p**d * (1 - p) ** (23 - d) * share for d, share in enumerate(SHARED))
+    return math.ceil(math.log(1 - recall) / math.log(1 - segment**2))
+
+
+def most_bits(least: float, bits: int, off: float) -> int:
+    """Bits of ``bits`` that differ between such sets, and ``off`` standard deviations more."""
+    p = differing(least)
+    return int(bits * p + off * math.sqrt(bits * p * (1 - p)))
+
+
+def sketches(text: Column, words: int, count: int) -> Column:
+    """For each text (null: empty) a digest of its set of shingle hashes, the set's size and its fingerprint."""
+
+    @F.arrow_udf("digest binary, size int, words array<bigint>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            rows = []
+            for own in (np.unique(shingle_hashes(t or "", words)) for run in texts_of(batch) for t in run):
+                rows.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), fingerprint(own, 2 * count if len(own) <= SMALL else count)))
+            parts = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.binary(), pa.int32(), pa.list_(pa.int64())))]
+            yield pa.StructArray.from_arrays(parts, names=["digest", "size", "words"])
+
+    return found(text)
+
+
+def shingle_sets(text: Column, words: int) -> Column:
+    """For each text (null: empty) its set of shingle hashes and the set's digest."""
+
+    @F.arrow_udf("digest binary, hashes array<bigint>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t or "", words)) for run in texts_of(batch) for t in run]
+            ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            hashes = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.StructArray.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), hashes], names=["digest", "hashes"])
+
+    return found(text)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs (low, high) whose sets (node, hashes) have a Jaccard similarity of ``least`` or more."""
+    a, b = sets.toDF("low", "low_set"), sets.toDF("high", "high_set")
+    both = F.size("low_set") + F.size("high_set")
+    common = F.size(F.array_intersect("low_set", "high_set"))  # of both - common
+    near = common * (least.numerator + least.denominator) >= both * least.numerator
+    return pairs.join(a, "low").join(b, "high").where(near).select("low", "high")
+
+
+def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest codeword index that two segments share, for each pair of segments; 4096 if none."""
+    own, other = codewords(a), codewords(b)
+    shared = ((own[:, :, None] == other[:, None, :]) & (own[:, :, None] >= 0)).any(axis=2)
+    return np.where(shared, own, 4096).min(axis=1)
+
+
+def _meet_first(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the key is the first one of its table that the two words (of two segments each) share."""
+    mask = (1 << 23) - 1
+    return (_first_common(a & mask, b & mask) == (key >> 12) & 4095) & (_first_common(a >> 23, b >> 23) == key & 4095)
+
+
+def _apart(bits: np.ndarray, word: np.ndarray, a, b) -> np.ndarray:
+    """Differing bits of rows a and b: those carried, and the 46 of the table."""
+    return np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) + np.bitwise_count(word[a] ^ word[b])
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (a, b) join what no pair before them has joined."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    kept = np.zeros(len(a), dtype=bool)
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            root[y] = x
+            kept[i] = True
+    return kept
+
+
+def _forest_here(bits: np.ndarray, word: np.ndarray, key: int, most: int) -> list[tuple[int, int]]:
+    """Edges (row, row) of a spanning forest of the pairs of rows that are near and meet first under ``key``."""
+    parts = [(codewords(x), index) for x, index in ((word & ((1 << 23) - 1), (key >> 12) & 4095), (word >> 23, key & 4095))]
+    left = np.arange(len(bits))
+    edges: list[tuple[int, int]] = []
+    while len(left) > 1:
+        waiting, left = [int(left[0])], left[1:]
+        while waiting and len(left):
+            row = waiting.pop()
+            near = _apart(bits, word, left, row) <= most
+            for own, index in parts:
+                at = np.flatnonzero(near)
+                other = own[left[at]]
+                shared = (other[:, :, None] == own[row][own[row] >= 0]).any(axis=2)
+                near[at] = np.where(shared, other, 4096).min(axis=1) == index
+            if near.any():
+                reached = left[near]
+                edges += [(row, int(x)) for x in reached]
+                waiting += reached.tolist()
+                left = left[~near]
+    return edges
+
+
+def _keyed(prints: DataFrame) -> DataFrame:
+    """(packed, node, word, ...): for each key of each row, the key and bits of another word, the table's own bits, and the columns after (node, words), sorted by key."""
+    names = [c for c in prints.columns if c not in ("node", "words")]
+    mask = np.uint64((1 << CARRIED) - 1)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                lengths = batch.column(1).value_lengths().to_numpy()
+                for count in np.unique(lengths):
+                    some = batch.filter(pa.array(lengths == count))
+                    words = some.column(1).flatten().to_numpy().reshape(-1, count)
+                    row, key = keys(words, wide_tables)
+                    other = np.roll(words.view(np.uint64), -1, axis=1)[row, key >> 24] & mask
+                    columns = [pa.array((key << CARRIED) | other.view(np.int64)), some.column(0).take(pa.array(row)), pa.array(words[row, key >> 24] & ((1 << 46) - 1))]
+                    yield pa.RecordBatch.from_arrays([*columns, *(c.take(pa.array(row)) for c in some.columns[2:])], names=["packed", "node", "word", *names])
+
+    shards = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = prints.select("node", "words", *names).mapInArrow(spread, ", ".join(f"{n} long" for n in ("packed", "node", "word", *names)))
+    return keyed.repartition(shards, F.shiftright("packed", CARRIED)).sortWithinPartitions("packed")
+
+
+def _proposed(node: np.ndarray, a: np.ndarray, b: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    """The pairs of the nodes of rows a and b, each once."""
+    a, b = node[a], node[b]
+    low, high, many = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b), many.astype(np.int64)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(many.astype(bool))], names=["low", "high", "many"])
+
+
+def candidates(prints: DataFrame, least: float) -> DataFrame:
+    """(low, high, many): pairs of the rows (node, words) of ``prints`` that may be of similarity ``least``.
+
+    They share a Golay key and agree on most bits of its word and some of another. A pair counts under the
+    first key of a table that it shares only, so that a family of copies, which shares all keys, costs its
+    pairs once a table. Of more than ``FEW`` pairs of a key come the edges of a spanning forest, so that each
+    row with a pair has an edge; ``many`` marks those of a key that had more pairs. Keys of few rows are
+    compared by one shift after the other, all at once.
+    """
+    most, mask = most_bits(least, CARRIED + 46, 3.2), np.uint64((1 << CARRIED) - 1)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packed, node, word in whole_runs(batches, lambda x: x >> CARRIED):
+            key, bits = packed >> CARRIED, packed.view(np.uint64) & mask
+            begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            sizes = np.diff(np.r_[begins, len(key)])
+            few = np.repeat(sizes <= FEW, sizes)
+            left, right, many = [], [], []
+            for step in range(1, int(sizes[sizes <= FEW].max(initial=1))):
+                at = np.flatnonzero((key[step:] == key[:-step]) & few[step:])
+                at = at[_apart(bits, word, at, at + step) <= most]
+                left, right = [*left, at], [*right, at + step]
+            if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                first = _meet_first(key[a], word[a], word[b])
+                a, b = a[first], b[first]
+                run = np.searchsorted(begins, a, side="right") - 1
+                more = np.bincount(run, minlength=len(begins))[run] > FEW
+                kept = ~more
+                kept[more] = _spanning(a[more], b[more])
+                lost = np.bincount(run[~kept], minlength=len(begins)) > 0
+                left, right, many = [a[kept]], [b[kept]], [lost[run[kept]]]
+            for at, size in zip(begins[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+                order = at + np.argsort(node[at : at + size], kind="stable")  # all keys begin with the same rows
+                if edges := _forest_here(bits[order], word[order], int(key[at]), most):
+                    a, b = np.array(edges).T
+                    left, right, many = [*left, order[a]], [*right, order[b]], [*many, np.ones(len(a), dtype=bool)]
+            if left:
+                yield _proposed(node, *map(np.concatenate, (left, right, many)))
+
+    return _keyed(prints.select("node", "words")).mapInArrow(sweep, "low long, high long, many boolean")
+
+
+def crossing(prints: DataFrame, least: float) -> DataFrame:
+    """(low, high, many): like ``candidates``, all pairs of rows (node, words, class) of different classes."""
+    most, mask = most_bits(least, CARRIED + 46, 3.2), np.uint64((1 << CARRIED) - 1)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for packed, node, word, group in whole_runs(batches, lambda x: x >> CARRIED):
+            key, bits = packed >> CARRIED, packed.view(np.uint64) & mask
+            begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[begins[1:], len(key)]
+            mixed = np.minimum.reduceat(group, begins) != np.maximum.reduceat(group, begins)
+            left, right = [], []
+            for at, end in zip(begins[mixed].tolist(), ends[mixed].tolist()):
+                _, place, sizes = np.unique(group[at:end], return_inverse=True, return_counts=True)
+                # Each row outside the largest class looks at all rows; of two such rows the first looks.
+                largest = place == sizes.argmax()
+                for row in np.flatnonzero(~largest).tolist():
+                    b = at + np.flatnonzero((place != place[row]) & (largest | (np.arange(end - at) > row)))
+                    b = b[_apart(bits, word, b, at + row) <= most]
+                    b = b[_meet_first(key[b], word[b], np.full(len(b), word[at + row]))]
+                    left, right = [*left, np.full(len(b), at + row)], [*right, b]
+            if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                yield _proposed(node, a, b, np.ones(len(a), dtype=bool))
+
+    return _keyed(prints.select("node", "words", "class")).mapInArrow(sweep, "low long, high long, many boolean")
+
+
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, recall: float = RECALL, name: str = "component_id") -> DataFrame:
+    """One row for each row of ``docs``: its ``key`` and component.
+
+    The component is the smallest ``key`` (of any type that has an order) reachable by links, the row's own
+    included. Rows link if the Jaccard similarity of their sets of shingles of ``words`` words is ``least``
+    or more; texts of fewer words are one shingle. Golay keys propose pairs: of those at exactly ``least``
+    the share ``recall``, of more similar ones more. Each proposed pair is decided on its two whole sets.
+
+    A key of many similar rows costs two rounds instead of all its pairs: the edges of a spanning forest are
+    decided first, and then only those pairs are left whose rows no chain of links connects yet.
+
+    Null texts, and those without words, have the empty set and link with each other only. Rows with equal
+    sets count once in the search. A null ``key`` takes part but names a component only where all its keys
+    are null. Repeated rows stay, other columns don't matter, and an empty table gives an empty one.
+    """
+    count, share = tables_wanted(least, recall), Fraction(least).limit_denominator(1000)
+    if count > 16:  # numbers of tables have five bits
+        raise ValueError("such a similarity and recall take over 16 tables")
+    texts = docs.select(F.col(key).alias("key"), docs[text].alias("text"))
+    own = saved(texts.select("key", sketches(F.col("text"), words, count).alias("sketch")).select("key", "sketch.*"), "sketches")
+    with Scratch(docs.sparkSession) as scratch:
+        group = own.groupBy("digest", "size", "words").agg(F.min("key").alias("least"))
+        group = scratch.saved(group.withColumn("node", F.monotonically_increasing_id()), "groups")
+        found = scratch.saved(candidates(group.where("size > 0"), least), "candidates")
+
+        def near(pairs: DataFrame) -> DataFrame:
+            """The distinct pairs whose sizes and whole fingerprints allow the similarity."""
+            a, b = (group.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "words")]) for side in "ab")
+            both = pairs.select("low", "high").distinct().join(a, F.col("low") == F.col("node_a")).join(b, F.col("high") == F.col("node_b"))
+            sized = F.least("size_a", "size_b") * share.denominator >= F.greatest("size_a", "size_b") * share.numerator
+            apart = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+            short = F.least("size_a", "size_b") <= SHORT
+            return both.where(sized & (short | (apart <= most_bits(least, 64 * count, 4)))).select("low", "high")
+
+        pairs = scratch.saved(near(found), "pairs")
+        held = found.where("many").select(F.explode(F.array("low", "high")).alias("node")).distinct()
+        held = scratch.saved(group.join(held, "node").select("node", "words"), "held")
+        wanted = pairs.select(F.col("low").alias("node")).union(pairs.select("high")).union(held.select("node")).distinct()
+        wanted = scratch.saved(group.join(wanted, "node").select("node", "digest", "least"), "wanted")
+        # Only the sets of candidates are made again from their texts and kept: those of all texts would be as large as the texts.
+        chosen = wanted.select(F.col("least").alias("chosen")).distinct()
+        sets = texts.join(chosen, texts["key"].eqNullSafe(chosen["chosen"]), "left_semi").select("key", shingle_sets(F.col("text"), words).alias("set")).select("key", "set.*")
+        sets = sets.join(wanted.withColumnRenamed("digest", "of"), F.col("key").eqNullSafe(F.col("least")) & (F.col("digest") == F.col("of")))
+        sets = scratch.saved(sets.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")  # repeated rows have one set
+        # One pair of each row is decided first, then those pairs whose rows no chain of links connects yet.
+        edges = scratch.saved(verified(pairs.groupBy("high").agg(F.min("low").alias("low")), sets, share), "edges")
+        known = components(edges)
+        for side in ("low", "high"):
+            labelled = known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_class"))
+            pairs = pairs.join(labelled, side, "left").withColumn(f"{side}_class", F.coalesce(f"{side}_class", side))
+        pairs = scratch.saved(pairs.where("low_class <> high_class").select("low", "high"), "pairs")
+        edges = scratch.saved(edges.union(verified(pairs, sets, share)), "edges")
+
+        # The same for the pairs of keys that had more of them than their forest.
+        held = held.join(components(edges), "node", "left").select("node", "words", F.coalesce("component", "node").alias("class"))
+        pairs = scratch.saved(near(crossing(scratch.saved(held, "held"), least)), "pairs")
+        edges = edges.union(scratch.saved(verified(pairs, sets, share), "edges"))
+        smallest = labels(group, edges).select("digest", "smallest")
+    return own.select("key", "digest").join(smallest, "digest").select(F.col("key").alias(key), F.col("smallest").alias(name))

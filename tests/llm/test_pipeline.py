@@ -8,16 +8,6 @@ from claimcheck.llm import quality, secrets, simhash
 FOLDER = "/root/testdata/sf0.001"
 
 
-def linked(a, b):
-    """What makes two documents of the stage near-duplicates."""
-    import numpy as np
-
-    if sum((x ^ y).bit_count() for x, y in zip(a[: corpus_pipeline.COMPARED], b)) > corpus_pipeline.MOST:
-        return False
-    sets = [set(simhash.keys(np.array([p], dtype=np.uint64).view(np.int64), simhash.wide_tables)[1].tolist()) for p in (a, b)]
-    return bool(sets[0] & sets[1])
-
-
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     given = {r.doc_id: r for r in docs.collect()}
@@ -25,15 +15,15 @@ def test_stages_against_brute_force(spark):
     ratios = quality.fit(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))
     kept = {r.doc_id for r in quality.assess(docs, ratios).where("kept").collect()}
     assert good.columns == docs.columns and {r.doc_id for r in good.collect()} == kept
-    prints = {k: [x & (1 << 64) - 1 for x in simhash.fingerprint(given[k].text, corpus_pipeline.WORDS, corpus_pipeline.COUNT)] for k in sorted(kept)}
-    first, waiting = set(), dict(prints)
+    sets = {k: set(simhash.shingle_hashes(given[k].text, 5).tolist()) for k in sorted(kept)}
+    first, waiting = set(), dict(sets)
     while waiting:
         key = next(iter(waiting))
         first.add(key)
         reached = [waiting.pop(key)]
         while reached:
             p = reached.pop()
-            near = [k for k, q in waiting.items() if linked(p, q)]
+            near = [k for k, q in waiting.items() if 10 * len(p & q) >= 8 * len(p | q)]
             reached += [waiting.pop(k) for k in near]
     single = corpus_pipeline.near_duplicates_stage(spark, good, FOLDER)
     assert single.columns == docs.columns and Counter(r.doc_id for r in single.collect()) == Counter(first)
