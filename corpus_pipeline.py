@@ -10,13 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimcheck.llm import packing, quality, secrets, similar
+from claimcheck.llm import packing, quality, secrets, simhash
 from claimcheck.llm.shared import free_name, saved
 
 #: Texts are near-duplicates if their sets of shingles of five words have a Jaccard similarity of 0.8 or more.
 WORDS, SIMILARITY = 5, 0.8
-#: The estimate by fingerprints that came before; only a test of it still reads these.
-COUNT, COMPARED, MOST = 6, 2, 27
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +31,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     row, mark = free_name(docs, "_row"), free_name(docs, "_mark")
     marked = docs.withColumn(mark, F.xxhash64(*docs.columns))
-    found = similar.near_duplicates(marked.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(mark).alias("mark")).alias("row"), "text"), "row", words=WORDS, least=SIMILARITY)
+    found = simhash.similar(marked.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(mark).alias("mark")).alias("row"), "text"), "row", words=WORDS, least=SIMILARITY)
     chosen = found.where("row = component_id").select(F.coalesce("row.doc_id", F.lit(0)).alias("doc_id_"), F.col("row.mark").alias("mark_")).distinct()
     chosen = saved(chosen, "chosen")
     kept = marked.join(chosen, (F.coalesce(marked["doc_id"], F.lit(0)) == chosen["doc_id_"]) & (marked[mark] == chosen["mark_"]), "left_semi")
