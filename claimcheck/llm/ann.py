@@ -31,8 +31,10 @@ LIST_ROWS, MOST_LISTS = 50, 8_192
 SAMPLE_ROWS, SAMPLE_PER_LIST = 20_000, 20
 #: Lists that a vector is in at most, and the bound of the ratio within which further ones are taken.
 REPLICAS, MOST_CLOSURE = 4, 1.3
-#: Recall wanted on the sample; points and queries of a block on average.
-RECALL, BLOCK_ROWS, BLOCK_QUERIES = 0.96, 4_000, 2_000
+#: Recall wanted of the queries that the ratio is measured with, and how many these are.
+RECALL, MEASURED = 0.93, 300
+#: Postings and queries of a block on average.
+BLOCK_ROWS, BLOCK_QUERIES = 8_000, 2_000
 GRAPH_DEGREE, BEAM, LISTING_BEAM = 16, 64, 24
 #: Lists that a query reads at least.
 LEAST_LISTS = 4
@@ -80,7 +82,8 @@ def balanced_centroids(sample: np.ndarray, clusters: int, seed: int = 5) -> np.n
     found = np.stack(done)
     size = np.linalg.norm(found, axis=1, keepdims=True)
     # Lists are compared by angle: short centres, those of wide clusters, would be near to each other and to nothing else.
-    return np.unique(np.round(np.divide(found, size, out=sample[: len(found)].copy(), where=size > 1e-9), 12), axis=0)
+    found = np.round(np.divide(found, size, out=sample[: len(found)].copy(), where=size > 1e-9), 12)
+    return found[np.sort(np.unique(found, axis=0, return_index=True)[1])]  # in the order of the splits, so that neighbours stand together
 
 
 @dataclass
@@ -162,22 +165,40 @@ def wanted_closure(graph: Graph, sample: np.ndarray, vectors: int = 2_000) -> fl
     return min(MOST_CLOSURE, float(np.median(ratios)) * 1.001)
 
 
-def wanted_ratio(graph: Graph, sample: np.ndarray, top: int, recall: float = RECALL, queries: int = 300) -> float:
-    """The least ratio at which the lists read hold ``recall`` of the sample's true neighbours."""
-    asked = np.arange(0, len(sample), max(1, len(sample) // queries))
-    scores = sample[asked] @ sample.T
-    scores[np.arange(len(asked)), asked] = -np.inf
-    best = np.argsort(-scores, axis=1)[:, : min(top, len(sample) - 1)]
-    rows, place = np.unique(best, return_inverse=True)
-    lists, needed = graph.lists_of(sample[rows]), []
-    for q, others in zip(asked, place.reshape(best.shape)):
-        distance = np.sqrt(((graph.centres - sample[q]) ** 2).sum(axis=1))
-        needed += [distance[lists[i]].min() / max(distance.min(), 1e-12) for i in others]
-    return float(np.quantile(needed, recall, method="higher")) * 1.001 if needed else 1.0
+def wanted_ratio(graph: Graph, vectors: DataFrame, asked: np.ndarray, top: int, recall: float = RECALL) -> float:
+    """The least ratio at which the lists read hold ``recall`` of the true neighbours of ``asked`` among all ``vectors``.
+
+    The neighbours come from an exact search of these few queries over all rows, of which each task keeps the best.
+    """
+    most = top + 1  # a query may find itself
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores, held = np.empty((len(asked), 0)), np.empty((len(asked), 0, asked.shape[1]))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                rows = unit(matrix(batch.column(0).slice(at, 2_000).to_numpy(zero_copy_only=False)))
+                now = asked @ rows.T
+                order = np.argpartition(-now, min(most, len(rows)) - 1, axis=1)[:, :most]
+                scores, held = np.concatenate([scores, np.take_along_axis(now, order, axis=1)], axis=1), np.concatenate([held, rows[order]], axis=1)
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+                scores, held = np.take_along_axis(scores, order, axis=1), np.take_along_axis(held, order[:, :, None], axis=1)
+        if scores.size:
+            query = np.repeat(np.arange(len(asked), dtype=np.int32), scores.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(scores.ravel()), pa.array(list(held.reshape(-1, asked.shape[1])), pa.list_(pa.float64()))], names=["query", "score", "vector"])
+
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vector"))
+    found = vectors.mapInArrow(best, "query int, score double, vector array<double>").withColumn("place", place).where(F.col("place") <= most).drop("place").toPandas()
+    found = found[found["score"] < 1 - 1e-12].sort_values(["query", "score"], ascending=[True, False]).groupby("query").head(top)
+    if not len(found):
+        return 1.0
+    distance = np.sqrt(np.maximum(2 - 2 * asked @ graph.centres.T, 0))
+    lists = graph.lists_of(matrix(found["vector"]))
+    needed = [distance[q][own].min() / max(distance[q].min(), 1e-12) for q, own in zip(found["query"], lists)]
+    return float(np.quantile(needed, recall, method="higher")) * 1.001
 
 
 def fit(vectors: DataFrame, count: int, top: int = 5) -> tuple[Graph, float]:
-    """Centroid graph and list ratio from a sample of the ``count`` rows (vector), chosen by hash.
+    """Centroid graph and list ratio for the ``count`` rows (vector), from a sample chosen by hash.
 
     The sample has about ``SAMPLE_ROWS`` rows, or ``SAMPLE_PER_LIST`` for each of ``MOST_LISTS`` lists at most.
     """
@@ -188,7 +209,7 @@ def fit(vectors: DataFrame, count: int, top: int = 5) -> tuple[Graph, float]:
     points = points[np.lexsort(points.T)]  # in an order of their own
     graph = Graph.of(balanced_centroids(points, lists))
     graph.closure = wanted_closure(graph, points)
-    return graph, wanted_ratio(graph, points, top)
+    return graph, wanted_ratio(graph, vectors, points[:: max(1, -(-len(points) // MEASURED))], top)
 
 
 def nearest(table: DataFrame, top: int = 5, every: int = 50, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -222,60 +243,85 @@ def nearest(table: DataFrame, top: int = 5, every: int = 50, key: str = "vec_id"
     return rows.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def lists_read(points: DataFrame, asked: DataFrame, graph: Graph, ratio: float) -> tuple[DataFrame, DataFrame]:
-    """Postings and probes: ``list`` and the columns node, vector of ``points``, of all and of the asked ones."""
+def postings_of(points: DataFrame, graph: Graph) -> DataFrame:
+    """(list, node, vector): each of the ``points`` in all its lists."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lists = graph.lists_of(unit(matrix(batch.column(1).to_numpy(zero_copy_only=False))))
+                row = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in lists]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), *[c.take(row) for c in batch.columns]], names=["list", "node", "vector"])
+
+    return points.select("node", "vector").mapInArrow(deal, "list int, node long, vector array<double>")
 
-    def listed(lists_of):
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    lists = lists_of(unit(matrix(batch.column(1).to_numpy(zero_copy_only=False))))
-                    row = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), *[c.take(pa.array(row)) for c in batch.columns]], names=["list", "node", "vector"])
 
-        return deal
+def probes_of(points: DataFrame, asked: DataFrame, graph: Graph, ratio: float, block_of: np.ndarray) -> DataFrame:
+    """(block, node, vector, lists): each of the asked points once for each block with lists that it reads."""
 
-    schema = "list int, node long, vector array<double>"
-    rows = points.select("node", "vector")
-    postings = rows.mapInArrow(listed(graph.lists_of), schema)
-    asking = rows.join(asked.select(F.col("asked").alias("node")).distinct(), "node", "left_semi")
-    probes = asking.mapInArrow(listed(lambda v: [found for found, _ in graph.search(v, ratio, least=LEAST_LISTS)]), schema)
-    return postings, probes
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, blocks, lists = [], [], []
+            for row, (found, _) in enumerate(graph.search(unit(matrix(batch.column(1).to_numpy(zero_copy_only=False))), ratio, least=LEAST_LISTS)):
+                found = np.sort(found)  # blocks are runs of lists
+                own, begins = np.unique(block_of[found], return_index=True)
+                rows += [row] * len(own)
+                blocks += own.tolist()
+                lists += np.split(found, begins[1:])
+            row = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), *[c.take(row) for c in batch.columns], pa.array(lists, pa.list_(pa.int32()))], names=["block", "node", "vector", "lists"])
+
+    asking = points.select("node", "vector").join(asked.select(F.col("asked").alias("node")).distinct(), "node", "left_semi")
+    return asking.mapInArrow(deal, "block int, node long, vector array<double>, lists array<int>")
 
 
 def _found(points: DataFrame, count: int, asked: DataFrame, top: int) -> DataFrame:
     """(asked, ids, score): for each asked node the nearest points found, more than ``top`` of them."""
+    spark = points.sparkSession
     graph, ratio = fit(points.select("vector"), count, top)
-    postings, probes = lists_read(points, asked, graph, ratio)
-    postings, probes = saved(postings, "postings"), saved(probes, "probes")
-
-    def blocks(rows: DataFrame, most: int, name: str) -> DataFrame:
-        return rows.groupBy("list").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-
-    # one row a list, `MOST_LISTS` at most
-    grid = F.broadcast(saved(blocks(postings, BLOCK_ROWS, "rows").join(blocks(probes, BLOCK_QUERIES, "columns"), "list"), "grid"))
+    postings = saved(postings_of(points, graph), "postings")
+    sizes = np.zeros(len(graph.centres), dtype=np.int64)
+    for row in postings.groupBy("list").count().collect():  # one row a list, `MOST_LISTS` at most
+        sizes[row["list"]] = row["count"]
+    # Neighbouring lists make a block; one that is longer than a block is dealt over several rows of blocks.
+    block_of = ((np.cumsum(sizes) - sizes) // BLOCK_ROWS).astype(np.int32)
+    probes = saved(probes_of(points, asked, graph, ratio, block_of), "probes")
+    rows_of = np.maximum(1, np.bincount(block_of, weights=sizes) // BLOCK_ROWS).astype(int)
+    lists = spark.createDataFrame([(i, int(b), int(rows_of[b])) for i, b in enumerate(block_of)], "list int, block int, rows int")
+    columns = probes.groupBy("block").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("columns"))
+    grid = F.broadcast(saved(lists.join(columns, "block"), "grid"))  # one row a list
     own = lambda side: F.pmod(F.xxhash64("node"), F.col(side)).cast("int")
     every = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
     postings = postings.join(grid, "list").withColumn("row", own("rows")).withColumn("column", every("columns")).drop("rows", "columns")
-    probes = probes.join(grid, "list").withColumn("column", own("columns")).withColumn("row", every("rows")).drop("rows", "columns")
+    sides = F.broadcast(grid.select("block", "rows", "columns").distinct())
+    probes = probes.join(sides, "block").withColumn("column", own("columns")).withColumn("row", every("rows")).drop("rows", "columns")
     most = 2 * top + 2  # distinct vectors, one of which may be the query's own
 
     def compare(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         parts = []
         if len(queries) and len(rows):
-            nodes, given = rows["node"].to_numpy(), scaled(matrix(rows["vector"]))
+            nodes, first, place = np.unique(rows["node"].to_numpy(), return_index=True, return_inverse=True)
+            names, listed = np.unique(rows["list"].to_numpy(), return_inverse=True)
+            holds = np.zeros((len(names), len(nodes)), dtype=np.float32)
+            holds[listed, place] = 1
+            given = scaled(matrix(rows["vector"].iloc[first]))
             size = np.sqrt(np.einsum("ij,ij->i", given, given))
             for at in range(0, len(queries), 256):
                 some = queries.iloc[at : at + 256]
+                reads = np.stack([np.isin(names, x) for x in some["lists"]]).astype(np.float32)
                 vectors = scaled(matrix(some["vector"]))
                 length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-                best = np.argpartition(-(vectors @ given.T) / size, min(most, len(nodes)) - 1, axis=1)[:, :most]
-                row, best = np.repeat(np.arange(len(some)), best.shape[1]), best.ravel()
+                scores = np.where(reads @ holds > 0, (vectors @ given.T) / size, -np.inf)
+                best = np.argpartition(-scores, min(most, len(nodes)) - 1, axis=1)[:, :most]
+                row, found = np.nonzero(np.isfinite(np.take_along_axis(scores, best, axis=1)))
+                best = best[row, found]
                 score = np.einsum("ij,ij->i", vectors[row], given[best]) / (length[row] * size[best])  # a pair's own, whatever stands beside it
                 parts.append(pd.DataFrame({"asked": some["node"].to_numpy()[row], "node": nodes[best], "score": score}))
         return pd.concat(parts) if parts else pd.DataFrame({"asked": [], "node": [], "score": []})
 
-    found = probes.groupBy("list", "row", "column").cogroup(postings.groupBy("list", "row", "column")).applyInPandas(compare, "asked long, node long, score double")
+    found = probes.groupBy("block", "row", "column").cogroup(postings.groupBy("block", "row", "column")).applyInPandas(compare, "asked long, node long, score double")
     found = found.groupBy("asked", "node").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "node"))
     found = found.withColumn("rank", rank).where(F.col("rank") <= most).select("asked", "node", "score")

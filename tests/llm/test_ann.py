@@ -74,9 +74,10 @@ def test_replication_and_pruning_at_20_000_vectors(spark, kind):
     vectors = df.select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector")).cache()
     graph, ratio = ann.fit(vectors.select("vector"), len(points))
     asked = vectors.where("node % 50 = 0").select(F.col("node").alias("asked"))
-    postings, probes = ann.lists_read(vectors, asked, graph, ratio)
+    postings = ann.postings_of(vectors, graph)
+    probes = ann.probes_of(vectors, asked, graph, ratio, np.arange(400, dtype=np.int32) // 20)
     assert len(graph.centres) == 400
-    assert postings.count() / len(points) > (1.2 if kind == "spread" else 1.05) and probes.count() / 400 < 0.25 * len(graph.centres)
+    assert postings.count() / len(points) > (1.2 if kind == "spread" else 1.05) and probes.agg(F.sum(F.size("lists"))).first()[0] / 400 < 0.25 * len(graph.centres)
     assert postings.select("node").distinct().count() == len(points)
     want, got = exact([(i, x) for i, x in enumerate(points)], 50, 5), {}
     for r in ann.nearest(df).collect():
