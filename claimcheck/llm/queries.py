@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimcheck.llm import ann, bpe, html, oracle, packing, quality, records, secrets, sharding, simhash, tokens
+from claimcheck.llm import ann, bpe, html, lexical, online, oracle, packing, quality, records, runs, secrets, sharding, simhash, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,6 +75,38 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.assess(docs, ratios).drop("text")
 
 
+def op11_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_online_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return online.pack_online(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text); in those whose doc_id has a crc32 h with h % 10 = 0, words from one on repeat a stretch of the text."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words, g = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)), F.floor(h / 10)
+    docs = docs.withColumn("words", F.when(h % 10 == 0, words)).withColumn("n", F.size("words"))
+    docs = docs.withColumn("a", g % F.col("n")).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    planted = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("words", place(i).cast("int"))), " ")
+    return docs.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.find_runs(with_planted_runs(table(spark, folder, "documents").select("doc_id", "text")))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r.length).alias("less"), r.start.alias("start"), r.period.alias("period"))))
+    found = found.withColumn("longest", longest)
+    length, period = -F.col("longest.less"), F.col("longest.period")
+    line = lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def secrets_base(spark: SparkSession, folder: str) -> DataFrame:
     """What SQL can check of op8's result."""
     return op8_secrets(spark, folder).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -96,9 +128,12 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
     "op10_quality": op10_quality,
+    "op11_lexical": op11_lexical,
+    "op12_online_packing": op12_online_packing,
+    "op13_runs": op13_runs,
     "secrets_base": secrets_base,
     "quality_base": quality_base,
 }
 
 #: DuckDB SQL of the operators that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op6_sharding": oracle.sharding(24), "secrets_base": oracle.SECRETS_BASE, "quality_base": oracle.QUALITY_BASE}
+ORACLE_SQL: dict[str, str] = {"op6_sharding": oracle.sharding(24), "op11_lexical": oracle.LEXICAL, "secrets_base": oracle.SECRETS_BASE, "quality_base": oracle.QUALITY_BASE}

@@ -271,3 +271,23 @@ def test_records_of_one_id_fill_many_shards(spark, tmp_path):
     assert sum(sizes) == 900 and max(sizes) < 400
     rows = records.read_shards(index, folder).orderBy("start").collect()
     assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows) and len(rows) == 900
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", "x"])
+def test_long_runs_of_one_character(spark, space):
+    text = space * 3_000_000 + "end"
+    want = np.array(ids_of(text), dtype="<u4").tobytes()
+    assert list(tokens.encoded([text, "a"], BYTE))[0] == want and list(tokens.lengths(["a", text], BYTE)) == [1, len(want) // 4]
+    if space == " ":
+        docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+        assert [r.n_tokens for r in tokens.count_tokens(docs, BYTE).sort("doc_id").collect()] == [len(want) // 4, 2]
+        pieces = packing.pack(packing.cut(docs, BYTE, end_id=2))
+        assert pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).sort("doc_id").collect() == [(1, len(want) // 4 + 1), (2, 3)]
+
+
+def test_a_batch_is_encoded_like_its_texts():
+    encoder = tokens.encoder(BYTE)
+    sample = [t or "" for t in ODD] + generated(500, 3)
+    for texts in ([], [""], ["", ""], sample, [*sample, tokens.BREAK], [tokens.BREAK * 2, "a"], [tokens.BREAK[0], tokens.BREAK[1]]):
+        want = [np.array(ids_of(t), dtype="<u4").tobytes() for t in texts]
+        assert encoder.encode_all(texts) == want and encoder.lengths(texts) == [len(x) // 4 for x in want]
