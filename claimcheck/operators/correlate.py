@@ -6,73 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimcheck.config import DEFAULTS, Thresholds
-from claimcheck.functions.columns import numeric_columns, pairs, quoted, strength, without_nan
+from claimcheck.functions.columns import numeric_columns, strength
 from claimcheck.functions.distributions import t_p_value
-from claimcheck.operators.profile import bucket_borders, ranked_values
-
-
-def _all_pairs(df: DataFrame, of: list[tuple[str, str]], name: str) -> DataFrame:
-    """(var1, var2, n, <name>) of the pairs, from one aggregation over the table.
-
-    Moments are taken over the rows that have both values, by mergeable updates, not from sums of squares.
-    A pair with fewer than two rows or a constant side has no row.
-    """
-    if not of:
-        return df.sparkSession.createDataFrame([], f"var1 string, var2 string, n long, {name} double")
-    parts: list[Column] = []
-    for i, (a, b) in enumerate(of):
-        x, y = quoted(a).cast("double"), quoted(b).cast("double")
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        parts += [F.count_if(both).alias(f"n{i}"), F.covar_samp(x, y).alias(f"c{i}"), F.var_samp(x).alias(f"x{i}"), F.var_samp(y).alias(f"y{i}")]
-    rows = []
-    for i, (a, b) in enumerate(of):
-        r = F.try_divide(F.col(f"c{i}"), F.sqrt(F.col(f"x{i}")) * F.sqrt(F.col(f"y{i}")))
-        varies = (F.col(f"x{i}") > 0) & (F.col(f"y{i}") > 0)
-        rows.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"n{i}").alias("n"), F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias(name)))
-    return df.agg(*parts).select(F.inline(F.array(*rows))).where(F.col(name).isNotNull() & (F.col("n") >= 2))
+from claimcheck.operators import comoments, ranks
+from claimcheck.operators.ranks import average_ranks as average_ranks
 
 
 def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(var1, var2, n, r) over the rows that have both values; pairs with a constant side are left out."""
-    df = without_nan(df)
-    return _all_pairs(df, pairs(columns or numeric_columns(df)), "r")
-
-
-def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The ``columns`` of ``df`` as average ranks among each column's values (missing stays missing), rows in any order.
-
-    All columns are ranked at once: values and ranks meet in long form, and rows are put together again.
-    """
-    ranks = ranked_values(df, bucket_borders(df, columns)).select("column", "value", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("value")) for c in columns])
-    rows = df.select(F.monotonically_increasing_id().alias("row"), cells.alias("cells"))  # an id of the row, so before it is dealt out
-    long = rows.select("row", F.inline("cells")).where(F.col("value").isNotNull())
-    return long.join(ranks, ["column", "value"]).groupBy("row").agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns]).drop("row")
+    columns = columns or numeric_columns(df)
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "var1 string, var2 string, n long, r double")
+    return comoments.correlation(comoments.comoments(df, columns), columns, "r")
 
 
 def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(var1, var2, n, rho): Pearson on average ranks among the rows that have both values.
-
-    Columns without missing values share their ranks over all their pairs; in other pairs each side is
-    ranked over the rows that are complete for the pair.
-    """
-    df = without_nan(df)
+    """(var1, var2, n, rho): Pearson on average ranks among the rows that have both values."""
     columns = columns or numeric_columns(df)
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, n long, rho double")
-    missing = df.agg(*[F.count_if(quoted(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    full = {c for i, c in enumerate(columns) if not missing[i]}
-    sides, of = {}, {}
-    for a, b in pairs(columns):
-        own = [(c, "" if {a, b} <= full else f"{a} {b}") for c in (a, b)]
-        for c, pair in own:
-            sides.setdefault((c, pair), (f"s{len(sides)}", quoted(c) if not pair else F.when(quoted(a).isNotNull() & quoted(b).isNotNull(), quoted(c))))
-        of[sides[own[0]][0], sides[own[1]][0]] = (a, b)
-    ranks = average_ranks(df.select(*[value.cast("double").alias(name) for name, value in sides.values()]), [name for name, _ in sides.values()])
-    named = df.sparkSession.createDataFrame([(*ranked, *pair) for ranked, pair in of.items()], "one string, other string, a string, b string")
-    found = _all_pairs(ranks, list(of), "rho").join(F.broadcast(named), (F.col("var1") == F.col("one")) & (F.col("var2") == F.col("other")))  # one row a pair
-    return found.select(F.col("a").alias("var1"), F.col("b").alias("var2"), "n", "rho")
+    return ranks.spearman(df, columns)
 
 
 def _p(r: Column, n: Column) -> Column:
