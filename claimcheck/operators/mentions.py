@@ -1,91 +1,57 @@
 """Which columns a claim mentions.
 
-The column names are part of the plan, not a table: each claim tests them in its own row, so that there
-is no join and nothing is shuffled.
+The column names are part of the plan, not a table: each task has an index over them (``NameIndex``) that
+reads a claim's text once, so that there is no join and nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimcheck.config import DEFAULTS, Thresholds
-
-
-def exact(text: Column, name: str, match: str = "substring") -> Column:
-    """Whether the text has the name, as any part of it or as a word."""
-    if match == "word":
-        import re
-
-        return F.lower(text).rlike(r"\b" + re.escape(name.lower()) + r"\b")
-    return F.lower(text).contains(name.lower())
-
-
-def window_score(text: Column, name: str) -> Column:
-    """Best similarity (0 to 100) of the name to a part of the text of its length, by Levenshtein distance.
-
-    In a text shorter than the name, the text is compared with the parts of the name.
-    """
-    size = len(name)
-    low = F.lower(text)
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(low) - size + 1)), lambda i: F.substring(low, i, F.lit(size)))
-    long_enough = F.array_max(F.transform(parts, lambda p: 100.0 * (size - F.levenshtein(p, F.lit(name.lower()))) / size))
-    length = F.char_length(low)
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), size - length + 1))
-    short = F.array_max(F.transform(starts, lambda i: F.try_divide(100.0 * (length - F.levenshtein(F.substring(F.lit(name.lower()), i, length), low)), length)))
-    return F.when(length >= size, long_enough).otherwise(F.coalesce(short, F.lit(0.0)))
-
-
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a row of the table at a time as the bits of one number."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    whole = (1 << len(a)) - 1
-    row = whole
-    for c in b:
-        hit = row & places.get(c, 0)
-        row = ((row + hit) | (row - hit)) & whole
-    return len(a) - row.bit_count()
-
-
-def indel_score(text: str, name: str) -> int:
-    """Best similarity (0 to 100) of the shorter string to a part of the longer one of its length: 200 * LCS / lengths."""
-    short, long = sorted((name.lower(), text.lower()), key=len)
-    if not short:
-        return 0
-    return max(round(100 * common_subsequence(short, long[i : i + len(short)]) / len(short)) for i in range(len(long) - len(short) + 1))
-
-
-def _indel(text: Column, names: list[str]) -> Column:
-    @F.arrow_udf("array<int>")
-    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([None if t is None else [indel_score(t, n) for n in names] for t in batch.to_pylist()], pa.list_(pa.int32()))
-
-    return scores(text)
+from claimcheck.functions.columns import free_name
+from claimcheck.operators.name_index import NameIndex
 
 
 def mentions(claims: DataFrame, columns: list[str], fuzzy: str | None = "levenshtein", match: str = "substring", t: Thresholds = DEFAULTS) -> DataFrame:
     """``claims`` with ``mentions``: array<struct<column, col_pos, score, match_kind>> in column order.
 
-    A column counts if its name is in the text, or else if its fuzzy score (``levenshtein``, ``indel`` or
-    None for none) reaches the threshold. A claim without text mentions none.
+    A column counts if its name is in the text (as any part of it, or with ``match="word"`` as a word), or
+    else if a part of the text of its length is similar enough by ``fuzzy`` (``levenshtein``, ``indel`` or
+    None for none). A text shorter than a name is compared with the parts of the name. A claim without text
+    mentions none.
     """
-    text = F.col("original_text")
-    rows = claims.withColumn("_indel", _indel(text, columns)) if fuzzy == "indel" else claims
-    found = []
-    for i, name in enumerate(columns):
-        score = F.col("_indel")[i].cast("double") if fuzzy == "indel" else window_score(text, name) if fuzzy else F.lit(0.0)
-        plain = exact(text, name, match)
-        # a score is worked out only where the name isn't in the text
-        one = F.struct(F.lit(name).alias("column"), F.lit(i).alias("col_pos"), F.when(plain, 100.0).otherwise(score).alias("score"), F.when(plain, "exact").otherwise("fuzzy").alias("match_kind"))
-        found.append(one)
-    every = F.filter(F.array(*found), lambda m: (m.match_kind == "exact") | (m.score >= t.fuzzy)) if found else F.array()
-    return rows.withColumn("mentions", F.coalesce(every, F.array().cast("array<struct<column: string, col_pos: int, score: double, match_kind: string>>"))).drop("_indel")
+
+    @F.arrow_udf("array<struct<col_pos: int, score: double, plain: boolean>>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = NameIndex(columns, fuzzy, t.fuzzy)
+        kind = pa.list_(pa.struct([("col_pos", pa.int32()), ("score", pa.float64()), ("plain", pa.bool_())]))
+        for batch in batches:
+            rows = [index.find(text or "") for text in batch.to_pylist()]
+            ends = [0]
+            for row in rows:
+                ends.append(ends[-1] + len(row))
+            flat = list(zip(*(x for row in rows for x in row))) or [(), (), ()]
+            values = pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(flat, kind.value_type)], fields=list(kind.value_type))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values).cast(kind)
+
+    low, near = free_name(claims, "_low"), free_name(claims, "_near")
+    name = lambda m: F.get(F.array(*[F.lit(c) for c in columns]), m.col_pos)
+    plain = lambda m: m.plain
+    if match == "word":
+        patterns = F.array(*[F.lit(r"\b" + re.escape(c.lower()) + r"\b") for c in columns])
+        plain = lambda m: m.plain & F.regexp_like(F.col(low), F.get(patterns, m.col_pos))
+    rows = claims.withColumn(low, F.lower("original_text")).withColumn(near, found(F.coalesce(low, F.lit(""))))
+    every = F.transform(near, lambda m: F.struct(name(m).alias("column"), m.col_pos.alias("col_pos"), m.score.alias("score"), F.when(plain(m), "exact").otherwise("fuzzy").alias("match_kind")))
+    if fuzzy is None:
+        every = F.filter(every, lambda m: m.match_kind == "exact")
+    none = F.array().cast("array<struct<column: string, col_pos: int, score: double, match_kind: string>>")
+    return rows.withColumn("mentions", F.when(F.col("original_text").isNotNull(), every).otherwise(none) if columns else none).drop(low, near)
 
 
 def mention_rows(mentioned: DataFrame, source: str = "source_id") -> DataFrame:

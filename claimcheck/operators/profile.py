@@ -1,26 +1,24 @@
 """Summaries of tables as tables: statistics, value counts, missing values, histograms, outliers.
 
-Exact quantiles take a narrow range around each one from approximate quantiles, and rank the values in that
-range alone. Ranks of all values come from value counts: a value's rank is the rows of the buckets below it
-and of the smaller values in its own. Bucket borders are a few hundred approximate quantiles, so that no
-column is ever sorted or held in one task.
+Exact quantiles are selected in rounds. A round reads the table once for all columns and quantiles that are
+still open: it counts the values below and inside each one's range and takes a few hundred approximate
+quantiles of those inside, between two of which the sought value lies. Ranges shrink to a hundredth a round,
+and once one has few different values these are counted and looked up. No column is sorted or held in one task.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimcheck.functions.columns import categorical_columns, long_numbers, long_texts, numeric_columns, quoted
 
 QUARTILES = (0.25, 0.5, 0.75)
-#: Buckets that the values of a column are ranked in.
-BUCKETS = 256
-#: Accuracy of the approximate quantiles around an exact one, and the rows up to which all values are ranked.
-ACCURACY, FEW_ROWS = 10_000, 100_000
+#: Accuracy of approximate quantiles; approximate quantiles of a round; different values (by estimate) that are looked up.
+ACCURACY, STEPS, FEW = 10_000, 400, 16_384
 
 
 def _number(column: str) -> Column:
@@ -28,34 +26,6 @@ def _number(column: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def bucket_borders(df: DataFrame, columns: list[str], buckets: int = BUCKETS) -> dict[str, list[float]]:
-    """Approximate quantiles of each column, by one job; the driver holds ``buckets`` numbers a column."""
-    steps = [(i + 1) / buckets for i in range(buckets - 1)]
-    found = df.agg(*[F.percentile_approx(_number(c), steps, 10 * buckets).alias(f"b{i}") for i, c in enumerate(columns)]).first() if columns else ()
-    return {c: sorted(set(found[i] or [])) for i, c in enumerate(columns)}
-
-
-def ranked_values(df: DataFrame, borders: dict[str, list[float]]) -> DataFrame:
-    """(column, value, n, before, total): rows with each value, with a smaller one, and with any, for the columns of ``borders``."""
-    spark = df.sparkSession
-    if not borders:
-        return spark.createDataFrame([], "column string, value double, n long, before long, total long")
-    names = range(len(borders))
-    wide = df.select(*[_number(c).alias(f"v{i}") for i, c in enumerate(borders)])
-    infinite = float("inf")
-    splits = [[-infinite, *([b for b in found if abs(b) < infinite] or [0.0]), infinite] for found in borders.values()]
-    wide = Bucketizer(inputCols=[f"v{i}" for i in names], outputCols=[f"b{i}" for i in names], splitsArray=splits, handleInvalid="keep").transform(wide)
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b{i}").alias("bucket"), F.col(f"v{i}").alias("value")) for i, c in enumerate(borders)])
-    counts = wide.select(F.inline(cells)).where(F.col("value").isNotNull()).groupBy("column", "bucket", "value").agg(F.count("*").alias("n"))
-    smaller = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("within", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-    sums = counts.groupBy("column", "bucket").agg(F.sum("n").alias("rows"))  # one row a bucket
-    whole = Window.partitionBy("column")
-    below = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("column", "bucket", F.coalesce(F.sum("rows").over(below), F.lit(0)).alias("lower"), F.sum("rows").over(whole).alias("total"))
-    return counts.join(sums, ["column", "bucket"]).select("column", "value", "n", (F.col("lower") + F.col("within")).alias("before"), "total")
-
-
 def approximate_quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = QUARTILES, accuracy: int = ACCURACY) -> DataFrame:
     """(column, q0, q1, ...) in one pass: values whose rank is off by one in ``accuracy`` of the rows at most, not interpolated."""
     found = df.agg(*[F.percentile_approx(_number(c), list(at), accuracy).alias(f"q{i}") for i, c in enumerate(columns)])
@@ -63,43 +33,88 @@ def approximate_quantiles(df: DataFrame, columns: list[str], at: tuple[float, ..
     return found.select(F.inline(F.array(*cells))).where("q0 IS NOT NULL")
 
 
+#: A column's values between two others (None: no end); neither is inside.
+Range = tuple[str, float | None, float | None]
+
+
+def _inside(of: Range) -> Column:
+    column, low, high = of
+    value, ends = _number(column), [_number(column) > low] * (low is not None) + [_number(column) < high] * (high is not None)
+    return F.when(reduce(Column.__and__, ends), value) if ends else value
+
+
+def _counted(df: DataFrame, ranges: list[Range]) -> dict[Range, tuple[int, int, int, list[float]]]:
+    """Rows up to each range's low end, rows inside, different values inside (by estimate), and approximate quantiles, from one job."""
+    steps, parts = [(i + 1) / (STEPS + 1) for i in range(STEPS)], []
+    for i, of in enumerate(ranges):
+        below = F.lit(0).cast("long") if of[1] is None else F.count_if(_number(of[0]) <= of[1])
+        parts.append(F.struct(below, F.count(_inside(of)), F.approx_count_distinct(_inside(of)), F.percentile_approx(_inside(of), steps, 10 * STEPS)).alias(f"r{i}"))
+    return {of: tuple(found) for of, found in zip(ranges, df.agg(*parts).first())} if ranges else {}
+
+
+def _narrowed(of: Range, place: int, rows: int, steps: list[float]) -> Range:
+    """A smaller range for the value at ``place`` of the ``rows`` inside; approximate quantiles are off by a tenth of a step at most."""
+    column, low, high = of
+    at = place / rows * (STEPS + 1)
+    first, last = math.floor(at) - 2, math.ceil(at + (STEPS + 1) / rows)
+    return column, steps[first] if first >= 0 else low, steps[last] if last < STEPS else high
+
+
+def _looked_up(df: DataFrame, wanted: dict[Range, list[int]]) -> dict[tuple[Range, int], float]:
+    """The values at the places ``wanted`` inside ranges of few different values."""
+    if not wanted:
+        return {}
+    ranges = list(wanted)
+    cells = F.array(*[F.struct(F.lit(i).alias("number"), _inside(of).alias("value")) for i, of in enumerate(ranges)])
+    counts = df.select(F.inline(cells)).where("value IS NOT NULL").groupBy("number", "value").agg(F.count("*").alias("n"))
+    values = counts.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("value", "n"))).alias("values"))
+    # The estimate is off by a few percent; far more would mean that one row gets too large.
+    values = values.where(F.assert_true(F.size("values") <= 4 * FEW).isNull())
+    places = F.get(F.array(*[F.array(*[F.lit(p).cast("long") for p in own]) for own in wanted.values()]), F.col("number"))
+
+    def at(place: Column) -> Column:
+        step = lambda so, x: F.struct((so.before + x.n).alias("before"), F.when((so.before <= place) & (place < so.before + x.n), x.value).otherwise(so.value).alias("value"))
+        return F.aggregate("values", F.struct(F.lit(0).cast("long").alias("before"), F.lit(None).cast("double").alias("value")), step, lambda so: so.value)
+
+    found = values.select("number", F.transform(places, at).alias("found")).collect()
+    return {(ranges[r.number], p): v for r in found for p, v in zip(wanted[ranges[r.number]], r.found)}
+
+
 def quantiles(df: DataFrame, columns: list[str], at: tuple[float, ...] = QUARTILES) -> DataFrame:
     """(column, q0, q1, ...): exact quantiles with linear interpolation between neighbours.
 
-    Runs up to three jobs at once and returns their few numbers for each column as a table. Values between
-    the two approximate quantiles around each quantile, about one in 2,500, are ranked by their counts.
+    Runs a few jobs at once, each over all columns, and returns their numbers as a table.
     """
-    spark, reach = df.sparkSession, 2 / ACCURACY
-    schema = "column string, " + ", ".join(f"q{i} double" for i in range(len(at)))
-    if not columns:
-        return spark.createDataFrame([], schema)
-    steps = [min(1.0, max(0.0, q + side)) for q in at for side in (-reach, reach)]
-    found = df.agg(*[x for i, c in enumerate(columns) for x in (F.count(_number(c)).alias(f"n{i}"), F.percentile_approx(_number(c), steps, ACCURACY).alias(f"a{i}"))]).first()
-    totals = {c: found[f"n{i}"] for i, c in enumerate(columns) if found[f"n{i}"]}
-    # For each column and quantile: its range of values, and the rows below it. Few rows are ranked whole.
-    ranges = {(c, k): (found[f"a{i}"][2 * k], found[f"a{i}"][2 * k + 1]) if found[f"n{i}"] > FEW_ROWS else (None, None) for i, c in enumerate(columns) if c in totals for k in range(len(at))}
-    narrow = [key for key, (low, _) in ranges.items() if low is not None]
-    rows = df.agg(*[F.count_if(_number(c) < ranges[c, k][0]).alias(f"r{i}") for i, (c, k) in enumerate(narrow)]).first() if narrow else ()
-    below = dict.fromkeys(ranges, 0) | dict(zip(narrow, rows))
-    wanted, cells = [], []
-    for number, ((c, k), (low, high)) in enumerate(ranges.items()):
-        place = (totals[c] - 1) * at[k] - below[c, k]
-        wanted.append((number, math.floor(place), math.ceil(place)))
-        value = _number(c) if low is None else F.when(_number(c).between(low, high), _number(c))
-        cells.append(F.struct(F.lit(number).alias("number"), value.alias("value")))
-    values = {}
-    if cells:
-        counts = df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull()).groupBy("number", "value").agg(F.count("*").alias("n"))
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("number").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        near = counts.withColumn("before", before).join(F.broadcast(spark.createDataFrame(wanted, "number int, low long, high long")), "number")
-        held = lambda rank: (F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("before") + F.col("n"))
-        values = {r.number: (r.a, r.b) for r in near.groupBy("number").agg(F.max(F.when(held("low"), F.col("value"))).alias("a"), F.max(F.when(held("high"), F.col("value"))).alias("b")).collect()}
-    result = {c: [] for c in totals}
-    for number, (c, k) in enumerate(ranges):
-        low, high = values[number]
-        place = (totals[c] - 1) * at[k]
-        result[c].append(low + (high - low) * (place - math.floor(place)))
-    return spark.createDataFrame([(c, *q) for c, q in result.items()], schema)
+    whole = {c: (c, None, None) for c in columns}
+    found = _counted(df, list(whole.values()))
+    totals = {c: found[of][1] for c, of in whole.items() if found[of][1]}
+    # Values by column and place in its order; of each place that is sought, its range.
+    values: dict[tuple[str, int], float] = {}
+    open_ = {(c, round_((n - 1) * q)): whole[c] for c, n in totals.items() for q in at for round_ in (math.floor, math.ceil)}
+    few: dict[Range, list[int]] = {}
+    asked = {}
+    while open_:
+        still = {}
+        for (c, place), of in open_.items():
+            below, rows, different, steps = found[of]
+            if place < below:
+                values[c, place] = of[1]
+            elif place >= below + rows:
+                values[c, place] = of[2]
+            elif min(rows, different) <= FEW:
+                few.setdefault(of, []).append(place - below)
+                asked[c, place] = of, place - below
+            else:
+                still[c, place] = _narrowed(of, place - below, rows, steps)
+        found = _counted(df, list(dict.fromkeys(still.values())))
+        open_ = still
+    looked_up = _looked_up(df, few)
+    values |= {key: looked_up[x] for key, x in asked.items()}
+    result = []
+    for c, n in totals.items():
+        ends = [((n - 1) * q, values[c, math.floor((n - 1) * q)], values[c, math.ceil((n - 1) * q)]) for q in at]
+        result.append((c, *(low + (high - low) * (place - math.floor(place)) if high != low else low for place, low, high in ends)))
+    return df.sparkSession.createDataFrame(result, "column string, " + ", ".join(f"q{i} double" for i in range(len(at))))
 
 
 def profile_numeric(df: DataFrame, columns: list[str] | None = None, approximate: bool = False) -> DataFrame:

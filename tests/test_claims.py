@@ -1,6 +1,6 @@
 import pytest
 
-from claimcheck.operators import claims, mentions, metrics, report, verdicts
+from claimcheck.operators import claims, mentions, metrics, name_index, report, verdicts
 from claimcheck.plans.verify import verify
 
 
@@ -34,9 +34,9 @@ def test_numbers(spark):
 
 
 def test_fuzzy_scores(spark):
-    assert mentions.common_subsequence("abcbdab", "bdcaba") == 4
-    assert mentions.indel_score("the cholestrol level", "cholesterol") >= 85
-    assert mentions.indel_score("", "age") == 0
+    assert name_index.common_subsequence("abcbdab", "bdcaba") == 4
+    index = name_index.NameIndex(["cholesterol", "age"], "indel", 85)
+    assert [(i, exact) for i, _, exact in index.find("the cholestrol level")] == [(0, False)] and index.find("") == []
     rows = spark.createDataFrame([("Only inverze moves",), ("prise",), (None,)], "original_text string")
     found = mentions.mentions(rows, ["inverse", "price"]).collect()
     assert [[m.column for m in r.mentions] for r in found] == [["inverse"], [], []]

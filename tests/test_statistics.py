@@ -108,7 +108,9 @@ def test_plan_reads_the_table_once(spark, tmp_path, people):
 
 
 def test_quantiles_of_many_rows_look_at_a_narrow_range(spark, monkeypatch):
-    monkeypatch.setattr(profile, "FEW_ROWS", 1_000)
+    monkeypatch.setattr(profile, "FEW", 50)
+    sizes, look = [], profile._looked_up
+    monkeypatch.setattr(profile, "_looked_up", lambda df, wanted: (sizes.extend(df.select(profile._inside(of)).distinct().count() for of in wanted), look(df, wanted))[1])
     df = spark.range(60_000).selectExpr("double(pmod(xxhash64(id), 100000)) a", "if(id % 3 = 0, 5.0D, double(id % 7)) b", "if(id % 2 = 0, null, double(id)) c", "if(id % 5 = 0, double('nan'), double(-id)) d")
     rows = df.toPandas()
     found = {r.column: (r.q0, r.q1, r.q2, r.q3) for r in profile.quantiles(df, list("abcd"), (0.0, 0.25, 0.5, 1.0)).collect()}
@@ -116,6 +118,7 @@ def test_quantiles_of_many_rows_look_at_a_narrow_range(spark, monkeypatch):
         assert found[c] == pytest.approx(tuple(rows[c].dropna().quantile([0.0, 0.25, 0.5, 1.0])))
     near = {r.column: r.q0 for r in profile.approximate_quantiles(df, ["a", "c"], (0.5,)).collect()}
     assert near["a"] == pytest.approx(rows["a"].median(), abs=50) and near["c"] == pytest.approx(rows["c"].dropna().median(), abs=20)
+    assert sizes and max(sizes) <= 60
     assert profile.quantiles(df.where("false"), ["a"]).isEmpty() and profile.profile_numeric(df, ["a"], approximate=True).count() == 1
 
 
@@ -125,3 +128,13 @@ def test_details_of_many_levels_stay_in_the_moments(spark, monkeypatch):
     found = {r.var2: r for r in groups.group_tests(moments).collect()}
     assert found["many"].details is None and found["many"].n_groups == 40 and len(found["few"].details) == 5
     assert moments.where("var2 = 'many'").count() == 40
+
+
+def test_quantiles_beside_a_heavy_value(spark, monkeypatch):
+    monkeypatch.setattr(profile, "FEW", 20)
+    df = spark.range(50_000).selectExpr("if(id % 1000 < 995, 1.0D, id / 7.0D) a", "if(id < 49990, double(id % 3), double('infinity')) b", "case when id % 2 = 0 then -double(id) end c")
+    rows, at = df.toPandas(), (0.001, 0.9949, 0.9951, 0.99951, 0.9999, 1.0)
+    found = {r.column: r[1:] for r in profile.quantiles(df, list("abc"), at).collect()}
+    for c in "ac":
+        assert found[c] == pytest.approx(tuple(rows[c].dropna().quantile(at)))
+    assert found["b"][:2] == (0.0, 2.0) and found["b"][-1] == math.inf
