@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,25 +14,72 @@ from claimcheck.functions.columns import categorical_columns, pairs, quoted, str
 from claimcheck.functions.distributions import chi2_p_value
 
 
-def contingency(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(var1, var2, level1, level2, n): rows with each two levels, for all pairs of columns in one pass.
+def _counted(df: DataFrame, of: list[tuple[str, str]]) -> DataFrame:
+    """(pair, level1, level2, n): counts of the cells in each batch of rows; a row isn't copied for its pairs."""
+    used = list(dict.fromkeys(c for pair in of for c in pair))
+    places = [(used.index(a), used.index(b)) for a, b in of]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = [c.dictionary_encode() for c in batch.columns]
+            codes = [c.indices.fill_null(-1).to_numpy().astype(np.int64) for c in coded]
+            for i, (a, b) in enumerate(places):
+                both = (codes[a] >= 0) & (codes[b] >= 0)
+                cells, n = np.unique(codes[a][both] * max(1, len(coded[b].dictionary)) + codes[b][both], return_counts=True)
+                if len(cells):
+                    first, second = np.divmod(cells, len(coded[b].dictionary))
+                    levels = [coded[x].dictionary.take(pa.array(y)) for x, y in ((a, first), (b, second))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), i, dtype=np.int32)), *levels, pa.array(n.astype(np.int64))], ["pair", "level1", "level2", "n"])
+
+    rows = df.select(*[quoted(c).cast("string").alias(f"c{i}") for i, c in enumerate(used)])
+    return rows.mapInArrow(count, "pair int, level1 string, level2 string, n long")
+
+
+def contingency(df: DataFrame, columns: list[str] | None = None, of: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(var1, var2, level1, level2, n): rows with each two levels, for all pairs of columns (or those in ``of``) in one pass.
 
     Rows that lack a level don't count for the pair.
     """
-    of = pairs(columns or categorical_columns(df))
+    of = pairs(columns or categorical_columns(df)) if of is None else of
     if not of:
         return df.sparkSession.createDataFrame([], "var1 string, var2 string, level1 string, level2 string, n long")
-    cells = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), quoted(a).cast("string").alias("level1"), quoted(b).cast("string").alias("level2")) for a, b in of]
-    return df.select(F.inline(F.array(*cells))).where("level1 IS NOT NULL AND level2 IS NOT NULL").groupBy("var1", "var2", "level1", "level2").agg(F.count("*").alias("n"))
+    cells = _counted(df, of).groupBy("pair", "level1", "level2").agg(F.sum("n").alias("n"))
+    name = lambda side: F.get(F.array(*[F.lit(pair[side]) for pair in of]), F.col("pair"))
+    return cells.select(name(0).alias("var1"), name(1).alias("var2"), "level1", "level2", "n")
+
+
+def screened(df: DataFrame, columns: list[str] | None = None, max_levels: int = 1_000) -> DataFrame:
+    """(var1, var2, levels1, levels2, tested): which pairs are worth a table of counts, by one sketch a column.
+
+    A column of more than ``max_levels`` different values (an identifier, a free text) isn't tested against
+    any other. The numbers of levels are estimates, off by 2 % in standard deviation. A row for every pair.
+    """
+    columns = columns or categorical_columns(df)
+    of = pairs(columns)
+    if not of:
+        return df.sparkSession.createDataFrame([], "var1 string, var2 string, levels1 long, levels2 long, tested boolean")
+    found = df.agg(*[F.approx_count_distinct(quoted(c), 0.02).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    levels = dict(zip(columns, found))
+    return df.sparkSession.createDataFrame([(a, b, levels[a], levels[b], max(levels[a], levels[b]) <= max_levels) for a, b in of], "var1 string, var2 string, levels1 long, levels2 long, tested boolean")
+
+
+def screened_chi_square(df: DataFrame, columns: list[str] | None = None, max_levels: int = 1_000) -> DataFrame:
+    """``chi_square`` of the pairs that ``screened`` lets through, and a row without figures for each other pair: nothing goes unsaid.
+
+    Columns as of ``chi_square``, and levels1, levels2 and tested.
+    """
+    pairs_ = screened(df, columns, max_levels)
+    of = [(r.var1, r.var2) for r in pairs_.where("tested").collect()]  # names of columns
+    return pairs_.join(F.broadcast(chi_square(df, of=of)), ["var1", "var2"], "left")  # a row a pair
 
 
-def chi_square(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def chi_square(df: DataFrame, columns: list[str] | None = None, of: list[tuple[str, str]] | None = None) -> DataFrame:
     """(var1, var2, n, n_rows, n_columns, stat, dof, p_value, cramers_v) of pairs of two levels each or more.
 
     The statistic is a sum over the cells that occur: n times the sum of count**2 / (row * column), less n.
     A table of two by two is corrected for continuity; its four cells are equally far from what is expected.
     """
-    cells = contingency(df, columns)
+    cells = contingency(df, columns, of)
     row, column = Window.partitionBy("var1", "var2", "level1"), Window.partitionBy("var1", "var2", "level2")
     cells = cells.withColumn("r", F.sum("n").over(row)).withColumn("c", F.sum("n").over(column))
     first_r = F.row_number().over(row.orderBy("level2")) == 1

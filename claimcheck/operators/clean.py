@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimcheck.functions.columns import categorical_columns, numeric_columns, quoted, stripped, without_nan
-from claimcheck.operators.profile import impute_constants, value_counts
+from claimcheck.functions.columns import categorical_columns, free_name, numeric_columns, quoted, stripped, without_nan
+from claimcheck.operators.codes import with_codes
+from claimcheck.operators.profile import impute_constants
+from claimcheck.sources.scratch import Scratch, saved
 
 
 def _replaced(df: DataFrame, names: list[str], new: dict[str, Column]) -> DataFrame:
@@ -66,19 +68,26 @@ def scale(df: DataFrame, mode: str = "standard", columns: list[str] | None = Non
 
 
 def clean_table(df: DataFrame, mode: str = "standard") -> DataFrame:
-    """Rows once each, nothing missing, texts normalised, numbers scaled, in this order."""
+    """Rows once each, nothing missing, texts normalised, numbers scaled, in this order.
+
+    The rows that stay are written once, to the shared folder; what is missing is counted on these.
+    """
     numbers = numeric_columns(df)
-    return scale(normalize_text(impute_median_mode(dedup_rows(df))), mode, numbers)
+    rows = saved(dedup_rows(df), "rows")
+    return scale(normalize_text(impute_median_mode(rows)), mode, numbers)
 
 
 def label_encode(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Texts replaced by their place among the sorted distinct values; missing counts as "nan".
+    """Texts replaced by their place among the sorted different values; missing counts as "nan".
 
-    The levels of a column are ranked in one task and joined back, so that this is meant for categories.
+    Any number of values: they are numbered by ranges, all columns at once, and come back by row.
     """
     columns = columns or categorical_columns(df)
-    for c in columns:
-        texts = df.select(F.coalesce(quoted(c).cast("string"), F.lit("nan")).alias("value"))
-        codes = value_counts(texts, ["value"]).select(F.col("value").alias("_value"), (F.row_number().over(Window.partitionBy("column").orderBy("value")) - 1).cast("long").alias("_code"))
-        df = _replaced(df.join(codes, F.coalesce(quoted(c).cast("string"), F.lit("nan")) == F.col("_value")), df.columns, {c: F.col("_code")})
-    return df
+    if not columns:
+        return df
+    row = free_name(df, "_row")
+    with Scratch(df.sparkSession) as scratch:
+        rows = saved(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+        codes = saved(with_codes(rows, {c: F.coalesce(quoted(c).cast("string"), F.lit("nan")) for c in columns}, scratch, row), "codes")
+    found = rows.join(codes.withColumnRenamed("row", row), row)
+    return found.select(*[codes[f"c{columns.index(c)}"].alias(c) if c in columns else rows["`" + c.replace("`", "``") + "`"] for c in df.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimcheck.functions.columns import quoted
-from claimcheck.operators import associate, claims, clean, correlate, groups, mentions, metrics, model, profile, prompts, report, truth, verdicts
+from claimcheck.operators import associate, claims, clean, correlate, groups, mentions, metrics, model, profile, prompts, report, sketches, truth, verdicts
 from claimcheck.plans import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,18 @@ def _(spark, folder):
     return rounded(profile.profile_all(read(spark, folder, "customer")))
 
 
+@query("profile_merged", " UNION ALL ".join(f"SELECT event_type, '{c}' AS \"column\", count(*) AS n_rows, count(*) - count(v) AS n_missing, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max, true AS near FROM (SELECT event_type, CASE WHEN event_id % 9 <> 0 THEN CAST({c} AS DOUBLE) END AS v FROM events) GROUP BY event_type" for c in ("value", "user_id")))
+def _(spark, folder):
+    """States by kind and part of the events, merged by kind; ``near``: the sketches' median is as near to the exact one's rank as they promise."""
+    rows = read(spark, folder, "events").selectExpr("event_type", "event_id % 20 AS part", "CASE WHEN event_id % 9 <> 0 THEN value END AS value", "CASE WHEN event_id % 9 <> 0 THEN CAST(user_id AS DOUBLE) END AS user_id")
+    found = sketches.profile_from_states(sketches.merge_states(sketches.profile_state(rows, ["event_type", "part"], ["value", "user_id"]), ["event_type"]))
+    ranks = rows.join(F.broadcast(found.groupBy("event_type").pivot("column", ["value", "user_id"]).agg(F.first("p50"))).toDF("event_type", "_v", "_u"), "event_type").groupBy("event_type")  # a row a kind
+    ranks = ranks.agg(*[F.struct(F.count_if(F.col(c) < F.col(m)).alias("low"), F.count_if(F.col(c) <= F.col(m)).alias("high"), F.count(c).alias("n")).alias(c) for c, m in (("value", "_v"), ("user_id", "_u"))])
+    ranks = ranks.select("event_type", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), *[F.col(f"{c}.{x}").alias(x) for x in ("low", "high", "n")]) for c in ("value", "user_id")])))
+    near = (F.col("low") <= 0.53 * F.col("n")) & (F.col("high") >= 0.47 * F.col("n"))
+    return rounded(found.join(ranks, ["event_type", "column"]).select("event_type", "column", "n_rows", "n_missing", "mean", "std", "min", "max", near.alias("near")))
+
+
 @query("value_counts", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM orders GROUP BY {c}" for c in ("o_orderstatus", "o_orderpriority")))
 def _(spark, folder):
     return profile.value_counts(read(spark, folder, "orders"))
@@ -294,6 +306,12 @@ def _(spark, folder):
     return rounded(associate.chi_square(facts(spark, folder), CATEGORIES).union(associate.chi_square(read(spark, folder, "part"), ["p_brand", "p_type"])))
 
 
+@query("chi_square_screened", f"SELECT {_CHI}, true AS tested FROM ({oracle.chi_square('orders', ['o_orderstatus', 'o_orderpriority'])}) UNION ALL SELECT a, 'o_clerkkey', NULL, NULL, NULL, NULL, NULL, NULL, NULL, false FROM (SELECT unnest(['o_orderstatus', 'o_orderpriority']) AS a)")
+def _(spark, folder):
+    rows = read(spark, folder, "orders").selectExpr("o_orderstatus", "o_orderpriority", "concat('Clerk', o_orderkey) AS o_clerkkey")
+    return rounded(associate.screened_chi_square(rows, max_levels=100).drop("levels1", "levels2"))
+
+
 @query("association_findings", f"SELECT {_CHI}, {oracle.STRENGTH.format('cramers_v')} AS strength, 'associated' AS direction FROM ({oracle.chi_square(FACTS_SQL, CATEGORIES)}) WHERE p_value < 0.05 AND cramers_v >= 0.2")
 def _(spark, folder):
     return rounded(associate.association_findings(facts(spark, folder), CATEGORIES))

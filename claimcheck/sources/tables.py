@@ -58,21 +58,67 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
+def _names(spark: SparkSession, path: str, suffix: str) -> dict[str, list[str]]:
+    """The files of a folder that end in ``suffix``, by kind, from one listing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found: dict[str, list[str]] = {}
+    for status in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder):
+        name = status.getPath().getName()
+        kind = name.rpartition(".")[2].lower()
+        if name.endswith(suffix) and kind in READERS and not name.startswith(("_", ".")):
+            found.setdefault(kind, []).append(status.getPath().toString())
+    return found
+
+
 def load_folder(spark: SparkSession, path: str, suffix: str = "") -> dict[str, DataFrame]:
     """Tables of all files of a folder that end in ``suffix``, by name; files that can't be read are left out."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    store = files.getFileSystem(spark._jsc.hadoopConfiguration())
     found = {}
-    for status in store.listStatus(files):
-        name = status.getPath().getName()
-        if name.endswith(suffix):
+    for files in _names(spark, path, suffix).values():
+        for file in files:
             try:
-                found[name] = load_table(spark, status.getPath().toString())
+                found[file.rpartition("/")[2]] = load_table(spark, file)
             except (ValueError, FileNotFoundError, AnalysisException):
                 continue
     return found
 
 
+def load_folder_by_schema(spark: SparkSession, path: str, suffix: str = "") -> list[tuple[list[str], DataFrame]]:
+    """(file names, table) for each set of files of one schema, with ``_file``, the name of a row's file.
+
+    For folders of many files, in a number of jobs that follows from the kinds and schemas and not from the
+    files: CSV headers and quotes, and the first lines of JSON files, are read in one distributed pass each,
+    Parquet schemas from the files' ends; files of like header or form are one table, and types are inferred over the table. Files of one header
+    whose types differ share the wider ones. Empty files are left out.
+    """
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    tables: list[tuple[list[str], DataFrame]] = []
+    by_kind = _names(spark, path, suffix)
+    for kind in ("csv", "json"):
+        if files := by_kind.get(kind):
+            line = F.col("value")
+            lines = spark.read.text(files).where(F.trim(line) != "").select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"), "value")
+            quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+            forms = lines.groupBy("file").agg(F.min_by("value", "place").alias("first"), F.bool_or(~F.is_valid_utf8(line)).alias("odd"), F.bool_or(quotes % 2 == 1).alias("cut")).collect()
+            groups: dict[tuple, list[str]] = {}
+            for form in forms:
+                first = form.first.strip()
+                key = (first, form.odd, form.cut) if kind == "csv" else (first.startswith("[") or not first.endswith("}"),)
+                groups.setdefault(key, []).append(form.file)
+            for key, own in sorted(groups.items(), key=lambda g: str(g[0])):
+                if kind == "csv":
+                    reader = spark.read.options(header=True, nullValue="", multiLine=bool(key[2]), escape='"', encoding="ISO-8859-1" if key[1] else "UTF-8", inferSchema=True)
+                    tables.append((own, reader.csv(sorted(own))))
+                else:
+                    tables.append((own, spark.read.json(sorted(own), multiLine=key[0])))
+    if files := by_kind.get("parquet"):
+        groups = {}
+        conf, reader = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.parquet.hadoop.ParquetFileReader
+        for file in files:  # the schema stands at a file's end, and takes no job
+            groups.setdefault(reader.readFooter(conf, spark._jvm.org.apache.hadoop.fs.Path(file)).getFileMetaData().getSchema().toString(), []).append(file)
+        tables += [(own, spark.read.parquet(*sorted(own))) for own in groups.values()]
+    return [(sorted(f.rpartition("/")[2] for f in own), df.withColumn("_file", name)) for own, df in tables]
+
+
 def is_usable(df: DataFrame) -> bool:
     """Whether the table has a column and a row."""
     return bool(df.columns) and not df.isEmpty()
