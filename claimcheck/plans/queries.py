@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimcheck.functions.columns import quoted
-from claimcheck.operators import associate, claims, clean, correlate, groups, mentions, metrics, model, profile, prompts, report, sketches, truth, verdicts
+from claimcheck.operators import associate, claims, clean, correlate, encode, groups, mentions, metrics, model, profile, prompts, report, sketches, truth, verdicts
 from claimcheck.plans import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -591,6 +591,25 @@ def _(spark, folder):
     return _scored(rows, "band", ["half", "status", "priority"], model.score_accuracy, 100)
 
 
+_SUMS = "(SELECT o_orderkey % 5 AS fold, CAST(o_custkey % 400 AS VARCHAR) AS level, o_totalprice AS y FROM orders)"
+
+
+@query("target_encoding", f"SELECT o_orderkey, round(((SELECT coalesce(sum(y), 0) FROM {_SUMS} s WHERE s.level = CAST(o_custkey % 400 AS VARCHAR) AND s.fold <> o_orderkey % 5) + 20 * (SELECT avg(o_totalprice) FROM orders)) / (20 + (SELECT count(*) FROM {_SUMS} s WHERE s.level = CAST(o_custkey % 400 AS VARCHAR) AND s.fold <> o_orderkey % 5)), 4) AS mean FROM orders")
+def _(spark, folder):
+    rows = read(spark, folder, "orders").selectExpr("o_orderkey", "o_totalprice", "cast(o_custkey % 400 as string) AS customer")
+    fold = (F.col("o_orderkey") % 5).cast("int")
+    table, means = encode.encoding(encode.level_sums(rows, "customer", [F.col("o_totalprice")], fold))
+    return encode.encoded(rows, "customer", table, means, fold, "means").select("o_orderkey", F.round(F.col("means")[0], 4).alias("mean"))
+
+
+@query("forest_many_levels")
+def _(spark, folder):
+    rows = model.train_test_split(derived(spark, folder, "orders", {"o_orderkey": "o_orderkey", **FACTS, "name": "concat('order ', o_orderkey)", "customer": "concat('customer ', o_custkey)"}), "o_orderkey")
+    fitted = encode.encoded_forest(rows.where("split = 'train'"), "half", ["price", "status", "name", "customer"], "o_orderkey", trees=20)
+    found = fitted.transform(rows.where("split = 'test'"))
+    return found.agg(F.count("*").alias("n"), model.score_r2(F.col("half"), F.col("prediction")).alias("score"))
+
+
 @query("score_r2", "SELECT round(1 - sum((o_totalprice - p) * (o_totalprice - p)) / (var_pop(o_totalprice) * count(*)), 6) AS r2 FROM (SELECT o_totalprice, avg(o_totalprice) OVER (PARTITION BY floor(o_totalprice / 100000)) AS p FROM orders)")
 def _(spark, folder):
     rows = read(spark, folder, "orders").select("o_totalprice", F.floor(F.col("o_totalprice") / 100000).alias("bin"))
