@@ -1,10 +1,15 @@
 """Secrets in texts: plain patterns, and weak candidates confirmed by their complementary parts.
 
 A password-like word, a user name or a host address proves nothing alone. Together they are a credential:
-weak candidates are reported only where a complementary part stands in the same scope (a paragraph, the
-whole text if it has no blank line), at any distance, within the candidate or around it (``together``). A
-window of ``reach`` code points is an option: the parts of a text are intervals with a role, sorted, and the
-interval join looks, for each part, at the nearest apart from it on either side (``linked``).
+weak candidates are reported only where a complementary part stands in the same scope, a paragraph. Scopes and
+parts are intervals of the text, both sorted, and an interval join gives each scope the parts that overlap it
+(``joined``): one sweep over both, in which a part that lies across two scopes belongs to both. Within a scope
+a secret needs an identifier or an endpoint, and these need a secret, within it or around it or at any
+distance; the distance to the nearest is reported. A text without a blank line is one scope however long it
+is, where a distant part confirms as well as a near one: there the distance, or ``reach``, tells more.
+
+A window of ``reach`` code points is an option: the join then looks, for each part, at the nearest apart from
+it on either side (``linked``).
 """
 
 from __future__ import annotations
@@ -105,48 +110,97 @@ def linked(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], b
     return found
 
 
-def together(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], breaks: list[int]) -> list[tuple[int, int, int]]:
-    """The weak spans with a complementary part in their scope, between the same ``breaks``, wherever it is."""
-    held = {(bisect.bisect_right(breaks, start), ROLES[KINDS[kind]]) for start, kind, _ in base + weak}
-    found = []
-    for start, kind, end in weak:
-        scope = bisect.bisect_right(breaks, start)
-        wanted = ("identifier", "endpoint") if ROLES[KINDS[kind]] == "secret" else ("secret",)
-        if any((scope, role) in held for role in wanted):
-            found.append((start, kind, end))
+def scopes_of(text: str) -> list[tuple[int, int]]:
+    """The text's paragraphs as intervals."""
+    cuts = [x for m in PARAGRAPH.finditer(text) for x in (m.start(), m.end())]
+    return list(zip([0, *cuts[1::2]], [*cuts[::2], len(text)]))
+
+
+def overlapping(scopes: list[tuple[int, int]], parts: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+    """The interval join: for each scope the parts (start, kind, end) that overlap it. Both are sorted by start; scopes are apart."""
+    open_: list[tuple[int, int, int]] = []
+    at = 0
+    for start, end in scopes:
+        open_ = [p for p in open_ if p[2] > start]
+        while at < len(parts) and parts[at][0] < end:
+            if parts[at][2] > start:
+                open_.append(parts[at])
+            at += 1
+        yield list(open_)
+
+
+def joined(base: list[tuple[int, int, int]], weak: list[tuple[int, int, int]], scopes: list[tuple[int, int]]) -> dict[tuple[int, int, int], int]:
+    """The weak spans with a complementary part in a scope of theirs, and the code points to the nearest one (0: they overlap)."""
+    candidates, found = set(weak), {}
+    for parts in overlapping(scopes, sorted(base + weak)):
+        own = [p for p in parts if p in candidates]
+        if not own:
+            continue
+        sides: dict[str, tuple[list[int], list[int]]] = {}
+        for start, kind, end in parts:
+            starts, ends = sides.setdefault(ROLES[KINDS[kind]], ([], []))
+            starts.append(start)
+            ends.append(end)
+        for starts, ends in sides.values():
+            ends.sort()
+        for span in own:
+            for role in ("identifier", "endpoint") if ROLES[KINDS[span[1]]] == "secret" else ("secret",):
+                if role in sides:
+                    found[span] = min(found.get(span, 1 << 62), _distance(span, *sides[role]))
     return found
 
 
+def _distance(span: tuple[int, int, int], starts: list[int], ends: list[int]) -> int:
+    """Code points between a span and the nearest of the intervals with these (sorted) starts and ends."""
+    start, _, end = span
+    after, before = bisect.bisect_left(starts, end), bisect.bisect_right(ends, start)
+    if after > before:  # some begin before the span's end, and don't end before its start
+        return 0
+    return min([x - end for x in starts[after : after + 1]] + [start - x for x in ends[max(0, before - 1) : before]])
+
+
 def spans_of(text: str, reach: int | None = REACH) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and linked weak spans of a text, each as (start, kind, end); without ``reach`` the scope alone decides."""
+    base, found = distances_of(text, reach)
+    return base, sorted(found)
+
+
+def distances_of(text: str, reach: int | None = None) -> tuple[list[tuple[int, int, int]], dict[tuple[int, int, int], int]]:
+    """Base spans, and the linked weak spans with the distance to the part that confirms them (-1 with ``reach``, which bounds it)."""
     base = base_spans(text)
     weak = weak_spans(text, base)
     if not weak or len(base) + len(weak) < 2:
-        return base, []
-    breaks = [m.start() for m in PARAGRAPH.finditer(text)]
-    return base, together(base, weak, breaks) if reach is None else linked(base, weak, breaks, reach)
+        return base, {}
+    if reach is None:
+        return base, joined(base, weak, scopes_of(text))
+    return base, dict.fromkeys(linked(base, weak, [m.start() for m in PARAGRAPH.finditer(text)], reach), -1)
 
 
-def scan(docs: DataFrame, text: str = "text", reach: int | None = None, names: tuple[str, str] = ("base", "linked")) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", reach: int | None = None, names: tuple[str, str] = ("base", "linked"), distances: str | None = None) -> DataFrame:
     """``docs`` with the arrays of base and of linked spans under ``names`` (existing columns of these are replaced).
 
     Spans are struct<start, kind, end> in code points, end exclusive, by start and then by the order of
-    KINDS. Weak parts are linked by their scope alone, unless ``reach`` is given. Null and empty texts have none; repeated rows and rows with null keys stay, each with its own
-    spans; whole texts are searched. A text's parts never leave its row, so that nothing is shuffled.
+    KINDS. Weak parts are linked by their scope, unless ``reach`` is given; a scope is a paragraph, so that a
+    text without a blank line is one scope of any length. ``distances`` names an array more: for each linked
+    span the code points to the nearest complementary part. Null and empty texts have no spans; repeated rows
+    and rows with null keys stay, each with its own; whole texts are searched. A text's parts never leave its
+    row, so that nothing is shuffled.
     """
     spans = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 
-    @F.arrow_udf(f"base {SPANS}, linked {SPANS}")
+    @F.arrow_udf(f"base {SPANS}, linked {SPANS}, distances array<bigint>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = [spans_of(t, reach) for run in texts_of(batch) for t in run]
+            rows = [(base, sorted(links), links) for run in texts_of(batch) for base, links in (distances_of(t, reach) for t in run)]
             both = [pa.array([[dict(zip(("start", "kind", "end"), x)) for x in row[i]] for row in rows], spans) for i in range(2)]
-            yield pa.StructArray.from_arrays(both, names=["base", "linked"])
+            far = pa.array([[links[x] for x in ordered] for _, ordered, links in rows], pa.list_(pa.int64()))
+            yield pa.StructArray.from_arrays([*both, far], names=["base", "linked", "distances"])
 
     held = free_name(docs, "_spans")
-    kept = [docs[c] for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    new = dict(zip(("base", "linked", "distances"), (*names, *[distances] * (distances is not None))))
+    kept = [docs[c] for c in docs.columns if c.lower() not in {n.lower() for n in new.values()}]
     rows = docs.select(*kept, found(F.coalesce(docs[text], F.lit(""))).alias(held))
-    return rows.select("*", *[F.col(held)[part].alias(name) for part, name in zip(("base", "linked"), names)]).drop(held)
+    return rows.select("*", *[F.col(held)[part].alias(name) for part, name in new.items()]).drop(held)
 
 
 def as_text(spans: Column) -> Column:

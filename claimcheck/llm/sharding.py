@@ -18,8 +18,8 @@ from claimcheck.llm.shared import saved
 
 #: Hash digits that order the shuffle: 60 bits.
 _DIGITS = 15
-#: Rows of one key and text from which on each row is shuffled for itself.
-MANY = 1_000
+#: Rows equal in key, source and text that one task numbers.
+CHUNK = 10_000
 
 
 def shuffle_order(key: Column, seed: int) -> Column:
@@ -33,9 +33,9 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", source: str = "sou
 
     ``size`` is the text's UTF-8 bytes plus 8 (null: 8). Shards differ by one row at most; ``slot`` counts
     from 0 without gaps. Rows without a source make a source of their own. The order depends on the seed,
-    the keys and the texts alone; rows equal in key, source and text follow each other and are placed each.
-    Of ``MANY`` rows or more that are equal in key and text (a third of all may have no key), each is shuffled
-    for itself, by its place in the input, so that they don't meet in one task.
+    the keys, the sources and the texts alone, not on how the input is partitioned. Rows equal in all of them
+    are numbered, and each is shuffled by its number, so that many of them (a third of all may have no key and
+    no text) are spread over all shards and don't meet in one task.
     An empty table gives an empty one. Extra columns don't matter.
     """
     spark = docs.sparkSession
@@ -45,12 +45,14 @@ def assign(docs: DataFrame, shards: int, key: str = "doc_id", source: str = "sou
         F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")).alias("stratum"),
         (F.octet_length(content) + 8).cast("long").alias("size"), F.crc32(content.cast("binary")).alias("text_crc32"),
     )
-    rows = saved(rows.withColumn("mixed", shuffle_order(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("")), "text_crc32"), seed)), "mixed")
-    many = saved(rows.groupBy("mixed").agg(F.count("*").alias("n")).where(F.col("n") >= MANY).select("mixed", F.lit(True).alias("alone")), "many")
-    if not many.isEmpty():
-        place = shuffle_order(F.concat_ws(":", "mixed", F.monotonically_increasing_id().cast("string")), seed)
-        rows = rows.join(many, "mixed", "left").withColumn("mixed", F.when(F.col("alone"), place).otherwise(F.col("mixed"))).drop("alone")
-        rows = saved(rows.select("key", "source", "stratum", "size", "text_crc32", "mixed"), "mixed")
+    rows = rows.withColumn("mixed", shuffle_order(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("")), "text_crc32"), seed))
+    # Equal rows are counted, and numbered where they come apart again; no number depends on a row's place.
+    equal = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    dealt = equal.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}")))).repartition("mixed", "chunk")
+    numbers = F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1)
+    place = shuffle_order(F.concat_ws(":", "mixed", "number"), seed)
+    rows = dealt.withColumn("number", F.explode(numbers)).withColumn("mixed", F.when(F.col("number") == 0, F.col("mixed")).otherwise(place)).drop("n", "chunk", "number")
+    rows = saved(rows, "mixed")
     width = -(-(1 << 4 * _DIGITS) // buckets)
     rows = rows.withColumn("bucket", F.floor(F.col("mixed") / F.lit(width)).cast("int"))
     counts = rows.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))

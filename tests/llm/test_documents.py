@@ -117,12 +117,14 @@ def test_sharding(spark):
 
 
 def test_sharding_of_many_rows_without_a_key(spark, monkeypatch):
-    monkeypatch.setattr(sharding, "MANY", 100)
+    monkeypatch.setattr(sharding, "CHUNK", 100)
     df = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) doc_id", "'s' source", "if(id % 3 = 0, 'same', concat('t', id)) text")
     rows = sharding.assign(df, 6).collect()
     assert len(rows) == 3000 and Counter(r.shard for r in rows) == {i: 500 for i in range(6)}
     held = Counter(r.shard for r in rows if r.doc_id is None)  # shuffled among the others
     assert sum(held.values()) == 1000 and min(held.values()) > 120
+    again = sharding.assign(df.repartition(7, "text"), 6).collect()  # no row's place depends on where it was read
+    assert Counter((r.doc_id, r.shard, r.slot) for r in rows) == Counter((r.doc_id, r.shard, r.slot) for r in again)
     assert all(sorted(r.slot for r in rows if r.shard == i) == list(range(500)) for i in range(6))
 
 
