@@ -3,11 +3,16 @@
 A page is a row of tokens: words and tags. Words have the weight of their kind, the log of the odds that
 such a word stands inside the content, fitted on labelled pages. The kind is the block that the word stands
 in (paragraph, heading, list, ...), whether that is a long one, and whether the word is linked; labels come
-from the element that a page names as its content, which is no feature. Where an element around a word
-looks like boilerplate by its name or by a word of its class, id or role, the weight of this evidence, fitted
-as well, stands for that of the kind. Tags score negative. One linear scan finds the contiguous run of tokens
-with the largest sum, the content region. Its blocks are the text, but for those whose words their evidence
-makes negative, such as an advert amid an article.
+from the element that a page names as its content. Pages of one template vote once, however many there are,
+so that a kind that one template never uses in its content isn't taken for boilerplate everywhere. Where an
+element around a word looks like boilerplate by its name or by a word of its class, id or role, the weight of
+this evidence, fitted as well, stands for that of the kind. Tags score negative. One linear scan finds the
+contiguous run of tokens with the largest sum, the content region. Its blocks are the text, but for those
+whose words their evidence makes negative, such as an advert amid an article.
+
+A page that names one element as its content (``article`` or ``main``) has said what belongs together: words
+inside that no evidence speaks against score at least ``NAMED``, and the tags between them nothing, so that
+lists, tables and short lines of an article stay. The element's own two tags cost ``BORDER`` each.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ PLACES = {"p": "paragraph", "blockquote": "quote", "pre": "quote", "figcaption":
 #: words beside them that say how a page is laid out.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice "
-    "alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus respond reply replies related recommended widget toolbar pagination pager skip contentinfo complementary search".split()
+    "alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments discussion discussions disqus feedback respond reply replies related recommended widget toolbar pagination pager skip contentinfo complementary search".split()
 )
 LAYOUT = frozenset("has is no not with without and open opened closed enabled disabled on off".split())
 
@@ -45,20 +50,23 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_BORDERS = frozenset(f"tag {name}" for name in CONTENT)
 
 #: Rows of the labelled pages, at most: those with the smallest hash.
 LABELLED_ROWS = 2_000
 #: Words of a block that make it long.
 LONG = 25
 #: How likely words of a kind are content before any page is seen, and the words that this counts for.
-PRIOR_SHARES = {"paragraph": 0.8, "quote": 0.8, "heading": 0.7, "list": 0.7, "cell": 0.6, "other short": 0.35, "other long": 0.7, "evidence": 0.05}
-PRIOR_SHARES |= {"linked paragraph": 0.55, "linked quote": 0.55, "linked heading": 0.5, "linked list": 0.15, "linked cell": 0.3, "linked other": 0.15}
+PRIOR_SHARES = {"paragraph": 0.8, "quote": 0.8, "heading": 0.7, "list": 0.7, "cell": 0.6, "other short": 0.35, "other long": 0.7, "bare": 0.7, "evidence": 0.05}
+PRIOR_SHARES |= {"linked paragraph": 0.55, "linked quote": 0.55, "linked heading": 0.5, "linked list": 0.15, "linked cell": 0.3, "linked other": 0.15, "linked bare": 0.3}
 PRIOR = 20.0
 #: Bounds of the weights of a word, of a word with evidence, and of a tag.
 WORD_BOUNDS, EVIDENCE_BOUNDS, TAG_BOUNDS = (-4.0, 4.0), (-8.0, 4.0), (-1.0, -0.05)
 #: A tag's weight without evidence, that of a tag at which a content element begins or ends, and what a block
 #: costs at most that its evidence keeps out of the text anyway.
 TAG, BORDER, LEFT_OUT = -0.2, -5.0, 0.5
+#: The least weight of a word in the page's one content element, if nothing speaks against it.
+NAMED = 0.5
 
 
 @dataclass
@@ -84,6 +92,7 @@ class Token:
     inside: bool
     around: tuple[Element, ...] = field(default=())
     words: int = 0
+    begins: bool = False  # a content element
 
 
 def evidence_of(name: str, attributes: str, within: tuple[str, ...]) -> tuple[str, ...]:
@@ -115,7 +124,7 @@ def tokens(page: str) -> list[Token]:
     block, at, size, total = 0, 0, len(page), 0
     worded, lengths = -1, Counter()  # the last block with words; words of each block
     low, headed, reached = None, False, False
-    top = Element("", False, "other", False)
+    top = Element("", False, "bare", False)  # text in no element at all
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -172,13 +181,13 @@ def tokens(page: str) -> list[Token]:
                     reached = True
                     for element in here.around:
                         element.holds_content = True
-                place = PLACES.get(name, "other") if name in BLOCKS else here.place
+                place = PLACES.get(name, "other") if name in BLOCKS else "other" if here.place == "bare" and name == "body" else here.place
                 new = Element(name, here.linked or name == "a", place, inside, here.around, evidence_of(name, m[3], within))
                 if new.evidence:
                     new.around = (*here.around, new)
                 open_.append(new)
                 here = new
-        found.append(Token(f"tag {name}", "", block, inside, here.around))
+        found.append(Token(f"tag {name}", "", block, inside, here.around, begins=not m[1] and name in CONTENT))
     for token in found:
         if token.words and token.kind == "other":
             token.kind = "other long" if lengths[token.block] >= LONG else "other short"
@@ -205,28 +214,40 @@ def kind_counts(page: str) -> list[tuple[str, int, int]]:
     return [(k, inside[k], outside[k]) for k in sorted(inside | outside)]
 
 
+def template_of(page: str) -> str:
+    """The names of a page's elements, and the words of class, id and role that may mark boilerplate: pages made alike have the same."""
+    names, marks = {m[2].lower() for m in _TOKEN.finditer(page) if m[2]}, set()
+    for _, *values in _ATTRIBUTE.findall(page):
+        marks |= {part for value in values for part in _NAME.findall(value.lower()) if part in MARKS}
+    return " ".join([*sorted(names), "/", *sorted(marks)])
+
+
 def fit(pages: DataFrame, key: str = "page_id", page: str = "html", rows: int = LABELLED_ROWS) -> dict[str, float]:
     """Weights of all kinds from labelled pages: those whose markup names one content element.
 
-    The sample is the ``rows`` pages of the smallest key hash at most, counted in Spark; the driver gets
-    one row for each kind of token. Without labelled pages all kinds have the weights of the prior.
+    The sample is the ``rows`` pages of the smallest key hash at most, counted in Spark. The pages of a
+    template vote together, for each kind by the share of its words (or tags) inside, with the weight of
+    ``PRIOR`` words. The driver gets one row for each kind of token. Without labelled pages all kinds have the
+    weights of the prior.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x for p in batch.column(0).to_pylist() for x in kind_counts(p or "")]
-            columns = list(zip(*found)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["kind", "inside", "outside"])
+            found = [(template_of(p or ""), *x) for p in batch.column(0).to_pylist() for x in kind_counts(p or "")]
+            columns = list(zip(*found)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], names=["template", "kind", "inside", "outside"])
 
     sample = pages.select(key).orderBy(F.xxhash64(key), key).limit(rows).distinct()
     labelled = pages.join(F.broadcast(sample), key, "left_semi").select(page)  # `rows` keys at most
-    counts = labelled.mapInArrow(count, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    counts = labelled.mapInArrow(count, "template string, kind string, inside long, outside long").groupBy(F.xxhash64("template").alias("template"), "kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    share = F.col("inside") / (F.col("inside") + F.col("outside"))
+    counts = counts.where("inside + outside > 0").groupBy("kind").agg((PRIOR * F.sum(share)).alias("inside"), (PRIOR * F.sum(1 - share)).alias("outside"))
     # Tag names are the page's own, so only those that HTML knows are kept apart.
     known = [f"tag {n}" for n in sorted((BLOCKS | VOID | BOILERPLATE | {"a", "b", "i", "em", "strong", "span"}) - {*CONTENT})]
     return weights([tuple(r) for r in counts.where(~F.col("kind").startswith("tag ") | F.col("kind").isin(known)).collect()])
 
 
-def weights(counts: list[tuple[str, int, int]]) -> dict[str, float]:
+def weights(counts: list[tuple[str, float, float]]) -> dict[str, float]:
     """Log of the odds of the inside for each kind, within its bounds; kinds that no page has get that of the prior."""
     seen = {kind: (inside, outside) for kind, inside, outside in counts}
     evidence = [f"in {n}" for n in sorted(BOILERPLATE | {"header"})] + [f"mark {w}" for w in sorted(MARKS)] + ["hidden"]
@@ -256,18 +277,21 @@ def region(scores: list[float]) -> tuple[int, int]:
 def scored(row: list[Token], weight: dict[str, float]) -> tuple[list[float], list[bool]]:
     """The score of each token, and whether its evidence keeps it out of the text."""
     scores, left_out, paid = [], [], {}
+    named = sum(token.begins for token in row) == 1
     for token in row:
         against = min((weight[kind] for e in token.around for kind in e.evidence), default=None)
         out = against is not None and against < 0
         left_out.append(out)
+        belongs = named and token.inside and against is None
         if not token.text:
-            scores.append(0.0 if out else weight.get(token.kind, TAG))
+            scores.append(0.0 if out or belongs and token.kind not in _BORDERS else weight.get(token.kind, TAG))
         elif out:
             before = paid.get(token.block, 0.0)
             paid[token.block] = max(-LEFT_OUT, before + against * token.words)
             scores.append(paid[token.block] - before)
         else:
-            scores.append((weight.get(token.kind, 0.0) if against is None else against) * token.words)
+            own = weight.get(token.kind, 0.0) if against is None else against
+            scores.append((max(NAMED, own) if belongs else own) * token.words)
     return scores, left_out
 
 

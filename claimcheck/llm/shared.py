@@ -1,85 +1,15 @@
-"""Intermediate tables in the folder that the driver and all executors share."""
+"""What the operators share: intermediate tables, tables that a worker holds, texts of Arrow arrays in runs."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-@functools.lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="claimcheck-shared-")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    In local mode an unset value falls back to a temporary folder (there is one machine);
-    on a cluster an unset value is an error, because executors couldn't read such a folder.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = _own_folder()
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/claimcheck/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Tables of a computation of several steps, deleted when it ends (``with``) or when ``clear`` is called.
-
-    What outlives the computation is written by ``saved``; such tables stay until the folder is emptied,
-    because a result that hasn't been asked for yet may read them.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.paths: list[str] = []
-
-    def saved(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, name)
-        self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def clear(self, last: int = 0) -> None:
-        """Delete all tables but the ``last`` ones."""
-        going, self.paths = self.paths[: len(self.paths) - last], self.paths[len(self.paths) - last :]
-        for path in going:
-            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.clear()
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, or a variation of it that no column of ``df`` has (column names ignore case)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
+from claimcheck.functions.columns import free_name as free_name
+from claimcheck.sources.scratch import Scratch as Scratch
+from claimcheck.sources.scratch import new_path as new_path
+from claimcheck.sources.scratch import saved as saved
+from claimcheck.sources.scratch import shared_folder as shared_folder
 
 _held: dict[str, Any] = {}
 
