@@ -36,30 +36,24 @@ def group_moments(df: DataFrame, numbers: list[str] | None = None, categories: l
     return long.where(F.col("level").isNotNull() & (F.col("n") > 0)).select("var1", "var2", "level", "n", "mean", "variance")
 
 
-#: Levels of which ``details`` has the means; those of categories with more are in the moments.
-SHOWN_LEVELS = 1_000
-
-
 def group_tests(moments: DataFrame) -> DataFrame:
-    """(var1, var2, test, n_groups, n, stat, dof1, dof2, p_value, highest, lowest, details) of each pair.
+    """(var1, var2, test, n_groups, n, stat, dof1, dof2, p_value, highest, lowest) of each pair.
 
     Levels with two rows or more are tested: Welch's t-test of two (in the order of the levels), analysis of
     variance of more. If nothing varies within the groups, means that differ give an infinite statistic and
-    p-value zero, and equal means give none. ``details`` has the means of all levels, and is null where they
-    are over ``SHOWN_LEVELS``: a column of names must not end in one row; ``moments`` has them all.
+    p-value zero, and equal means give none. The means of all levels, also of those with one row, are a
+    table of their own (``group_details``): a pair may have as many as the table has rows.
     """
     usable = F.col("n") >= 2
     n, mean, variance = F.when(usable, F.col("n")), F.when(usable, F.col("mean")), F.when(usable, F.col("variance"))
-    overall = moments.groupBy("var1", "var2").agg((F.sum(n * mean) / F.sum(n)).alias("grand"), F.count("*").alias("levels"))
+    overall = moments.groupBy("var1", "var2").agg((F.sum(n * mean) / F.sum(n)).alias("grand"))
     moments = moments.join(overall, ["var1", "var2"])
     first, last = (f(F.when(usable, F.struct("level", "n", "mean", "variance"))) for f in (F.min, F.max))
     sums = moments.groupBy("var1", "var2").agg(
         F.count(n).alias("n_groups"), F.sum(n).alias("n"), F.sum((n - 1) * variance).alias("within"), F.sum(n * (mean - F.col("grand")) * (mean - F.col("grand"))).alias("between"),
-        first.alias("a"), last.alias("b"), F.max("levels").alias("levels"),
+        first.alias("a"), last.alias("b"),
         F.min_by("level", F.struct(-F.col("mean"), F.col("level"))).alias("highest"), F.min_by("level", F.struct("mean", "level")).alias("lowest"),
-        F.sort_array(F.collect_list(F.when(F.col("levels") <= SHOWN_LEVELS, F.struct("level", "mean")))).alias("shown"),
     ).where("n_groups >= 2")
-    sums = sums.withColumn("details", F.when(F.col("levels") <= SHOWN_LEVELS, F.map_from_entries("shown")))
     va, vb = F.col("a.variance") / F.col("a.n"), F.col("b.variance") / F.col("b.n")
     error, gap = va + vb, F.col("a.mean") - F.col("b.mean")
     infinite = F.lit(float("inf"))
@@ -70,7 +64,7 @@ def group_tests(moments: DataFrame) -> DataFrame:
     f = F.when(F.col("within") > 0, F.try_divide(F.col("between") / F.col("dof1"), F.col("within") / F.col("dof2"))).when(F.col("between") > 0, infinite)
     sums = sums.withColumn("dof1", dof1).withColumn("dof2", dof2).withColumn("stat", F.when(two, t).otherwise(f))
     p = F.when(two, t_p_value(F.col("stat"), F.col("dof1"))).otherwise(f_p_value(F.col("stat"), F.col("dof1"), F.col("dof2")))
-    return sums.select("var1", "var2", F.when(two, "t-test").otherwise("ANOVA").alias("test"), "n_groups", "n", "stat", "dof1", "dof2", p.alias("p_value"), "highest", "lowest", "details")
+    return sums.select("var1", "var2", F.when(two, "t-test").otherwise("ANOVA").alias("test"), "n_groups", "n", "stat", "dof1", "dof2", p.alias("p_value"), "highest", "lowest")
 
 
 def group_findings(df: DataFrame, numbers: list[str] | None = None, categories: list[str] | None = None, t: Thresholds = DEFAULTS) -> DataFrame:
@@ -78,3 +72,12 @@ def group_findings(df: DataFrame, numbers: list[str] | None = None, categories:
     found = group_tests(group_moments(df, numbers, categories)).where(F.col("p_value") < t.significance)
     strength = F.when(F.col("p_value") < t.highly_significant, "significant").otherwise("moderate")
     return found.withColumn("strength", strength).withColumn("direction", F.concat_ws(" > ", "highest", "lowest"))
+
+
+def group_details(findings: DataFrame, moments: DataFrame) -> DataFrame:
+    """(var1, var2, level, n, mean): the means of all levels of the pairs in ``findings``, one row a level.
+
+    ``findings`` are rows of ``group_tests``, ``group_findings`` or of a truth table; rows of pairs that the
+    moments don't hold are passed over.
+    """
+    return moments.join(findings.select("var1", "var2").distinct(), ["var1", "var2"], "left_semi").select("var1", "var2", "level", "n", "mean")

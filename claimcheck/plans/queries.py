@@ -273,24 +273,25 @@ _TESTS = "var1, var2, test, n_groups, n, " + r6("stat", "dof1", "dof2", "p_value
 
 @query("group_ttest", f"SELECT {_TESTS} FROM ({oracle.group_tests(GROUPED_SQL, ['quantity', 'price'], ['line'])})")
 def _(spark, folder):
-    return rounded(groups.group_tests(groups.group_moments(derived(spark, folder, "lineitem", GROUPED), ["quantity", "price"], ["line"])).drop("details"), 5)
+    return rounded(groups.group_tests(groups.group_moments(derived(spark, folder, "lineitem", GROUPED), ["quantity", "price"], ["line"])), 5)
 
 
 @query("group_anova", f"SELECT {_TESTS} FROM ({oracle.group_tests('(SELECT value, event_type FROM events)', ['value'], ['event_type'])}) UNION ALL SELECT {_TESTS} FROM ({oracle.group_tests(GROUPED_SQL, ['quantity', 'price'], ['flag'])})")
 def _(spark, folder):
     tests = groups.group_tests(groups.group_moments(read(spark, folder, "events").select("value", "event_type")))
-    return rounded(tests.union(groups.group_tests(groups.group_moments(derived(spark, folder, "lineitem", GROUPED), ["quantity", "price"], ["flag"]))).drop("details"), 5)
+    return rounded(tests.union(groups.group_tests(groups.group_moments(derived(spark, folder, "lineitem", GROUPED), ["quantity", "price"], ["flag"]))), 5)
 
 
 @query("group_findings", f"SELECT {_TESTS}, CASE WHEN p_value < 0.01 THEN 'significant' ELSE 'moderate' END AS strength, concat(highest, ' > ', lowest) AS direction FROM ({oracle.group_tests(FACTS_SQL, NUMBERS, CATEGORIES)}) WHERE p_value < 0.05")
 def _(spark, folder):
-    return rounded(groups.group_findings(facts(spark, folder), NUMBERS, CATEGORIES).drop("details"), 5)
+    return rounded(groups.group_findings(facts(spark, folder), NUMBERS, CATEGORIES), 5)
 
 
 @query("group_details", f"SELECT m.var1, m.var2, m.level, round(m.mean, 4) AS mean FROM ({oracle.moments(FACTS_SQL, NUMBERS, CATEGORIES)}) m JOIN ({oracle.group_tests(FACTS_SQL, NUMBERS, CATEGORIES)}) t ON m.var1 = t.var1 AND m.var2 = t.var2 WHERE t.p_value < 0.05")
 def _(spark, folder):
-    found = groups.group_findings(facts(spark, folder), NUMBERS, CATEGORIES)
-    return rounded(found.select("var1", "var2", F.explode("details").alias("level", "mean")), 4)
+    table = facts(spark, folder)
+    means = groups.group_details(groups.group_findings(table, NUMBERS, CATEGORIES), groups.group_moments(table, NUMBERS, CATEGORIES))
+    return rounded(means.drop("n"), 4)
 
 
 @query("contingency", oracle.contingency(ORDERS_SQL, ["status", "priority"]))

@@ -60,10 +60,12 @@ def test_quantiles(spark, values):
 def test_groups(spark):
     rows = [("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 5.0), ("b", 7.0), ("c", 100.0), (None, 4.0), ("b", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    row = groups.group_tests(groups.group_moments(df)).first()
+    moments = groups.group_moments(df)
+    row = groups.group_tests(moments).first()
     assert row.test == "t-test" and row.n_groups == 2 and row.n == 5  # one row is too few for c
     assert row.stat == pytest.approx((2 - 6) / math.sqrt(1 / 3 + 2 / 2)) and row.highest == "c" and row.lowest == "a"
-    assert row.details == {"a": 2.0, "b": 6.0, "c": 100.0}
+    means = groups.group_details(groups.group_tests(moments), moments).collect()
+    assert {r.level: r.mean for r in means} == {"a": 2.0, "b": 6.0, "c": 100.0}
 
 
 def test_groups_without_variation(spark):
@@ -122,12 +124,12 @@ def test_quantiles_of_many_rows_look_at_a_narrow_range(spark, monkeypatch):
     assert profile.quantiles(df.where("false"), ["a"]).isEmpty() and profile.profile_numeric(df, ["a"], approximate=True).count() == 1
 
 
-def test_details_of_many_levels_stay_in_the_moments(spark, monkeypatch):
-    monkeypatch.setattr(groups, "SHOWN_LEVELS", 10)
-    moments = groups.group_moments(spark.range(200).selectExpr("double(id * id % 17) v", "string(id % 40) many", "string(id % 5) few"))
-    found = {r.var2: r for r in groups.group_tests(moments).collect()}
-    assert found["many"].details is None and found["many"].n_groups == 40 and len(found["few"].details) == 5
-    assert moments.where("var2 = 'many'").count() == 40
+def test_details_of_a_level_for_each_row(spark):
+    moments = groups.group_moments(spark.range(20_000).selectExpr("double(id % 17) v", "string(id div 2) many", "string(id % 5) few", "string(id) single"))
+    tests = groups.group_tests(moments)
+    assert {r.var2: r.n_groups for r in tests.collect()} == {"many": 10_000, "few": 5}  # a level of one row can't be tested
+    assert {r.var2: r["count"] for r in groups.group_details(tests, moments).groupBy("var2").count().collect()} == {"many": 10_000, "few": 5}
+    assert groups.group_details(tests.where("false"), moments).isEmpty()
 
 
 def test_quantiles_beside_a_heavy_value(spark, monkeypatch):
