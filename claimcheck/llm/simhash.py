@@ -15,7 +15,9 @@ between them). A key is a pair of segments with one codeword index of each.
   are as many words as a wanted recall asks for. Candidates are decided on their whole sets of shingles.
 
 Rows with one key meet by a sort on the key. Pairs are verified there, and a key with many rows yields the
-edges of a spanning forest of its verified links, not the links: their components are the same.
+edges of a spanning forest of its verified links, not the links: their components are the same. A task holds
+at most ``BLOCK`` rows of a key: those of a larger key pass through it as they are, and are then dealt into
+blocks, each pair of which is a group of its own.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from claimcheck.llm.shared import Scratch, saved, texts_of
 #: The generator polynomial of the Golay code, and the seed of the shingle hash.
 GENERATOR = 0b101011100011
 SEED = 42
+#: Most rows of a key that a task compares at once (memory only: results are the same for any value).
+BLOCK = 1 << 14
 
 
 # --- fingerprints ---------------------------------------------------------------------------------
@@ -157,18 +161,19 @@ def keys(prints: np.ndarray, tables: Callable[[np.ndarray], Iterator[tuple[np.nd
 
 def forest(prints: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Edges (row, row) of a spanning forest of the pairs of (unsigned) fingerprints that differ in ``most`` bits or fewer."""
-    left = np.arange(len(prints))
+    left, rest = np.arange(len(prints)), prints
     edges: list[tuple[int, int]] = []
     while len(left) > 1:
-        waiting, left = [int(left[0])], left[1:]
+        waiting, left, rest = [int(left[0])], left[1:], rest[1:]
         while waiting and len(left):
             node = waiting.pop()
-            near = np.bitwise_count(prints[left] ^ prints[node]).sum(axis=1) <= most
+            apart = np.bitwise_count(rest ^ prints[node])
+            near = (apart[:, 0] if apart.shape[1] == 1 else apart.sum(axis=1)) <= most
             if near.any():
                 reached = left[near]
                 edges += [(node, int(x)) for x in reached]
                 waiting += reached.tolist()
-                left = left[~near]
+                left, rest = left[~near], rest[~near]
     return edges
 
 
@@ -188,33 +193,78 @@ def _edges_of_runs(nodes: np.ndarray, keyed: np.ndarray, prints: np.ndarray, mos
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch], key: Callable[[np.ndarray], np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """The columns of sorted batches, dealt anew so that the rows of a key (of the first column) stay together.
+def whole_runs(batches: Iterator[pa.RecordBatch], key: Callable[[list[np.ndarray]], np.ndarray], most: int | None = None) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """(whole, columns) of sorted batches, dealt anew so that the rows of a key stay together.
 
-    Batches of one key that goes on are set aside and joined once, when it ends.
+    Batches of one key that goes on are set aside and joined once, when it ends. Rows of a key of more than
+    ``most`` rows come in parts, as they arrive, and aren't ``whole``.
     """
     held: list[list[np.ndarray]] = []
+    size, passing = 0, False  # of the key held; whether its rows are passed on as they come
+
+    def joined(*more: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held, *more)]
+
     for batch in batches:
         if not batch.num_rows:
             continue
         now = [c.to_numpy() for c in batch.columns]
-        keyed = key(now[0])
-        last = int(np.searchsorted(keyed, keyed[-1]))  # the last key may go on in the next batch
-        if held and (last or keyed[0] != key(held[-1][0][-1:])[0]):
-            yield [np.concatenate(x) for x in zip(*held, [c[:last] for c in now])]
-            held = []
-        elif last:
-            yield [c[:last] for c in now]
-        held.append([c[last:] for c in now])
+        keyed = key(now)
+        if (held or passing) and keyed[0] == current:
+            end = int(np.searchsorted(keyed, current, side="right"))
+            held.append([c[:end] for c in now])
+            size += end
+            passing = passing or (most is not None and size > most)
+            if passing:
+                yield False, joined()
+                held = []
+            now, keyed = [c[end:] for c in now], keyed[end:]
+            if not len(keyed):
+                continue
+        if held:
+            yield True, joined()
+        held, passing = [], False
+        begins = np.flatnonzero(np.r_[True, keyed[1:] != keyed[:-1]])
+        ends = np.r_[begins[1:], len(keyed)]
+        large = ends - begins > (most if most is not None else len(keyed))
+        last = int(begins[-1])  # the last key may go on in the next batch
+        few = np.repeat(~large, ends - begins)
+        few[last:] = False
+        if few.any():
+            yield True, [c[few] for c in now]
+        for at, end in zip(begins[large].tolist(), ends[large].tolist()):
+            yield False, [c[at:end] for c in now]
+        current, size, passing = keyed[-1], len(keyed) - last, bool(large[-1])
+        if not passing:
+            held = [[c[last:] for c in now]]
     if held:
-        yield [np.concatenate(x) for x in zip(*held)]
+        yield True, joined()
+
+
+#: Bits for a pair of blocks beside the key (tables have 29 bits of key at most).
+PAIR = 34
 
 
-def links(prints: DataFrame, most: int) -> DataFrame:
+def in_blocks(rows: DataFrame, key: Column) -> DataFrame:
+    """``rows`` (node, ...) of large keys with a group for each pair of blocks of a key, sorted by group, and ``own``, the row's block.
+
+    A key of n rows has n / ``BLOCK`` blocks by a hash of the node, and each row goes to the groups of its
+    block with every block: each pair of rows meets, in a group of about 2 * ``BLOCK`` rows (of larger ones
+    where a key has over 2^31 rows). The upper bits of the group are the key.
+    """
+    names, rows = rows.columns, rows.withColumn("_key", key)
+    blocks = rows.groupBy("_key").agg(F.least(F.ceil(F.count("*") / BLOCK), F.lit(1 << PAIR // 2)).alias("_blocks"))
+    dealt = rows.join(blocks, "_key").withColumn("own", F.pmod(F.xxhash64("node"), "_blocks")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    pair = F.least("own", "_other") * F.col("_blocks") + F.greatest("own", "_other")
+    shards = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.select(*names, "own", (F.shiftleft("_key", PAIR) + pair).alias("group")).repartition(shards, "group").sortWithinPartitions("group")
+
+
+def links(prints: DataFrame, most: int, scratch: Scratch) -> DataFrame:
     """(low, high): edges among the rows (node long, words array<long>) of ``prints``, whose nodes are unique.
 
     Two nodes are connected by edges if a chain of links connects them: pairs of one-word fingerprints that
-    differ in ``most`` bits (4 at most) or fewer.
+    differ in ``most`` bits (4 at most) or fewer. ``scratch`` holds the edges while they are read.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,15 +275,27 @@ def links(prints: DataFrame, most: int) -> DataFrame:
                 row, key = keys(words, exact_tables)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(batch.column(0).to_numpy()[row]), pa.array(words[row, 0])], names=["key", "node", "word"])
 
+    def edges(node: np.ndarray, run: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # of signed numbers, numpy counts the bits of the absolute value
+        return _edges_of_runs(node, run, word[:, None].view(np.uint64), most)
+
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, word in whole_runs(batches, lambda x: x):
-            # of signed numbers, numpy counts the bits of the absolute value
-            low, high = _edges_of_runs(node, key, word[:, None].view(np.uint64), most)
+        for whole, (key, node, word) in whole_runs(batches, lambda c: c[0], BLOCK):
+            low, high = edges(node, key, word) if whole else (node, node)
+            late = pa.nulls(len(low), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), *((late, late) if whole else (pa.array(key), pa.array(word)))], names=["low", "high", "late", "word"])
+
+    def sweep_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (node, word, group) in whole_runs(batches, lambda c: c[2]):
+            low, high = edges(node, group, word)
             yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["low", "high"])
 
     shards = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = prints.select("node", "words").mapInArrow(spread, "key long, node long, word long")
-    return keyed.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(sweep, "low long, high long").distinct()
+    found = keyed.repartition(shards, "key").sortWithinPartitions("key").mapInArrow(sweep, "low long, high long, late long, word long")
+    found = scratch.saved(found, "links")
+    late = in_blocks(found.where("late IS NOT NULL").select(F.col("low").alias("node"), "word", "late"), F.col("late")).select("node", "word", "group")
+    return found.where("late IS NULL").select("low", "high").union(late.mapInArrow(sweep_blocks, "low long, high long")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -281,7 +343,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     own = saved(docs.select(F.col(key).alias("key"), fingerprints(docs[text], words).alias("words")), "fingerprints")
     with Scratch(docs.sparkSession) as scratch:
         group = scratch.saved(own.groupBy("words").agg(F.min("key").alias("least")).withColumn("node", F.monotonically_increasing_id()), "groups")
-        smallest = labels(group, links(group, most)).select("words", "smallest")
+        smallest = labels(group, links(group, most, scratch)).select("words", "smallest")
     return own.join(smallest, "words").select(F.col("key").alias(key), F.col("words").alias(fp), F.col("smallest").alias(component))
 
 
@@ -453,7 +515,35 @@ def _proposed(node: np.ndarray, a: np.ndarray, b: np.ndarray, many: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(many.astype(bool))], names=["low", "high", "many"])
 
 
-def candidates(prints: DataFrame, least: float) -> DataFrame:
+def _swept(keyed: DataFrame, propose: Callable[..., pa.RecordBatch | None], scratch: Scratch) -> DataFrame:
+    """(low, high, many): what ``propose(run, own, packed, node, word, ...)`` gives for the runs of the keys of ``keyed``.
+
+    ``own`` is the block of each row of a pair of blocks, and None where the run is a whole key.
+    """
+    more = keyed.columns[2:]
+    kinds = "low long, high long, many boolean, packed long, " + ", ".join(f"{c} long" for c in more)
+    names = ["low", "high", "many", "packed", *more]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, (packed, node, *rest) in whole_runs(batches, lambda c: c[0] >> CARRIED, BLOCK):
+            if not whole:
+                none = pa.nulls(len(node), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node), none, pa.array(packed), *map(pa.array, rest)], names=names)
+            elif pairs := propose(packed >> CARRIED, None, packed, node, *rest):
+                none = [pa.nulls(pairs.num_rows, pa.int64())] * (len(names) - 3)
+                yield pa.RecordBatch.from_arrays([*pairs.columns, *none], names=names)
+
+    def sweep_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (group, own, *columns) in whole_runs(batches, lambda c: c[0]):
+            if pairs := propose(group, own, *columns):
+                yield pairs
+
+    found = scratch.saved(keyed.mapInArrow(sweep, kinds), "swept")
+    late = in_blocks(found.where("packed IS NOT NULL").select("packed", F.col("low").alias("node"), *more), F.shiftright("packed", CARRIED))
+    return found.where("packed IS NULL").select("low", "high", "many").union(late.select("group", "own", "packed", "node", *more).mapInArrow(sweep_blocks, "low long, high long, many boolean"))
+
+
+def candidates(prints: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """(low, high, many): pairs of the rows (node, words) of ``prints`` that may be of similarity ``least``.
 
     They share a Golay key and agree on most bits of its word and some of another. A pair counts under the
@@ -464,63 +554,66 @@ def candidates(prints: DataFrame, least: float) -> DataFrame:
     """
     most, mask = most_bits(least, CARRIED + 46, 3.2), np.uint64((1 << CARRIED) - 1)
 
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for packed, node, word in whole_runs(batches, lambda x: x >> CARRIED):
-            key, bits = packed >> CARRIED, packed.view(np.uint64) & mask
-            begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            sizes = np.diff(np.r_[begins, len(key)])
-            few = np.repeat(sizes <= FEW, sizes)
-            left, right, many = [], [], []
-            for step in range(1, int(sizes[sizes <= FEW].max(initial=1))):
-                at = np.flatnonzero((key[step:] == key[:-step]) & few[step:])
-                at = at[_apart(bits, word, at, at + step) <= most]
-                left, right = [*left, at], [*right, at + step]
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                first = _meet_first(key[a], word[a], word[b])
-                a, b = a[first], b[first]
-                run = np.searchsorted(begins, a, side="right") - 1
-                more = np.bincount(run, minlength=len(begins))[run] > FEW
-                kept = ~more
-                kept[more] = _spanning(a[more], b[more])
-                lost = np.bincount(run[~kept], minlength=len(begins)) > 0
-                left, right, many = [a[kept]], [b[kept]], [lost[run[kept]]]
-            for at, size in zip(begins[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
-                order = at + np.argsort(node[at : at + size], kind="stable")  # all keys begin with the same rows
-                if edges := _forest_here(bits[order], word[order], int(key[at]), most):
-                    a, b = np.array(edges).T
-                    left, right, many = [*left, order[a]], [*right, order[b]], [*many, np.ones(len(a), dtype=bool)]
-            if left:
-                yield _proposed(node, *map(np.concatenate, (left, right, many)))
-
-    return _keyed(prints.select("node", "words")).mapInArrow(sweep, "low long, high long, many boolean")
-
-
-def crossing(prints: DataFrame, least: float) -> DataFrame:
-    """(low, high, many): like ``candidates``, all pairs of rows (node, words, class) of different classes."""
+    def propose(run: np.ndarray, own: np.ndarray | None, packed: np.ndarray, node: np.ndarray, word: np.ndarray) -> pa.RecordBatch | None:
+        key, bits = packed >> CARRIED, packed.view(np.uint64) & mask
+        begins = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        sizes = np.diff(np.r_[begins, len(run)])
+        few = np.repeat(sizes <= FEW, sizes)
+        left, right, many = [], [], []
+        for step in range(1, int(sizes[sizes <= FEW].max(initial=1))):
+            at = np.flatnonzero((run[step:] == run[:-step]) & few[step:])
+            at = at[_apart(bits, word, at, at + step) <= most]
+            left, right = [*left, at], [*right, at + step]
+        if left:
+            a, b = np.concatenate(left), np.concatenate(right)
+            first = _meet_first(key[a], word[a], word[b])
+            a, b = a[first], b[first]
+            of = np.searchsorted(begins, a, side="right") - 1
+            more = np.bincount(of, minlength=len(begins))[of] > FEW
+            kept = ~more
+            kept[more] = _spanning(a[more], b[more])
+            lost = np.bincount(of[~kept], minlength=len(begins)) > 0
+            left, right, many = [a[kept]], [b[kept]], [lost[of[kept]]]
+        for at, size in zip(begins[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+            order = at + np.argsort(node[at : at + size], kind="stable")  # all keys begin with the same rows
+            if edges := _forest_here(bits[order], word[order], int(key[at]), most):
+                a, b = np.array(edges).T
+                left, right, many = [*left, order[a]], [*right, order[b]], [*many, np.ones(len(a), dtype=bool)]
+        return _proposed(node, *map(np.concatenate, (left, right, many))) if left else None
+
+    return _swept(_keyed(prints.select("node", "words")), propose, scratch)
+
+
+def crossing(prints: DataFrame, least: float, scratch: Scratch) -> DataFrame:
+    """(low, high, many): like ``candidates``, all pairs of rows (node, words, class) of different classes.
+
+    A forest wouldn't do here: its edges may fail the exact test where others between the classes pass it.
+    """
     most, mask = most_bits(least, CARRIED + 46, 3.2), np.uint64((1 << CARRIED) - 1)
 
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for packed, node, word, group in whole_runs(batches, lambda x: x >> CARRIED):
-            key, bits = packed >> CARRIED, packed.view(np.uint64) & mask
-            begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends = np.r_[begins[1:], len(key)]
-            mixed = np.minimum.reduceat(group, begins) != np.maximum.reduceat(group, begins)
-            left, right = [], []
-            for at, end in zip(begins[mixed].tolist(), ends[mixed].tolist()):
-                _, place, sizes = np.unique(group[at:end], return_inverse=True, return_counts=True)
-                # Each row outside the largest class looks at all rows; of two such rows the first looks.
-                largest = place == sizes.argmax()
-                for row in np.flatnonzero(~largest).tolist():
-                    b = at + np.flatnonzero((place != place[row]) & (largest | (np.arange(end - at) > row)))
-                    b = b[_apart(bits, word, b, at + row) <= most]
-                    b = b[_meet_first(key[b], word[b], np.full(len(b), word[at + row]))]
-                    left, right = [*left, np.full(len(b), at + row)], [*right, b]
-            if left:
-                a, b = np.concatenate(left), np.concatenate(right)
-                yield _proposed(node, a, b, np.ones(len(a), dtype=bool))
-
-    return _keyed(prints.select("node", "words", "class")).mapInArrow(sweep, "low long, high long, many boolean")
+    def propose(run: np.ndarray, own: np.ndarray | None, packed: np.ndarray, node: np.ndarray, word: np.ndarray, group: np.ndarray) -> pa.RecordBatch | None:
+        bits = packed.view(np.uint64) & mask
+        begins = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        ends = np.r_[begins[1:], len(run)]
+        mixed = np.minimum.reduceat(group, begins) != np.maximum.reduceat(group, begins)
+        left, right = [], []
+        for at, end in zip(begins[mixed].tolist(), ends[mixed].tolist()):
+            _, place, sizes = np.unique(group[at:end], return_inverse=True, return_counts=True)
+            # Each row outside the largest class looks at all rows; of two such rows the first looks.
+            largest, key = place == sizes.argmax(), int(packed[at] >> CARRIED)
+            two = own is not None and own[at:end].min() != own[at:end].max()  # rows of one block meet in the group of that block
+            for row in np.flatnonzero(~largest).tolist():
+                there = (place != place[row]) & (largest | (np.arange(end - at) > row))
+                b = at + np.flatnonzero(there & (own[at:end] != own[at + row]) if two else there)
+                b = b[_apart(bits, word, b, at + row) <= most]
+                b = b[_meet_first(np.full(len(b), key), word[b], np.full(len(b), word[at + row]))]
+                left, right = [*left, np.full(len(b), at + row)], [*right, b]
+        if not left:
+            return None
+        a, b = np.concatenate(left), np.concatenate(right)
+        return _proposed(node, a, b, np.ones(len(a), dtype=bool))
+
+    return _swept(_keyed(prints.select("node", "words", "class")), propose, scratch)
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, recall: float = RECALL, name: str = "component_id") -> DataFrame:
@@ -546,7 +639,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     with Scratch(docs.sparkSession) as scratch:
         group = own.groupBy("digest", "size", "words").agg(F.min("key").alias("least"))
         group = scratch.saved(group.withColumn("node", F.monotonically_increasing_id()), "groups")
-        found = scratch.saved(candidates(group.where("size > 0"), least), "candidates")
+        found = scratch.saved(candidates(group.where("size > 0"), least, scratch), "candidates")
 
         def near(pairs: DataFrame) -> DataFrame:
             """The distinct pairs whose sizes and whole fingerprints allow the similarity."""
@@ -578,7 +671,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
         # The same for the pairs of keys that had more of them than their forest.
         held = held.join(components(edges), "node", "left").select("node", "words", F.coalesce("component", "node").alias("class"))
-        pairs = scratch.saved(near(crossing(scratch.saved(held, "held"), least)), "pairs")
+        pairs = scratch.saved(near(crossing(scratch.saved(held, "held"), least, scratch)), "pairs")
         edges = edges.union(scratch.saved(verified(pairs, sets, share), "edges"))
         smallest = labels(group, edges).select("digest", "smallest")
     return own.select("key", "digest").join(smallest, "digest").select(F.col("key").alias(key), F.col("smallest").alias(name))

@@ -85,12 +85,49 @@ def test_whole_runs_join_what_batches_cut():
     import pyarrow as pa
 
     keys = np.array([1, 1, 2, 2, 2, 2, 2, 2, 2, 3, 4, 4])
-    for sizes in ([1] * 12, [5, 0, 7], [12], [2, 3, 4, 3]):
-        ends = np.cumsum([0, *sizes])
-        batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(np.arange(a, b))], names=["k", "v"]) for a, b in zip(ends, ends[1:])]
-        found = list(simhash.whole_runs(iter(batches), lambda x: x))
-        assert np.concatenate([v for _, v in found]).tolist() == list(range(12))
-        assert sum(len(set(k.tolist())) for k, _ in found) == 4
+    for sizes in ([1] * 12, [5, 0, 7], [12], [2, 3, 4, 3], [2, 7, 3], [9, 3]):
+        for most in (None, 1, 2, 4, 7):
+            ends = np.cumsum([0, *sizes])
+            batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(np.arange(a, b))], names=["k", "v"]) for a, b in zip(ends, ends[1:])]
+            found = list(simhash.whole_runs(iter(batches), lambda c: c[0], most))
+            assert sorted(x for _, (_, v) in found for x in v.tolist()) == list(range(12))
+            large = {k for k, n in ((1, 2), (2, 7), (3, 1), (4, 2)) if most and n > most}
+            assert all(set(k.tolist()) <= large for whole, (k, _) in found if not whole)
+            runs = [k.tolist() for whole, (k, _) in found if whole]
+            assert sorted(k for run in runs for k in set(run)) == sorted({1, 2, 3, 4} - large) and all(run == sorted(run) for run in runs)
+
+
+def test_many_different_fingerprints_under_one_key(spark, monkeypatch):
+    """Fingerprints that differ in the third segment only meet under the same keys; blocks or not, the classes are those of all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", 100)
+    draw = np.random.default_rng(4)
+    words = np.unique(draw.integers(0, 1 << 21, 1500)) << 43
+    for bit in (50, 60):  # and some that link
+        words = np.unique(np.r_[words, words[:300] ^ (1 << bit)])
+    prints = spark.createDataFrame([(i, [w]) for i, w in enumerate(words.tolist())], "node long, words array<long>")
+    with simhash.Scratch(spark) as scratch:
+        edges = {(r.low, r.high) for r in simhash.links(prints, 4, scratch).collect()}
+    bits = words.view(np.uint64)
+    assert all(int(bits[a] ^ bits[b]).bit_count() <= 4 for a, b in edges)
+    assert classes(len(words), edges) == classes(len(words), simhash.forest(bits[:, None], 4))
+
+
+def classes(count, edges):
+    root = list(range(count))
+    for a, b in edges:
+        while root[a] != a:
+            a = root[a]
+        while root[b] != b:
+            b = root[b]
+        root[max(a, b)] = min(a, b)
+    for i in range(count):
+        root[i] = root[root[i]]
+    return root
+
+
+def test_families_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    test_families_of_edited_copies(spark, monkeypatch)
 
 
 def test_a_pair_is_proposed_under_the_first_key_it_shares():
