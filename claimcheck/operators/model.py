@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from claimcheck.functions.columns import categorical_columns, numeric_columns
+from claimcheck.functions.columns import categorical_columns, numeric_columns, quoted
 
 
 def task_of(df: DataFrame, target: str) -> str:
@@ -32,7 +32,8 @@ def forest(df: DataFrame, target: str, features: list[str], trees: int = 100, se
     if numbers:
         steps.append(Imputer(inputCols=numbers, outputCols=[f"{c}_full" for c in numbers], strategy="mean"))
     steps.append(VectorAssembler(inputCols=[f"{c}_full" for c in numbers] + [f"{c}_index" for c in texts], outputCol="features"))
-    widest = max([32, *[df.select(c).distinct().count() + 1 for c in texts]])
+    levels = df.agg(*[F.count_distinct(quoted(c)).alias(f"n{i}") for i, c in enumerate(texts)]).first() if texts else ()
+    widest = max([32, *[n + 2 for n in levels]])  # the levels, missing values and unknown ones
     if task == "regression":
         steps.append(RandomForestRegressor(labelCol=target, numTrees=trees, seed=seed, maxDepth=depth, maxBins=widest))
     else:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from claimcheck.functions.columns import quoted
 from claimcheck.operators import associate, claims, clean, correlate, encode, groups, mentions, metrics, model, profile, prompts, report, sketches, truth, verdicts
 from claimcheck.plans import oracle
+from claimcheck.sources.scratch import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -540,7 +541,7 @@ _DETAIL = f"'detail' AS section, source_id, ordinal, original_text, direction, s
 
 @query("report_json", f"SELECT {_DETAIL} FROM {VERDICTS_SQL} UNION ALL SELECT 'summary', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '{RUN[0]}', total_claims, valid_claims, hallucination_rate, insight_validity_score FROM ({metrics_sql()})")
 def _(spark, folder):
-    found = verdict_rows(spark, folder)
+    found = saved(verdict_rows(spark, folder), "verdicts")  # read twice: the rows and their metrics
     rows = report.report_json(found, metrics.verdict_metrics(found), *RUN)
     paths = {"original_text": "claim.original_text", "direction": "claim.direction", "strength": "claim.strength", "status": "status", "reason": "reason", "truth_var1": "ground_truth.var1", "truth_var2": "ground_truth.var2", "truth_direction": "ground_truth.direction", "dataset": "metadata.dataset"}
     numbers = {"total": ("metrics.total_claims", "long"), "valid": ("metrics.valid_claims", "long"), "rate": ("metrics.hallucination_rate", "double"), "score": ("metrics.insight_validity_score", "double")}
@@ -555,7 +556,7 @@ _TOP = f"['# Hallucination Analysis Report', '**Dataset:** {RUN[0]}', '**Model:*
 
 @query("report_markdown", f"SELECT source_id, ordinal, CAST(generate_subscripts(block, 1) - 1 AS INTEGER) AS line_no, unnest(block) AS line FROM (SELECT source_id, ordinal, {_BLOCK} AS block FROM {VERDICTS_SQL} UNION ALL SELECT -1, -1, {_TOP} FROM ({metrics_sql()}))")
 def _(spark, folder):
-    found = verdict_rows(spark, folder)
+    found = saved(verdict_rows(spark, folder), "verdicts")  # read twice: the rows and their metrics
     return report.report_markdown(found, metrics.verdict_metrics(found), *RUN)
 
 
