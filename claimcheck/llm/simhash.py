@@ -367,6 +367,10 @@ CARRIED, FEW = 34, 32
 #: Sets of so few shingles have twice the tables (with few votes a bit changes more often), and sets of so few
 #: are decided without a look at their whole fingerprints.
 SMALL, SHORT = 24, 64
+#: Words of a set's parities, and those that travel with a key (the others folded onto them).
+PARITIES, FOLDED = 8, 4
+#: A task holds so many times ``BLOCK`` rows of a first segment's codeword, as it opens them to keys itself.
+OPENED = 4
 
 
 def differing(least: float) -> float:
@@ -387,17 +391,26 @@ def most_bits(least: float, bits: int, off: float) -> int:
     return int(bits * p + off * math.sqrt(bits * p * (1 - p)))
 
 
+def parities(hashes: np.ndarray) -> list[int]:
+    """For each of ``PARITIES`` * 64 classes of hashes (by their lowest bits) whether a set has an odd number of them, as signed words.
+
+    Sets that differ in n hashes differ in n of these bits or fewer, so that what the bits rule out is no guess.
+    """
+    odd = np.bincount((hashes & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def sketches(text: Column, words: int, count: int) -> Column:
-    """For each text (null: empty) a digest of its set of shingle hashes, the set's size and its fingerprint."""
+    """For each text (null: empty) a digest of its set of shingle hashes, the set's size, its fingerprint and parities."""
 
-    @F.arrow_udf("digest binary, size int, words array<bigint>")
+    @F.arrow_udf("digest binary, size int, words array<bigint>, odd array<bigint>")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             rows = []
             for own in (np.unique(shingle_hashes(t or "", words)) for run in texts_of(batch) for t in run):
-                rows.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), fingerprint(own, 2 * count if len(own) <= SMALL else count)))
-            parts = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.binary(), pa.int32(), pa.list_(pa.int64())))]
-            yield pa.StructArray.from_arrays(parts, names=["digest", "size", "words"])
+                rows.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), fingerprint(own, 2 * count if len(own) <= SMALL else count), parities(own)))
+            parts = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
+            yield pa.StructArray.from_arrays(parts, names=["digest", "size", "words", "odd"])
 
     return found(text)
 
@@ -443,6 +456,18 @@ def _apart(bits: np.ndarray, word: np.ndarray, a, b) -> np.ndarray:
     return np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) + np.bitwise_count(word[a] ^ word[b])
 
 
+def _folded(prints: DataFrame, *more: str) -> DataFrame:
+    """(node, words, ..., size, odd0, ...): with the parities folded to ``FOLDED`` words, of which the same holds."""
+    folds = [functools.reduce(lambda x, y: x.bitwiseXOR(y), [F.get("odd", F.lit(i)) for i in range(k, PARITIES, FOLDED)]) for k in range(FOLDED)]
+    return prints.select("node", "words", *more, F.col("size").cast("long"), *(x.alias(f"odd{k}") for k, x in enumerate(folds)))
+
+
+def _allowed(size: np.ndarray, odd: np.ndarray, a, b, share: Fraction) -> np.ndarray:
+    """Whether the parities of rows a and b leave room for a Jaccard similarity of ``share``."""
+    unlike = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)
+    return unlike * (share.denominator + share.numerator) <= (size[a] + size[b]) * (share.denominator - share.numerator)
+
+
 def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which of the pairs (a, b) join what no pair before them has joined."""
     root: dict[int, int] = {}
@@ -462,8 +487,8 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return kept
 
 
-def _forest_here(bits: np.ndarray, word: np.ndarray, key: int, most: int) -> list[tuple[int, int]]:
-    """Edges (row, row) of a spanning forest of the pairs of rows that are near and meet first under ``key``."""
+def _forest_here(bits: np.ndarray, word: np.ndarray, size: np.ndarray, odd: np.ndarray, key: int, most: int, share: Fraction) -> list[tuple[int, int]]:
+    """Edges (row, row) of a spanning forest of the pairs of rows that are near, that their parities allow and that meet first under ``key``."""
     parts = [(codewords(x), index) for x, index in ((word & ((1 << 23) - 1), (key >> 12) & 4095), (word >> 23, key & 4095))]
     left = np.arange(len(bits))
     edges: list[tuple[int, int]] = []
@@ -472,6 +497,7 @@ def _forest_here(bits: np.ndarray, word: np.ndarray, key: int, most: int) -> lis
         while waiting and len(left):
             row = waiting.pop()
             near = _apart(bits, word, left, row) <= most
+            near[near] = _allowed(size, odd, left[near], np.array([row]), share)
             for own, index in parts:
                 at = np.flatnonzero(near)
                 other = own[left[at]]
@@ -485,22 +511,35 @@ def _forest_here(bits: np.ndarray, word: np.ndarray, key: int, most: int) -> lis
     return edges
 
 
-def _keyed(prints: DataFrame) -> DataFrame:
-    """(packed, node, word, ...): for each key of each row, the key and bits of another word, the table's own bits, and the columns after (node, words), sorted by key."""
+def _keyed(prints: DataFrame, whole: bool = True) -> DataFrame:
+    """(packed, node, word, ...): for each key of each row, the key and bits of another word, the table's own bits, and the columns after (node, words), sorted by key.
+
+    If not ``whole``, a row for the codewords of the first segment only, a fifth as many: ``_opened`` makes the keys of them.
+    """
     names = [c for c in prints.columns if c not in ("node", "words")]
     mask = np.uint64((1 << CARRIED) - 1)
 
+    def halves(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows, found = [], []
+        for number, (left, _) in enumerate(wide_tables(words)):
+            own = codewords(left)
+            row, i = np.nonzero(own >= 0)
+            rows.append(row)
+            found.append(own[row, i] + (number << 12))
+        return np.concatenate(rows), np.concatenate(found)
+
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+        for all_rows in batches:
+            for at in range(0, all_rows.num_rows, 512):
+                batch = all_rows.slice(at, 512)
                 lengths = batch.column(1).value_lengths().to_numpy()
                 for count in np.unique(lengths):
                     some = batch.filter(pa.array(lengths == count))
                     words = some.column(1).flatten().to_numpy().reshape(-1, count)
-                    row, key = keys(words, wide_tables)
-                    other = np.roll(words.view(np.uint64), -1, axis=1)[row, key >> 24] & mask
-                    columns = [pa.array((key << CARRIED) | other.view(np.int64)), some.column(0).take(pa.array(row)), pa.array(words[row, key >> 24] & ((1 << 46) - 1))]
+                    row, key = keys(words, wide_tables) if whole else halves(words)
+                    table = key >> (24 if whole else 12)
+                    other = np.roll(words.view(np.uint64), -1, axis=1)[row, table] & mask
+                    columns = [pa.array((key << CARRIED) | other.view(np.int64)), some.column(0).take(pa.array(row)), pa.array(words[row, table] & ((1 << 46) - 1))]
                     yield pa.RecordBatch.from_arrays([*columns, *(c.take(pa.array(row)) for c in some.columns[2:])], names=["packed", "node", "word", *names])
 
     shards = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -508,6 +547,18 @@ def _keyed(prints: DataFrame) -> DataFrame:
     return keyed.repartition(shards, F.shiftright("packed", CARRIED)).sortWithinPartitions("packed")
 
 
+def _opened(group: np.ndarray, packed: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, packed, row): rows of first segments' codewords as rows of whole keys, sorted by group and key; the numbers of their runs, and the rows that they come from."""
+    right = codewords(word >> 23)
+    row, j = np.nonzero(right >= 0)
+    packed = (((packed[row] >> CARRIED) << 12 | right[row, j]) << CARRIED) | (packed[row] & ((1 << CARRIED) - 1))
+    order = np.lexsort((packed, group[row]))
+    row, packed = row[order], packed[order]
+    group, key = group[row], packed >> CARRIED
+    run = np.cumsum(np.r_[False, (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
+    return run, packed, row
+
+
 def _proposed(node: np.ndarray, a: np.ndarray, b: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
     """The pairs of the nodes of rows a and b, each once."""
     a, b = node[a], node[b]
@@ -515,17 +566,18 @@ def _proposed(node: np.ndarray, a: np.ndarray, b: np.ndarray, many: np.ndarray)
     return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(many.astype(bool))], names=["low", "high", "many"])
 
 
-def _swept(keyed: DataFrame, propose: Callable[..., pa.RecordBatch | None], scratch: Scratch) -> DataFrame:
+def _swept(keyed: DataFrame, propose: Callable[..., pa.RecordBatch | None], scratch: Scratch, most: int) -> DataFrame:
     """(low, high, many): what ``propose(run, own, packed, node, word, ...)`` gives for the runs of the keys of ``keyed``.
 
-    ``own`` is the block of each row of a pair of blocks, and None where the run is a whole key.
+    ``own`` is the block of each row of a pair of blocks, and None where the run is a whole key. Keys of over
+    ``most`` rows go into blocks.
     """
     more = keyed.columns[2:]
     kinds = "low long, high long, many boolean, packed long, " + ", ".join(f"{c} long" for c in more)
     names = ["low", "high", "many", "packed", *more]
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole, (packed, node, *rest) in whole_runs(batches, lambda c: c[0] >> CARRIED, BLOCK):
+        for whole, (packed, node, *rest) in whole_runs(batches, lambda c: c[0] >> CARRIED, most):
             if not whole:
                 none = pa.nulls(len(node), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node), none, pa.array(packed), *map(pa.array, rest)], names=names)
@@ -544,18 +596,21 @@ def _swept(keyed: DataFrame, propose: Callable[..., pa.RecordBatch | None], scra
 
 
 def candidates(prints: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """(low, high, many): pairs of the rows (node, words) of ``prints`` that may be of similarity ``least``.
-
-    They share a Golay key and agree on most bits of its word and some of another. A pair counts under the
-    first key of a table that it shares only, so that a family of copies, which shares all keys, costs its
-    pairs once a table. Of more than ``FEW`` pairs of a key come the edges of a spanning forest, so that each
-    row with a pair has an edge; ``many`` marks those of a key that had more pairs. Keys of few rows are
-    compared by one shift after the other, all at once.
+    """(low, high, many): pairs of the rows (node, words, size, odd) of ``prints`` that may be of similarity ``least``.
+
+    They share a Golay key, agree on most bits of its word and some of another, and have parities that allow
+    the similarity. A pair counts under the first key of a table that it shares only, so that a family of
+    copies, which shares all keys, costs its pairs once a table. Of more than ``FEW`` pairs of a key come the edges of a spanning forest, so that each
+    row with a pair has an edge; ``many`` marks those of a key that had more pairs. Of the edges so marked
+    those stay that join what no other of the same batch (whole codewords of the first segment) has joined.
+    Keys of few rows are compared by one shift after the other, all at once.
     """
-    most, mask = most_bits(least, CARRIED + 46, 3.2), np.uint64((1 << CARRIED) - 1)
+    most, mask, share = most_bits(least, CARRIED + 46, 3.2), np.uint64((1 << CARRIED) - 1), Fraction(least).limit_denominator(1000)
 
-    def propose(run: np.ndarray, own: np.ndarray | None, packed: np.ndarray, node: np.ndarray, word: np.ndarray) -> pa.RecordBatch | None:
-        key, bits = packed >> CARRIED, packed.view(np.uint64) & mask
+    def propose(group: np.ndarray, own: np.ndarray | None, packed: np.ndarray, node: np.ndarray, word: np.ndarray, size: np.ndarray, *odd: np.ndarray) -> pa.RecordBatch | None:
+        run, packed, of_row = _opened(group, packed, word)
+        odds = np.stack([x.view(np.uint64) for x in odd], axis=1)  # not repeated for each key
+        key, bits, node, word = packed >> CARRIED, packed.view(np.uint64) & mask, node[of_row], word[of_row]
         begins = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
         sizes = np.diff(np.r_[begins, len(run)])
         few = np.repeat(sizes <= FEW, sizes)
@@ -563,6 +618,7 @@ def candidates(prints: DataFrame, least: float, scratch: Scratch) -> DataFrame:
         for step in range(1, int(sizes[sizes <= FEW].max(initial=1))):
             at = np.flatnonzero((run[step:] == run[:-step]) & few[step:])
             at = at[_apart(bits, word, at, at + step) <= most]
+            at = at[_allowed(size, odds, of_row[at], of_row[at + step], share)]
             left, right = [*left, at], [*right, at + step]
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
@@ -574,25 +630,31 @@ def candidates(prints: DataFrame, least: float, scratch: Scratch) -> DataFrame:
             kept[more] = _spanning(a[more], b[more])
             lost = np.bincount(of[~kept], minlength=len(begins)) > 0
             left, right, many = [a[kept]], [b[kept]], [lost[of[kept]]]
-        for at, size in zip(begins[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
-            order = at + np.argsort(node[at : at + size], kind="stable")  # all keys begin with the same rows
-            if edges := _forest_here(bits[order], word[order], int(key[at]), most):
+        for at, rows in zip(begins[sizes > FEW].tolist(), sizes[sizes > FEW].tolist()):
+            order = at + np.argsort(node[at : at + rows], kind="stable")  # all keys begin with the same rows
+            if edges := _forest_here(bits[order], word[order], size[of_row[order]], odds[of_row[order]], int(key[at]), most, share):
                 a, b = np.array(edges).T
                 left, right, many = [*left, order[a]], [*right, order[b]], [*many, np.ones(len(a), dtype=bool)]
-        return _proposed(node, *map(np.concatenate, (left, right, many))) if left else None
+        if not left:
+            return None
+        a, b, many = map(np.concatenate, (left, right, many))
+        kept = ~many
+        kept[many] = _spanning(node[a[many]], node[b[many]])
+        return _proposed(node, a[kept], b[kept], many[kept])
 
-    return _swept(_keyed(prints.select("node", "words")), propose, scratch)
+    return _swept(_keyed(_folded(prints), whole=False), propose, scratch, OPENED * BLOCK)
 
 
 def crossing(prints: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """(low, high, many): like ``candidates``, all pairs of rows (node, words, class) of different classes.
+    """(low, high, many): like ``candidates``, all pairs of rows (node, words, class, size, odd) of different classes whose parities allow it.
 
     A forest wouldn't do here: its edges may fail the exact test where others between the classes pass it.
+    The parities leave few of the pairs of a family whose texts are alike but not similar.
     """
-    most, mask = most_bits(least, CARRIED + 46, 3.2), np.uint64((1 << CARRIED) - 1)
+    most, mask, share = most_bits(least, CARRIED + 46, 3.2), np.uint64((1 << CARRIED) - 1), Fraction(least).limit_denominator(1000)
 
-    def propose(run: np.ndarray, own: np.ndarray | None, packed: np.ndarray, node: np.ndarray, word: np.ndarray, group: np.ndarray) -> pa.RecordBatch | None:
-        bits = packed.view(np.uint64) & mask
+    def propose(run: np.ndarray, own: np.ndarray | None, packed: np.ndarray, node: np.ndarray, word: np.ndarray, group: np.ndarray, size: np.ndarray, *odd: np.ndarray) -> pa.RecordBatch | None:
+        bits, odds = packed.view(np.uint64) & mask, np.stack([x.view(np.uint64) for x in odd], axis=1)
         begins = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
         ends = np.r_[begins[1:], len(run)]
         mixed = np.minimum.reduceat(group, begins) != np.maximum.reduceat(group, begins)
@@ -606,6 +668,7 @@ def crossing(prints: DataFrame, least: float, scratch: Scratch) -> DataFrame:
                 there = (place != place[row]) & (largest | (np.arange(end - at) > row))
                 b = at + np.flatnonzero(there & (own[at:end] != own[at + row]) if two else there)
                 b = b[_apart(bits, word, b, at + row) <= most]
+                b = b[_allowed(size, odds, b, np.array([at + row]), share)]
                 b = b[_meet_first(np.full(len(b), key), word[b], np.full(len(b), word[at + row]))]
                 left, right = [*left, np.full(len(b), at + row)], [*right, b]
         if not left:
@@ -613,7 +676,8 @@ def crossing(prints: DataFrame, least: float, scratch: Scratch) -> DataFrame:
         a, b = np.concatenate(left), np.concatenate(right)
         return _proposed(node, a, b, np.ones(len(a), dtype=bool))
 
-    return _swept(_keyed(prints.select("node", "words", "class")), propose, scratch)
+    dealt = _folded(prints, "class").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return _swept(_keyed(dealt), propose, scratch, BLOCK)
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8, recall: float = RECALL, name: str = "component_id") -> DataFrame:
@@ -637,22 +701,23 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     texts = docs.select(F.col(key).alias("key"), docs[text].alias("text"))
     own = saved(texts.select("key", sketches(F.col("text"), words, count).alias("sketch")).select("key", "sketch.*"), "sketches")
     with Scratch(docs.sparkSession) as scratch:
-        group = own.groupBy("digest", "size", "words").agg(F.min("key").alias("least"))
+        group = own.groupBy("digest", "size", "words", "odd").agg(F.min("key").alias("least"))
         group = scratch.saved(group.withColumn("node", F.monotonically_increasing_id()), "groups")
         found = scratch.saved(candidates(group.where("size > 0"), least, scratch), "candidates")
 
         def near(pairs: DataFrame) -> DataFrame:
-            """The distinct pairs whose sizes and whole fingerprints allow the similarity."""
-            a, b = (group.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "words")]) for side in "ab")
+            """The distinct pairs whose sizes, parities and whole fingerprints allow the similarity."""
+            a, b = (group.select(*[F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "words", "odd")]) for side in "ab")
             both = pairs.select("low", "high").distinct().join(a, F.col("low") == F.col("node_a")).join(b, F.col("high") == F.col("node_b"))
             sized = F.least("size_a", "size_b") * share.denominator >= F.greatest("size_a", "size_b") * share.numerator
-            apart = F.aggregate(F.zip_with("words_a", "words_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+            apart, unlike = (F.aggregate(F.zip_with(f"{c}_a", f"{c}_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y) for c in ("words", "odd"))
+            allowed = unlike * (share.denominator + share.numerator) <= (F.col("size_a") + F.col("size_b")) * (share.denominator - share.numerator)
             short = F.least("size_a", "size_b") <= SHORT
-            return both.where(sized & (short | (apart <= most_bits(least, 64 * count, 4)))).select("low", "high")
+            return both.where(sized & allowed & (short | (apart <= most_bits(least, 64 * count, 4)))).select("low", "high")
 
         pairs = scratch.saved(near(found), "pairs")
         held = found.where("many").select(F.explode(F.array("low", "high")).alias("node")).distinct()
-        held = scratch.saved(group.join(held, "node").select("node", "words"), "held")
+        held = scratch.saved(group.join(held, "node").select("node", "words", "size", "odd"), "held")
         wanted = pairs.select(F.col("low").alias("node")).union(pairs.select("high")).union(held.select("node")).distinct()
         wanted = scratch.saved(group.join(wanted, "node").select("node", "digest", "least"), "wanted")
         # Only the sets of candidates are made again from their texts and kept: those of all texts would be as large as the texts.
@@ -670,7 +735,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         edges = scratch.saved(edges.union(verified(pairs, sets, share)), "edges")
 
         # The same for the pairs of keys that had more of them than their forest.
-        held = held.join(components(edges), "node", "left").select("node", "words", F.coalesce("component", "node").alias("class"))
+        held = held.join(components(edges), "node", "left").select("node", "words", "size", "odd", F.coalesce("component", "node").alias("class"))
         pairs = scratch.saved(near(crossing(scratch.saved(held, "held"), least, scratch)), "pairs")
         edges = edges.union(scratch.saved(verified(pairs, sets, share), "edges"))
         smallest = labels(group, edges).select("digest", "smallest")

@@ -141,3 +141,39 @@ def test_a_pair_is_proposed_under_the_first_key_it_shares():
         shared = np.array(sorted(own & other), dtype=np.int64)
         first = simhash._meet_first(shared, np.full(len(shared), a), np.full(len(shared), b)) if len(shared) else []
         assert list(first) == [i == 0 for i in range(len(shared))]
+
+
+def test_parities_rule_out_no_similar_set():
+    draw = np.random.default_rng(5)
+    for common, a, b in ((8, 1, 1), (40, 5, 5), (150, 18, 18), (150, 0, 60), (2000, 200, 300)):
+        shared, x, y = np.split(draw.integers(0, 1 << 64, common + a + b, dtype=np.uint64), [common, common + a])
+        one, other = (np.array(simhash.parities(np.r_[shared, z])).view(np.uint64) for z in (x, y))
+        assert len(one) == simhash.PARITIES and np.bitwise_count(one ^ other).sum() <= a + b
+
+
+def test_alike_but_not_similar_texts_yield_few_pairs(spark):
+    """Texts of one family that are all just too different: their pairs stay where the keys meet."""
+    base, draw, rows = [f"w{i}" for i in range(150)], np.random.default_rng(6), []
+    for i in range(120):
+        words = list(base)
+        for n, at in enumerate(draw.choice(150, 4, replace=False)):
+            words[at] = f"x{i}y{n}"
+        rows.append((i, " ".join(words)))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows]
+    alike = [len(a & b) / len(a | b) for i, a in enumerate(sets) for b in sets[:i]]
+    assert max(alike) < 0.9 and np.mean(alike) > 0.6
+    prints = spark.createDataFrame(rows, "node long, text string").select("node", simhash.sketches(F.col("text"), 5, simhash.tables_wanted(0.9)).alias("s"))
+    prints = prints.select("node", "s.words", "s.size", "s.odd", F.col("node").alias("class"))
+    with simhash.Scratch(spark) as scratch:
+        assert simhash.crossing(prints, 0.9, scratch).count() < len(alike) / 10
+
+
+def test_codewords_of_the_first_segment_open_to_all_keys(spark):
+    words = np.random.default_rng(7).integers(0, 1 << 62, (40, 3))
+    prints = spark.createDataFrame([(i, w, 9, [0] * simhash.PARITIES) for i, w in enumerate(words.tolist())], "node long, words array<long>, size int, odd array<long>")
+    sent = simhash._keyed(simhash._folded(prints), whole=False).toPandas()
+    packed, node, word = (sent[c].to_numpy() for c in ("packed", "node", "word"))
+    run, opened, row = simhash._opened(packed >> simhash.CARRIED, packed, word)
+    rows, keys = simhash.keys(words, simhash.wide_tables)
+    assert 4 * len(sent) < len(keys)
+    assert sorted(zip(node[row].tolist(), (opened >> simhash.CARRIED).tolist())) == sorted(zip(rows.tolist(), keys.tolist()))
